@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from rollbook.functions.text import canon, norm_ws, strip
+from rollbook.functions.text import canon, col, let, norm_ws, strip
 
 VARIANT = "struct<first:string,middle:string,last:string>"
 
@@ -35,11 +35,16 @@ def name_key(last: Column | str, first_middle: Column | str) -> Column:
 
 def name_key_from_raw(c: Column | str) -> Column:
     """Lookup key of ``Last, First`` or ``First Last`` text; blank text gives an empty key."""
-    s = norm_ws(c)
-    last, first = _before_after_comma(s)
-    comma = s.contains(",")
-    key = name_key(F.when(comma, last).otherwise(_last_word(s)), F.when(comma, first).otherwise(_without_last_word(s)))
-    return F.when(s == "", F.lit("")).otherwise(key)
+
+    def key(s: Column) -> Column:
+        last, first = _before_after_comma(s)
+        comma = s.contains(",")
+        built = name_key(
+            F.when(comma, last).otherwise(_last_word(s)), F.when(comma, first).otherwise(_without_last_word(s))
+        )
+        return F.when(s == "", F.lit("")).otherwise(built)
+
+    return let(norm_ws(c), key)
 
 
 def name_variants(c: Column | str) -> Column:
@@ -47,23 +52,26 @@ def name_variants(c: Column | str) -> Column:
 
     A surname takes one to three of the last words and always leaves a first name.
     """
-    s = canon(_first_name_first(norm_ws(c)))
-    words = F.filter(F.split(s, " "), lambda w: w != "")
-    n = F.size(words)
-
-    def reading(i: Column) -> Column:
-        return F.struct(
-            F.get(words, F.lit(0)).alias("first"),
-            F.array_join(F.slice(words, F.lit(2), n - i - 1), " ").alias("middle"),
-            F.array_join(F.slice(words, n - i + 1, i), " ").alias("last"),
+
+    def readings(words: Column) -> Column:
+        n = F.size(words)
+
+        def reading(i: Column) -> Column:
+            return F.struct(
+                F.get(words, F.lit(0)).alias("first"),
+                F.array_join(F.slice(words, F.lit(2), n - i - 1), " ").alias("middle"),
+                F.array_join(F.slice(words, n - i + 1, i), " ").alias("last"),
+            )
+
+        single = F.struct(F.get(words, F.lit(0)).alias("first"), F.lit("").alias("middle"), F.lit("").alias("last"))
+        return (
+            F.when(n == 0, F.array().cast(f"array<{VARIANT}>"))
+            .when(n == 1, F.array(single))
+            .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(3), n - 1))), reading))
         )
 
-    single = F.struct(F.get(words, F.lit(0)).alias("first"), F.lit("").alias("middle"), F.lit("").alias("last"))
-    return (
-        F.when(n == 0, F.array().cast(f"array<{VARIANT}>"))
-        .when(n == 1, F.array(single))
-        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(3), n - 1))), reading))
-    )
+    ordered = let(norm_ws(c), lambda s: canon(_first_name_first(s)))
+    return let(F.filter(F.split(ordered, " "), lambda w: w != ""), readings)
 
 
 def normalize_name(c: Column | str, comma: bool = True) -> Column:
@@ -71,26 +79,27 @@ def normalize_name(c: Column | str, comma: bool = True) -> Column:
 
     ``comma=False`` is the rule of the bulk loader, which does not reorder ``Last, First``.
     """
-    s = strip(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")))
-    if comma:
-        s = _first_name_first(s)
-    words = norm_ws(s)
-    capitals = (s == F.upper(s)) & (s != F.lower(s))
-    return (
-        F.when(capitals, s)
-        .when(~words.contains(" "), s)
-        .otherwise(F.concat(_without_last_word(words), F.lit(" "), F.upper(_last_word(words))))
-    )
+
+    def normalized(s: Column) -> Column:
+        capitals = (s == F.upper(s)) & (s != F.lower(s))
+        last = F.regexp_extract(s, r"(?U)(\S+)$", 1)
+        first = norm_ws(F.substring(s, F.lit(1), F.length(s) - F.length(last)))
+        return F.when(capitals | (first == ""), s).otherwise(F.concat_ws(" ", first, F.upper(last)))
+
+    raw = strip(F.coalesce(col(c), F.lit("")))
+    return let(let(raw, _first_name_first) if comma else raw, normalized)
 
 
 def display_name(c: Column | str, comma: bool = True) -> Column:
     """Normalised name with its last word in capitals."""
-    name = normalize_name(c, comma)
-    return F.when(
-        name.contains(" "), F.concat(_without_last_word(name), F.lit(" "), F.upper(_last_word(name)))
-    ).otherwise(name)
+
+    def shown(name: Column) -> Column:
+        last = _last_word(name)
+        return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(last)), F.upper(last))
+
+    return let(normalize_name(c, comma), lambda name: F.when(name.contains(" "), shown(name)).otherwise(name))
 
 
 def base_name(c: Column | str) -> Column:
     """Display name of an attendee cell, whose whitespace is collapsed first."""
-    return display_name(_first_name_first(norm_ws(c)))
+    return display_name(let(norm_ws(c), _first_name_first))
