@@ -15,11 +15,13 @@ _TRUE = {
     "load": ("yes", "true", "1", "y"),
     "form": ("true", "1", "on", "yes"),
     "preview": ("true", "1", "yes", "on"),
+    "model": ("true", "t", "1", "yes", "y", "on"),
 }
 _FALSE = {
     "workbook": ("no", "false"),
     "load": ("no", "false", "0", "n"),
     "preview": ("false", "0", "no", "off"),
+    "model": ("false", "f", "0", "no", "n", "off"),
 }
 _MALE = ("m", "male", "man", "mr")
 _FEMALE = ("f", "female", "woman", "ms", "mrs")

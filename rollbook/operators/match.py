@@ -150,9 +150,9 @@ def with_resolved_country(
 ) -> DataFrame:
     """Add the country code of a text column; unresolved text gives null."""
     found = resolve_tokens(df, token, countries, aliases).select(
-        F.col(token).alias("_token"), F.col("cid").alias(into)
+        F.col(token).alias("_resolved"), F.col("cid").alias(into)
     )
-    return df.join(found, F.col(token) == F.col("_token"), "left").drop("_token")
+    return df.join(found, F.col(token) == F.col("_resolved"), "left").drop("_resolved")
 
 
 def label_to_cid(df: DataFrame, label: str, countries: DataFrame, into: str) -> DataFrame:

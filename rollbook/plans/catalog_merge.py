@@ -30,15 +30,13 @@ def newest_wins(t: Tables) -> DataFrame:
 @query(
     "citizenship_union",
     "",
-    """select event_type, string_agg(item, ',' order by seen) items from (select event_type, item, min(event_id * 2 + pos) seen
-    from (select event_type, event_id, unnest([props, 'u' || user_id]) item, unnest([0, 1]) pos from events)
+    """select user_id, string_agg(item, ',' order by seen) items from (select user_id, item, min(event_id * 2 + pos) seen
+    from (select user_id, event_id, unnest([props, event_type]) item, unnest([0, 1]) pos from events)
     group by 1, 2) group by 1""",
 )
 def citizenship_union(t: Tables) -> DataFrame:
-    rows = t.raw("events").select(
-        "event_type", "event_id", F.array("props", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("items")
-    )
-    united = merge.union_arrays(rows, ["event_type"], "items", "event_id")
+    rows = t.raw("events").select("user_id", "event_id", F.array("props", "event_type").alias("items"))
+    united = merge.union_arrays(rows, ["user_id"], "items", "event_id")
     return united.withColumn("items", F.array_join("items", ","))
 
 
