@@ -13,6 +13,7 @@ from rollbook.functions.text import blank_to_null, same_items, text
 from rollbook.operators.sequence import number_first_seen
 from rollbook.operators.validate import errors_of, participant_rules
 from rollbook.schemas import GENDERS, GRADES, SNAPSHOT_KEYS
+from rollbook.session import checkpointed
 
 # Names of a country that no longer exists, read as the represented country.
 YUGOSLAV = ("sfrj", "jugoslavia", "yugoslavia", "yug")
@@ -171,8 +172,9 @@ def ensure_countries(
     fresh = number_first_seen(
         joined.filter(F.col("_known").isNull()), ["_key"], "_at", "_new", f"{prefix}%03d", start=top + 1
     )
-    coded = joined.join(fresh.select("_key", "_new"), "_key", "left").withColumn(
-        "cid", F.coalesce("_known", "_new")
+    # One row per label: numbered once, and read by both results.
+    coded = checkpointed(
+        joined.join(fresh.select("_key", "_new"), "_key", "left").withColumn("cid", F.coalesce("_known", "_new"))
     )
     mapping = coded.select("_key", "cid")
     mapped = labels.withColumn("_key", F.lower(text(label))).join(mapping, "_key", "left").drop("_key")

@@ -12,6 +12,7 @@ from rollbook.functions.phones import normalize_phone
 from rollbook.functions.text import blank_to_null, first_non_blank, split_location, split_multi, text
 from rollbook.operators import match, merge, mutate, reports, sequence, tables, validate
 from rollbook.schemas import IBAN_TYPES, PROFILE_FIELDS, SNAPSHOT_FIELDS, TRANSPORTS
+from rollbook.session import checkpointed
 
 _CODE = r"^[A-Za-z]\d{3}$"
 
@@ -164,7 +165,7 @@ def merged_participants(rows: DataFrame, events: DataFrame, now: Column) -> tupl
         dated.withColumn("source_row", F.col("row_no")), keys, "event_date", "row_no", newest, ["name"]
     )
     citizens = merge.union_arrays(dated, keys, "citizenships", "row_no")
-    numbered = sequence.number_first_seen(dated, keys, "row_no", "pid", "P%04d")
+    numbered = checkpointed(sequence.number_first_seen(dated, keys, "row_no", "pid", "P%04d"))
     people = profiles.join(citizens, keys, "left").join(numbered, keys)
     log = mutate.import_audit(
         "grade", F.col("grade"), "import", now, "Participants", F.col("source_row") + 1, F.col("source_table")
@@ -182,6 +183,8 @@ def load(participants: DataFrame, countries: DataFrame, events: DataFrame, now:
     listed = source_countries(countries)
     event_rows = match.event_country(source_events(events, now), listed)
     raw, grown = with_country_codes(source_rows(participants), listed)
+    # Every result below reads these rows: they are resolved once.
+    raw = checkpointed(raw)
     rows, row_rejects = validate.validate(raw, validate.load_row_rules(F.col("row_no") + 1))
     people, ids = merged_participants(rows, event_rows, now)
     good, bad = validate.validate(people, validate.participant_rules(allow_missing_dob=True))

@@ -12,6 +12,7 @@ from rollbook.functions.phones import normalize_phone
 from rollbook.functions.text import blank_to_null, citizenships, text
 from rollbook.operators import match, merge, mutate, sequence, validate
 from rollbook.schemas import SNAPSHOT_FIELDS
+from rollbook.session import checkpointed
 from rollbook.sources.preview import BUNDLE_ROWS
 
 _PROFILE = (
@@ -118,7 +119,7 @@ def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
     needing = dated.filter(F.col("_dated_pid").isNull()).withColumn("_turn", turn)
     opened = needing.join(places, [*same, "_turn"], "left").drop("_turn")
     settled = dated.filter(F.col("_dated_pid").isNotNull()).withColumn("_open_pid", F.lit(None).cast("string"))
-    found = opened.unionByName(settled).withColumn("matched_pid", F.coalesce("_dated_pid", "_open_pid"))
+    found = checkpointed(opened.unionByName(settled)).withColumn("matched_pid", F.coalesce("_dated_pid", "_open_pid"))
     fresh = found.filter(F.col("matched_pid").isNull() & F.col("given_pid").isNull())
     ranked = sequence.global_rank(
         fresh.select(*who, F.col("_at.path").alias("_p"), F.col("_at.row_no").alias("_r")),
@@ -194,18 +195,19 @@ def upload(
     """
     now = F.current_timestamp() if now is None else now
     good, refused = accepted_bundles(bundles, events)
-    everyone = _people(good)
+    # Several tables grow from the same rows: each stage is computed once and read back.
+    everyone = checkpointed(_people(good))
     required = validate.errors_of(
         (F.col("pob").isNull(), "pob missing"), (F.col("birth_country").isNull(), "birth_country missing")
     )
     row_errors = everyone.withColumn("pid", F.coalesce("given_pid", F.lit("TEMP"))).withColumn(
         "errors", F.concat(validate.participant_rules(dob_text="dob_text"), required)
     )
-    row_problems = _problems(row_errors)
+    row_problems = checkpointed(_problems(row_errors))
     good = good.join(row_problems, "path", "left_anti")
     people = everyone.join(row_problems, "path", "left_anti").withColumn("phone", normalize_phone("phone"))
     pids = identify(people, participants)
-    identified = people.join(pids, ["name", "representing_country", "dob"])
+    identified = checkpointed(people.join(pids, ["name", "representing_country", "dob"]))
 
     supplied = _supplied(good)
     chosen = match.choose_snapshot(
@@ -216,7 +218,9 @@ def upload(
         chosen.filter(F.col("snapshot").isNotNull()).select("path", "pid", "row_no", "snapshot"), ["path", "pid"], "row_no"
     )
     raw = latest.join(eids, "path").select("path", F.col("pid").alias("participant_id"), "event_id", "snapshot.*")
-    snapshots = raw.withColumns({n: dates.snapshot_ts(n) for n in SNAPSHOT_FIELDS if n.endswith("_date")})
+    snapshots = checkpointed(
+        raw.withColumns({n: dates.snapshot_ts(n) for n in SNAPSHOT_FIELDS if n.endswith("_date")})
+    )
     event_rows = _event_rows(good, _rosters(identified))
     taken = identified.filter("matched_pid is null").join(participants.select("pid"), "pid", "left_semi")
     problems = [
@@ -225,7 +229,7 @@ def upload(
         _problems(taken.withColumn("errors", F.array(F.lit("pid is already in use")))),
         row_problems,
     ]
-    broken = reduce(DataFrame.unionByName, problems)
+    broken = checkpointed(reduce(DataFrame.unionByName, problems))
     names_of_all = keyed_events(bundles)
     listed = broken.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
     rejects = refused.unionByName(listed.join(names_of_all, "path", "left").select("path", "eid", "errors"))

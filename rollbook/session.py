@@ -37,9 +37,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rollbook")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the Python call site of every expression makes large plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
