@@ -79,22 +79,24 @@ def _supplied(bundles: DataFrame) -> DataFrame:
 
 
 def accepted_bundles(bundles: DataFrame, stored_events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bundles to upload and the errors of the others; of two bundles for one event the first path counts."""
-    if "path" not in bundles.columns:
-        bundles = bundles.withColumn("path", F.col("event.eid"))
-    keyed = bundles.withColumn("path", F.coalesce("path", F.col("event.eid")))
-    checked = validate.bundle_rules(keyed, stored_events)
-    firsts = keyed.groupBy(F.col("event.eid").alias("_eid")).agg(F.min("path").alias("_first"))
-    checked = checked.join(firsts, F.col("event.eid") == F.col("_eid"), "left").withColumn(
-        "errors",
-        F.when(
-            F.col("path") != F.col("_first"),
-            F.array_append("errors", F.lit("Event is also in an earlier bundle")),
-        ).otherwise(F.col("errors")),
-    )
-    good = checked.filter(F.size("errors") == 0).drop("errors", "_eid", "_first")
-    bad = checked.filter(F.size("errors") > 0).select("path", F.col("event.eid").alias("eid"), "errors")
-    return good, bad
+    """Bundles to upload, and path, eid and errors of the others."""
+    checked = validate.bundle_rules(_with_path(bundles), stored_events)
+    good = checked.filter(F.size("errors") == 0).drop("errors")
+    return good, checked.filter(F.size("errors") > 0).select("path", F.col("event.eid").alias("eid"), "errors")
+
+
+def _with_path(bundles: DataFrame) -> DataFrame:
+    """Bundles that are told apart by their path, or by their eid where they have none."""
+    path = F.coalesce("path", F.col("event.eid")) if "path" in bundles.columns else F.col("event.eid")
+    return bundles.withColumn("path", path)
+
+
+def repeated_events(bundles: DataFrame) -> DataFrame:
+    """Bundles whose event is also in a bundle with a smaller path, with their error."""
+    events = bundles.select("path", text("event.eid").alias("eid")).distinct()
+    firsts = events.groupBy("eid").agg(F.min("path").alias("_first"))
+    later = events.join(firsts, "eid").filter("path <> _first")
+    return later.select("path", "eid", F.array(F.lit("Event is also in an earlier bundle")).alias("errors"))
 
 
 def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
@@ -139,11 +141,8 @@ def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def _event_rows(bundles: DataFrame, rosters: DataFrame) -> DataFrame:
-    """Event of every bundle with its roster in the order of the bundle.
-
-    A roster that spans several parts is kept by the links alone.
-    """
+def _event_rows(bundles: DataFrame) -> DataFrame:
+    """Typed event of every bundle, with an empty roster."""
     events = bundles.filter(F.coalesce("part", F.lit(0)) == 0).select("path", "event.*")
     typed = events.select(
         "path",
@@ -156,10 +155,17 @@ def _event_rows(bundles: DataFrame, rosters: DataFrame) -> DataFrame:
         enums.event_type("type", unknown="Other").alias("type"),
         enums.cost("cost").alias("cost"),
     )
-    none = F.array().cast("array<string>")
-    return typed.join(rosters, "path", "left").withColumn(
-        "participants", F.when(F.coalesce("_parts", F.lit(1)) == 1, F.coalesce("participants", none))
-    ).drop("_parts")
+    return typed.withColumn("participants", F.array().cast("array<string>"))
+
+
+def _with_rosters(events: DataFrame, identified: DataFrame) -> DataFrame:
+    """Events with their rosters in the order of the bundle.
+
+    A roster that spans several parts is kept by the links alone.
+    """
+    joined = events.withColumnRenamed("participants", "_none").join(_rosters(identified), "path", "left")
+    roster = F.when(F.coalesce("_parts", F.lit(1)) == 1, F.coalesce("participants", "_none"))
+    return joined.withColumn("participants", roster).drop("_parts", "_none")
 
 
 def _problems(checked: DataFrame) -> DataFrame:
@@ -168,12 +174,6 @@ def _problems(checked: DataFrame) -> DataFrame:
     return bad.groupBy("path").agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
-def keyed_events(bundles: DataFrame) -> DataFrame:
-    """Path and eid of every bundle."""
-    path = F.coalesce("path", F.col("event.eid")) if "path" in bundles.columns else F.col("event.eid")
-    return bundles.groupBy(path.alias("path")).agg(F.max("event.eid").alias("eid"))
-
-
 def _rosters(identified: DataFrame) -> DataFrame:
     """Roster of every bundle of one part, and the number of parts of all bundles."""
     parts = identified.groupBy("path").agg(
@@ -203,9 +203,14 @@ def upload(
     row_errors = everyone.withColumn("pid", F.coalesce("given_pid", F.lit("TEMP"))).withColumn(
         "errors", F.concat(validate.participant_rules(dob_text="dob_text"), required)
     )
-    row_problems = checkpointed(_problems(row_errors))
-    good = good.join(row_problems, "path", "left_anti")
-    people = everyone.join(row_problems, "path", "left_anti").withColumn("phone", normalize_phone("phone"))
+    event_errors = _event_rows(good).withColumn("errors", validate.event_rules())
+    row_problems = checkpointed(_problems(row_errors).unionByName(_problems(event_errors)))
+    usable = good.join(row_problems, "path", "left_anti")
+    repeated = repeated_events(usable)
+    good = usable.join(repeated.select("path"), "path", "left_anti")
+    people = everyone.join(good.select("path").distinct(), "path", "left_semi").withColumn(
+        "phone", normalize_phone("phone")
+    )
     pids = identify(people, participants)
     identified = checkpointed(people.join(pids, ["name", "representing_country", "dob"]))
 
@@ -221,18 +226,19 @@ def upload(
     snapshots = checkpointed(
         raw.withColumns({n: dates.snapshot_ts(n) for n in SNAPSHOT_FIELDS if n.endswith("_date")})
     )
-    event_rows = _event_rows(good, _rosters(identified))
+    event_rows = _with_rosters(_event_rows(good), identified)
     taken = identified.filter("matched_pid is null").join(participants.select("pid"), "pid", "left_semi")
     problems = [
         _problems(snapshots.withColumn("errors", validate.snapshot_rules())),
-        _problems(event_rows.withColumn("errors", validate.event_rules())),
         _problems(taken.withColumn("errors", F.array(F.lit("pid is already in use")))),
         row_problems,
     ]
     broken = checkpointed(reduce(DataFrame.unionByName, problems))
-    names_of_all = keyed_events(bundles)
     listed = broken.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
-    rejects = refused.unionByName(listed.join(names_of_all, "path", "left").select("path", "eid", "errors"))
+    eids_of_all = _with_path(bundles).groupBy("path").agg(F.max("event.eid").alias("eid"))
+    rejects = refused.unionByName(repeated).unionByName(
+        listed.join(eids_of_all, "path", "left").select("path", "eid", "errors")
+    )
 
     bad_paths = broken.select("path")
     change = identified.join(bad_paths, "path", "left_anti")
