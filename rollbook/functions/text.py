@@ -9,9 +9,10 @@ from functools import lru_cache
 from pyspark.sql import Column, functions as F
 
 # Unicode whitespace plus the four ASCII separators that count as blank text.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _WS = r"[\s\x1c-\x1f]"
-WS_RUN = rf"(?U){_WS}+"
-WS_ENDS = rf"(?U)^{_WS}+|{_WS}+$"
+#: Runs that change when whitespace is collapsed; a single space between words is left alone.
+WS_RUN = rf"(?U)[{_WS}&&[^ ]]{_WS}*| {_WS}+"
 
 
 def col(c: Column | str) -> Column:
@@ -25,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing whitespace of any kind; null stays null."""
-    return F.regexp_replace(col(c), WS_ENDS, "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def text(c: Column | str) -> Column:

@@ -122,8 +122,10 @@ def resolve_tokens(
     one equality join answers them all, and the lowest priority hit counts.
     """
     value = F.coalesce(F.col(token), F.lit(""))
-    folded = strip(canon(value))
-    distinct = tokens.select(token).distinct().filter((value != "") & ~folded.isin(*SKIPPED))
+    # Both forms are columns of their own, so that the many patterns below share them.
+    forms = {"_folded": strip(canon(value)), "_lowered": F.lower(strip(value))}
+    distinct = tokens.select(token).distinct().filter(value != "").withColumns(forms)
+    folded, lowered = F.col("_folded"), F.col("_lowered")
 
     def probe(priority: int, how: str, key: Column) -> Column:
         return F.struct(F.lit(priority).alias("priority"), F.lit(how).alias("how"), key.alias("key"))
@@ -132,12 +134,13 @@ def resolve_tokens(
         F.when(folded.rlike(f"(?U){pattern}"), probe(no, "prefix", F.lit(name.lower())))
         for no, (pattern, name) in enumerate(aliases)
     ]
-    lowered = F.lower(strip(value))
     probes.append(probe(len(aliases), "prefix", lowered))
     if not strict:
         probes.append(probe(len(aliases) + 1, "contains", lowered))
         probes.append(probe(len(aliases) + 2, "folded", folded))
-    probed = distinct.select(token, F.inline(F.array_compact(F.array(*probes)))).filter("key <> ''")
+    # Skipped texts get no probes.  A filter would move below the distinct, to every mention.
+    wanted = F.when(~folded.isin(*SKIPPED), F.array_compact(F.array(*probes)))
+    probed = distinct.select(token, F.inline(wanted)).filter("key <> ''")
     lookup = country_pieces(countries, ["prefix"] if strict else ["prefix", "contains", "folded"])
     hits = probed.join(lookup, ["how", "key"])
     return hits.groupBy(token).agg(F.min_by("found", "priority").alias("found")).select(

@@ -206,13 +206,11 @@ def rosters(events: DataFrame, links: DataFrame, rows: int = ROSTER_ROWS) -> Dat
     have one empty array in part 0.
     """
     number = F.regexp_extract("participant_id", r"(\d+)$", 1).try_cast("bigint")
-    keyed = (
-        links.filter(F.col("participant_id").isNotNull())
-        .select(F.col("event_id").alias("eid"), "participant_id")
-        .withColumn("part", F.coalesce(F.floor(number / rows), F.lit(0)))
-        .distinct()
+    keyed = links.filter(F.col("participant_id").isNotNull()).select(
+        F.col("event_id").alias("eid"), "participant_id", F.coalesce(F.floor(number / rows), F.lit(0)).alias("part")
     )
-    arrays = keyed.groupBy("eid", "part").agg(F.array_sort(F.collect_list("participant_id")).alias("participants"))
+    # A set of one part is bounded, and repeated links are dropped before the shuffle.
+    arrays = keyed.groupBy("eid", "part").agg(F.array_sort(F.collect_set("participant_id")).alias("participants"))
     joined = events.select("eid").join(arrays, "eid", "left")
     return joined.select(
         "eid",

@@ -29,6 +29,16 @@ SCHEMAS = {
 }
 
 
+#: Tables whose rows cost real work, and the size from which spreading them pays.
+LARGE = ("lineitem", "orders", "documents", "events")
+SPREAD_BYTES = 2 << 20
+
+
+def _bytes(table: DataFrame) -> int:
+    """Size of a scan as the optimizer knows it."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 class Tables:
     """The domain views over one folder of driver tables."""
 
@@ -36,6 +46,15 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def raw(self, name: str) -> DataFrame:
+        """A driver table.  A large one that arrives as fewer splits than there are cores is
+        spread over them; a table of many files is read as it is."""
+        table = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in LARGE and _bytes(table) >= SPREAD_BYTES and table.rdd.getNumPartitions() < cores:
+            return table.repartition(cores)
+        return table
+
+    def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property
@@ -102,12 +121,18 @@ class Tables:
         return held.unionByName(planned)
 
     @property
-    def attendance_rows(self) -> DataFrame:
-        """One row per order line: who attended what, with the fields of a snapshot."""
-        line = self.raw("lineitem").join(
-            self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
+    def lines(self) -> DataFrame:
+        """Order lines with their order, in the columns that attendance is made of."""
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+        line = self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return line.select(
+            "o_custkey", "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag",
+            "l_linestatus", "l_shipdate", "o_orderpriority", "o_orderdate",
         )
+
+    @staticmethod
+    def attendance(line: DataFrame) -> DataFrame:
+        """Who attended what, with the fields of a snapshot."""
         shipped = F.col("l_shipdate").cast("date")
         return line.select(
             F.format_string("P%04d", "o_custkey").alias("participant_id"),
@@ -135,11 +160,16 @@ class Tables:
             "l_quantity",
         )
 
+    @property
+    def attendance_rows(self) -> DataFrame:
+        """One row per order line."""
+        return self.attendance(self.lines)
+
     @property
     def snapshots(self) -> DataFrame:
-        """The last line of every participant and event."""
+        """The last line of every participant and event; picked as numbers, formatted after."""
         order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]
-        return last_row(self.attendance_rows, ["participant_id", "event_id"], order).drop(*order)
+        return self.attendance(last_row(self.lines, ["o_custkey", "l_partkey"], order)).drop(*order)
 
     @property
     def links(self) -> DataFrame:

@@ -275,12 +275,12 @@ _DETAILS = """select s.participant_id, s.event_id, d.field, d.label, d.value fro
 @query(
     "snapshot_details",
     "v_snapshots v_countries",
-    f"select field, label, value, count(*) n, min(participant_id || event_id) first_key from ({_DETAILS}) group by 1, 2, 3",
+    f"select field, label, value, count(*) n, sum(substr(participant_id, 2)::bigint)::bigint key_sum from ({_DETAILS}) group by 1, 2, 3",
 )
 def snapshot_details(t: Tables) -> DataFrame:
     details = reports.snapshot_details(t.snapshots, t.countries)
     return details.groupBy("field", "label", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.concat("participant_id", "event_id")).alias("first_key")
+        F.count(F.lit(1)).alias("n"), F.sum(F.substring("participant_id", 2, 20).cast("bigint")).alias("key_sum")
     )
 
 
