@@ -81,6 +81,24 @@ def global_rank(df: DataFrame, order: Sequence[Column], into: str = "rank", part
     )
 
 
+def group_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = "rank", parts: int | None = None
+) -> DataFrame:
+    """Position of every row among the rows with the same keys, 1 first.
+
+    The rows are ranked over all groups at once and every group's ranks are then shifted to
+    start at 1, so a group of any size is spread over all partitions.  ``order`` ends in a
+    unique key.
+    """
+    ranked = global_rank(df, [F.col(c).asc() for c in (*keys, *order)], "_overall", parts)
+    starts = ranked.groupBy(*keys).agg(F.min("_overall").alias("_start"))
+    return (
+        ranked.join(starts, list(keys))
+        .withColumn(into, (F.col("_overall") - F.col("_start") + 1).cast("bigint"))
+        .drop("_overall", "_start")
+    )
+
+
 def carry_forward(
     rows: DataFrame, part: Sequence[str], order: str, value: str, into: str | None = None, block: int = BLOCK
 ) -> DataFrame:

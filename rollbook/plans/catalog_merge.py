@@ -128,6 +128,16 @@ _LABELS = (
 )
 
 
+@query(
+    "group_rank",
+    "",
+    "select event_id, event_type, row_number() over (partition by event_type order by value, event_id) as rank from events",
+)
+def group_rank(t: Tables) -> DataFrame:
+    rows = t.raw("events").select("event_id", "event_type", "value")
+    return sequence.group_rank(rows, ["event_type"], ["value", "event_id"]).drop("value")
+
+
 @query(
     "country_get_or_create",
     "v_countries",
@@ -261,6 +271,41 @@ def score_rejects(t: Tables) -> DataFrame:
     return rejects.withColumn("errors", F.array_join("errors", ";"))
 
 
+_CID = ("cid", "'C1'", "lower(cid)")
+
+
+@query(
+    "country_rejects",
+    "v_countries",
+    f"""select ord, array_to_string(list_filter([case when length(c) <> 4 then 'cid length' end,
+    case when length(n) < 2 then 'country too short' end], lambda x: x is not null), ';') errors
+    from (select ord, {choose_sql('ord', *_CID)} c, case when ord % 4 = 0 then 'X' else country end n from v_countries)
+    where length(c) <> 4 or length(n) < 2""",
+)
+def country_rejects(t: Tables) -> DataFrame:
+    damaged = t.countries.withColumns(
+        {"cid": choose("ord", *_CID), "country": F.when(F.col("ord") % 4 == 0, "X").otherwise(F.col("country"))}
+    )
+    _, rejects = validate.validate(damaged, validate.country_rules())
+    return rejects.select("ord", F.array_join("errors", ";").alias("errors"))
+
+
+@query(
+    "link_rejects",
+    "v_links",
+    """select event_id, participant_id, case when event_id like '%7' then 'participant_id is required' end errors
+    from v_links where event_id like '%7'""",
+)
+def link_rejects(t: Tables) -> DataFrame:
+    """Links in the short column names that payloads may use, some without a participant."""
+    payload = t.links.select(
+        F.col("event_id").alias("eid"), F.when(~F.col("event_id").endswith("7"), F.col("participant_id")).alias("pid"),
+        F.col("participant_id").alias("kept"),
+    )
+    _, rejects = validate.validate(tables.canonical_keys(payload), validate.link_rules())
+    return rejects.select("event_id", F.col("kept").alias("participant_id"), F.array_join("errors", ";").alias("errors"))
+
+
 _EDIT_START = ("'2024-05-01'", "'2024-13-01'", "'01.05.2024'", "''")
 _EDIT_END = ("'2024-05-03'", "'2024-04-30'", "'x'")
 
@@ -391,6 +436,25 @@ def register_links(t: Tables) -> DataFrame:
     return mutate.register_links(stored, rows, "_order")
 
 
+@query(
+    "patched_people",
+    "v_participants",
+    """select pid, case when ord % 4 = 1 and ord % 3 <> 2 then 'Chief' else position end as position,
+    case when ord % 4 = 1 and ord % 3 = 2 then 'phone invalid' end errors from v_participants""",
+)
+def patched_people(t: Tables) -> DataFrame:
+    """Every fourth person gets a new position; a bad phone in the change set undoes the change."""
+    people = t.participants.withColumn("name", F.lit("Ann LEE"))
+    changes = t.participants.select(
+        F.when(F.col("ord") % 4 == 1, F.col("pid")).otherwise(F.concat(F.lit("N"), "pid")).alias("pid"),
+        F.lit("Chief").alias("position"),
+        F.when(F.col("ord") % 3 == 2, "123").alias("phone"),
+    )
+    patched, bad = mutate.patch_participants(people, changes)
+    errors = bad.select("pid", F.array_join("errors", ";").alias("errors"))
+    return patched.join(errors, "pid", "left").select("pid", "position", "errors")
+
+
 @query(
     "phone_maintenance",
     "v_participants",

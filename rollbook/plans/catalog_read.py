@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rollbook.functions import text
 from rollbook.operators import paging, reports, tables, validate
 from rollbook.plans import screens
 from rollbook.plans.bindings import Tables
 from rollbook.plans.catalog import query
+from rollbook.sources import stored
 
 SUMMARIES = """select e.eid, e.title, e.place, coalesce(c.country, e.country) country, e.country country_code,
     strftime(e.start_date, '%Y-%m-%d') start_date, strftime(e.end_date, '%Y-%m-%d') end_date, e.type, e.cost,
@@ -361,6 +363,75 @@ def distinct_links(t: Tables) -> DataFrame:
     return tables.distinct_links(t.attendance_rows)
 
 
+@query(
+    "people_of_one_country",
+    "v_participants",
+    "select pid, name from v_participants where representing_country = 'C003'",
+)
+def people_of_one_country(t: Tables) -> DataFrame:
+    return tables.by_country(t.participants, "C003").select("pid", "name")
+
+
+@query("people_of_one_grade", "v_participants", "select pid, name from v_participants where grade = 2")
+def people_of_one_grade(t: Tables) -> DataFrame:
+    return tables.by_grade(t.participants, 2).select("pid", "name")
+
+
+@query(
+    "links_of_one_event",
+    "v_links",
+    "select event_id, participant_id from v_links where event_id = 'E00011'",
+)
+def links_of_one_event(t: Tables) -> DataFrame:
+    return tables.participant_ids(t.links, "E00011")
+
+
+@query(
+    "links_of_one_person",
+    "v_links",
+    "select participant_id, event_id from v_links where participant_id = 'P0011'",
+)
+def links_of_one_person(t: Tables) -> DataFrame:
+    return tables.event_ids(t.links, "P0011")
+
+
+@query(
+    "sorted_roster",
+    "v_links v_participants v_countries",
+    f"select event_id, pid, name, position, grade, country from ({_ROSTER}) order by grade, pid",
+)
+def sorted_roster(t: Tables) -> DataFrame:
+    return paging.sort_roster(reports.roster_of(t.links, t.participants, t.countries, t.events), "grade")
+
+
+@query("countries_by_name", "v_countries", "select cid, country from v_countries")
+def countries_by_name(t: Tables) -> DataFrame:
+    return stored.countries_by_name(t.countries).select("cid", "country")
+
+
+@query(
+    "preview_rows",
+    "v_participants",
+    """select '{"pid":"' || pid || '","name":"' || name || '","grade":' || grade || case when position = 'MACHINERY' then ''
+    else ',"position":"' || position || '"' end || '}' preview from v_participants""",
+)
+def preview_rows(t: Tables) -> DataFrame:
+    shown = F.when(F.col("position") != "MACHINERY", F.col("position")).alias("position")
+    return reports.to_preview(t.participants.select("pid", "name", F.col("grade").cast("string").alias("grade"), shown))
+
+
+@query(
+    "same_citizenships",
+    "v_participants",
+    """select pid, birth_country = representing_country or third_country in (birth_country, representing_country) same
+    from v_participants""",
+)
+def same_citizenships(t: Tables) -> DataFrame:
+    """Whether the distinct citizenships are the three mentions in another order."""
+    listed = F.array("birth_country", "representing_country", F.format_string("C%03d", F.col("ord") % 28))
+    return t.participants.select("pid", (~text.same_items("citizenships", listed)).alias("same"))
+
+
 @query(
     "unknown_citizenships",
     "v_participants v_countries",

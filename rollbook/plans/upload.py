@@ -116,9 +116,9 @@ def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
     # The window is over different dates of birth of one name and country, a bounded group.
     turn = F.row_number().over(Window.partitionBy(*same).orderBy("_at"))
     waiting = undated.join(firsts.select(*same).distinct(), same, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*same).orderBy("ord", "pid"))
-    places = waiting.select(*same, F.col("pid").alias("_open_pid"), place.alias("_turn"))
-    needing = dated.filter(F.col("_dated_pid").isNull()).withColumn("_turn", turn)
+    places = sequence.group_rank(waiting.select(*same, "ord", "pid"), same, ["ord", "pid"], "_turn")
+    places = places.select(*same, F.col("pid").alias("_open_pid"), "_turn")
+    needing = dated.filter(F.col("_dated_pid").isNull()).withColumn("_turn", turn.cast("bigint"))
     opened = needing.join(places, [*same, "_turn"], "left").drop("_turn")
     settled = dated.filter(F.col("_dated_pid").isNotNull()).withColumn("_open_pid", F.lit(None).cast("string"))
     found = checkpointed(opened.unionByName(settled)).withColumn("matched_pid", F.coalesce("_dated_pid", "_open_pid"))
