@@ -267,6 +267,7 @@ def match_existing(
     name: str = "name",
     country: str = "representing_country",
     dob: str = "dob",
+    few: bool = False,
 ) -> DataFrame:
     """Add the pid of the first stored participant with the same name and country.
 
@@ -275,11 +276,16 @@ def match_existing(
     stored row (``lenient``).
 
     Stored rows are reduced to one row per name and country and one per name, country and
-    date before the joins, so people who share a name never multiply.
+    date before the joins, so people who share a name never multiply.  ``few`` says that the
+    incoming rows are few and cheap to read twice: stored rows with other names are then
+    dropped before anything is shuffled.
     """
     people = stored.select(
         F.col("name").alias("_n"), F.col("representing_country").alias("_c"), F.col("dob").alias("_d"), "pid", "ord"
     )
+    if few:
+        wanted = incoming.select(F.col(name).alias("_n"), F.col(country).alias("_c")).distinct()
+        people = people.join(wanted, ["_n", "_c"], "left_semi")
     place = F.struct("ord", "pid")
     by_name = people.groupBy("_n", "_c").agg(
         F.min(F.when(F.col("_d").isNull(), place)).alias("_open"), F.min(place).alias("_any")

@@ -23,11 +23,16 @@ _PROFILE = (
 
 @dataclass
 class Upload:
-    """New content of the stored tables and the bundles that were refused."""
+    """New content of the stored tables, the rows that are new in them, and the refused bundles.
+
+    Uploaded events are new, so their rows and those of their snapshots can be appended.
+    """
 
     participants: DataFrame
     participant_events: DataFrame
     events: DataFrame
+    added_snapshots: DataFrame
+    added_events: DataFrame
     rejects: DataFrame
 
 
@@ -106,12 +111,14 @@ def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
     next newcomers of the same name take the next such person, or become new ones.
     """
     who = ["name", "representing_country", "dob"]
-    firsts = people.groupBy(*who).agg(
-        F.min(F.struct("path", "row_no")).alias("_at"),
-        F.min_by("given_pid", F.when(F.col("given_pid").isNotNull(), F.struct("path", "row_no"))).alias("given_pid"),
+    firsts = checkpointed(
+        people.groupBy(*who).agg(
+            F.min(F.struct("path", "row_no")).alias("_at"),
+            F.min_by("given_pid", F.when(F.col("given_pid").isNotNull(), F.struct("path", "row_no"))).alias("given_pid"),
+        )
     )
     undated = stored.filter(F.col("dob").isNull())
-    dated = match.match_existing(firsts, stored.filter(F.col("dob").isNotNull()), "strict", "_dated_pid")
+    dated = match.match_existing(firsts, stored.filter(F.col("dob").isNotNull()), "strict", "_dated_pid", few=True)
     same = ["name", "representing_country"]
     # The window is over different dates of birth of one name and country, a bounded group.
     turn = F.row_number().over(Window.partitionBy(*same).orderBy("_at"))
@@ -253,4 +260,4 @@ def upload(
         {"created_at": now.cast("timestamp"), "updated_at": now.cast("timestamp")}
     )
     new_events = events.unionByName(accepted, allowMissingColumns=True)
-    return Upload(new_participants, new_links, new_events, rejects)
+    return Upload(new_participants, new_links, new_events, kept_snapshots, accepted, rejects)

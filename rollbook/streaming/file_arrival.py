@@ -29,8 +29,10 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000
 def process(files: DataFrame, root: str) -> DataFrame:
     """Import and upload one batch of files into the tables below ``root``; returns the rejects.
 
-    The event table is written last.  A batch that is run again finds its events stored and
-    changes nothing; a batch that broke off half way patches the same people again.
+    Snapshots and events of new events are appended; only the participants, which a batch may
+    patch, get a new version, so batches should be large.  The event table is written last: a
+    batch that is run again finds its events stored and changes nothing, and one that broke
+    off half way patches the same people again and leaves known snapshots alone.
     """
     spark = prepare(files.sparkSession)
     tables = {n: stored.read_table(spark, root, n) for n in ("countries", "participants", "participant_events", "events")}
@@ -38,8 +40,8 @@ def process(files: DataFrame, root: str) -> DataFrame:
     bundles = checkpointed(preview_bundles(found.events, found.attendees, found.snapshots))
     result = upload(bundles, tables["participants"], tables["participant_events"], tables["events"])
     stored.write_table(result.participants, root, "participants")
-    stored.write_table(result.participant_events, root, "participant_events")
-    stored.write_table(result.events, root, "events")
+    stored.append(spark, root, "participant_events", result.added_snapshots)
+    stored.append(spark, root, "events", result.added_events)
     return result.rejects
 
 
