@@ -12,7 +12,7 @@ from rollbook.plans.catalog import query
 
 VIEWS["v_lines_of_text"] = (
     "select doc_id, line_no, line from (select doc_id, unnest(string_split(text, chr(10))) line, "
-    "generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from documents)"
+    "(generate_subscripts(string_split(text, chr(10)), 1) - 1)::int line_no from documents)"
 )
 
 
@@ -75,7 +75,7 @@ _WORDS = f"list_filter(string_split({_CANON.format(_ORDERED)}, ' '), lambda w: w
 @query(
     "name_variants",
     "v_lines_of_text",
-    f"""select doc_id, line_no, case when len(w) = 1 then 1 else greatest(0, least(3, len(w) - 1)) end variants,
+    f"""select doc_id, line_no, case when len(w) = 1 then 1 else greatest(0, least(3, len(w) - 1))::int end variants,
     md5(case when len(w) = 0 then '' when len(w) = 1 then w[1] || '//' else array_to_string(list_transform(
     range(1, least(3, len(w) - 1) + 1), lambda i: w[1] || '/' || array_to_string(w[2:len(w) - i], ' ') || '/'
     || array_to_string(w[len(w) - i + 1:len(w)], ' ')), ';') end) digest
