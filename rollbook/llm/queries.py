@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import simhash
+from rollbook.llm import mixing, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+#: The site rules of the url query.
+SITE_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+#: Patterns that decide where no site rule fits.
+PATTERN_RULES = (
+    url_filter.word_rule("block", "spam farms", r"^(?:[^#]*\.)?spam-farm(?:\.[^#]*)?#", ("spam", "farm")),
+    url_filter.word_rule("block", "casino hosts", r"^(?:[^#]*[.-])?casino[.-][^#]*#", ("casino",)),
+)
+
+
+@query(
+    "op4_url_filters",
+    r"""
+    WITH parts AS (
+      SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages
+    ), split AS (
+      SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM parts
+    ), rules(rule, rule_host, rule_path, action) AS (
+      VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+             ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+    ), judged AS (
+      SELECT page_id, host, path,
+             (SELECT min({'r': -length(rule), 'rule': rule, 'action': action}) FROM rules
+              WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best
+      FROM split
+    )
+    SELECT page_id, host, path, best.rule AS rule,
+           coalesce(best.action, CASE WHEN regexp_matches(host, '^(.*\.)?spam-farm(\..*)?$') OR regexp_matches(host, '^(.*[.-])?casino[.-]')
+                                      THEN 'block' ELSE 'allow' END) AS verdict
+    FROM judged
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rules = [url_filter.site_rule(*rule) for rule in SITE_RULES]
+    return url_filter.judge_urls(table(spark, folder, "pages"), [*rules, *PATTERN_RULES])
+
+
+@query("op5_mix_to_target_weights")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
