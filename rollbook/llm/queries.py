@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import mixing, simhash, url_filter
+from rollbook.llm import mixing, secrets, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,10 +40,10 @@ SITE_RULES = (
     ("block", "net/fr/"),
 )
 
-#: Patterns that decide where no site rule fits.
+#: Patterns that decide where no site rule fits: farms of spam, and hosts with one of these words before a dash.
 PATTERN_RULES = (
     url_filter.word_rule("block", "spam farms", r"^(?:[^#]*\.)?spam-farm(?:\.[^#]*)?#", ("spam", "farm")),
-    url_filter.word_rule("block", "casino hosts", r"^(?:[^#]*[.-])?casino[.-][^#]*#", ("casino",)),
+    *(url_filter.word_rule("block", f"{word} hosts", rf"^(?:[^#]*\.)?{word}-[^#]*#", (word,)) for word in ("adult", "casino", "cheap")),
 )
 
 
@@ -66,7 +66,7 @@ PATTERN_RULES = (
       FROM split
     )
     SELECT page_id, host, path, best.rule AS rule,
-           coalesce(best.action, CASE WHEN regexp_matches(host, '^(.*\.)?spam-farm(\..*)?$') OR regexp_matches(host, '^(.*[.-])?casino[.-]')
+           coalesce(best.action, CASE WHEN regexp_matches(host, '^(.*\.)?(spam-farm(\..*)?$|(adult|casino|cheap)-)')
                                       THEN 'block' ELSE 'allow' END) AS verdict
     FROM judged
     """,
@@ -79,3 +79,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_mix_to_target_weights")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op8_secret_scans")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
