@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import mixing, secrets, simhash, url_filter
+from rollbook.llm import mixing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_secret_scans")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
