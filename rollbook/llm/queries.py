@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import mixing, secrets, simhash, toxicity, url_filter
+from rollbook.llm import decontaminate, line_dedup, mixing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.repeated_units(table(spark, folder, "documents")).drop("text_id")

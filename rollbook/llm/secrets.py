@@ -49,10 +49,10 @@ def fit(docs: DataFrame, rows: int = 1000, run: int = 8) -> list[float]:
     identifiers), each the first in order of a hash.  Pairs are counted with one added to each, so pairs never
     seen have a value too, and without any sample all ratios are zero.
     """
-    texts = docs.select("text", F.xxhash64("text").alias("_order")).where("text is not null")
+    texts = docs.select("text", F.xxhash64(*docs.columns).alias("_order")).where("text is not null")
     strict = ACCESS + "|" + HEX + "|" + ASSIGN.replace("]+)", "]{6,})")
-    with_secret = texts.where(F.col("text").rlike(strict)).orderBy("_order").limit(rows)
-    at_large = texts.orderBy("_order").limit(rows)
+    with_secret = _first(texts, F.col("text").rlike(strict), rows)
+    at_large = _first(texts, F.lit(True), rows)
     found = base_spans(with_secret)
     keys = F.concat(
         F.transform("assign", lambda m: F.regexp_extract(m["value"], ASSIGN, 2)),
@@ -83,6 +83,12 @@ def _places(value: Column) -> Column:
     return F.filter(F.transform(characters, lambda c: F.call_function("instr", F.lit(ALPHABET), c)), lambda place: place > 0)
 
 
+def _first(texts: DataFrame, wanted: Column, rows: int) -> DataFrame:
+    """The ``rows`` wanted texts that are first in order of the hash; only hashes are sorted, no texts."""
+    last = texts.where(wanted).select("_order").orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
+    return texts.where(F.col("_order") <= F.lit(last).cast("long")).where(wanted).limit(rows)
+
+
 def score(value: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of a string, random over ordinary; characters outside the alphabet are skipped."""
     table = F.expr("cast(split('" + ",".join(f"{x:.6f}" for x in ratios) + "', ',') as array<double>)")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.groups import EDGES, block_pairs, blocks, by_block, components, edges_of
-from rollbook.llm.shared import text_blocks, written
+from rollbook.llm.shared import short_id, text_blocks, written
 from rollbook.llm.tokens import LOWER, bit_majority, mix, shingles, word_bounds, xxh64
 
 #: Seeds that make independent fingerprints of the same features.
@@ -171,11 +171,6 @@ def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarray,
     return out.astype(np.int64), sizes
 
 
-def short_id(column: str = "text") -> F.Column:
-    """64 bits of the SHA-256 of a text, as a number."""
-    return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 15), 16, 10).cast("long")
-
-
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of copies and near copies (see ``near_copies``).
 

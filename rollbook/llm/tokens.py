@@ -13,6 +13,10 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: ASCII letters and digits and all bytes of longer characters as they are, every other byte a space.
+ALPHANUMERIC = np.arange(256, dtype=np.uint8)
+ALPHANUMERIC[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
+
 #: Fixed values of the XXH64 hash.
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x)

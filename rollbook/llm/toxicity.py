@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.shared import text_blocks, utf8
-from rollbook.llm.tokens import joined, word_bounds, xxh64
+from rollbook.llm.tokens import ALPHANUMERIC, joined, word_bounds, xxh64
 
 #: Words whose vectors are averaged together.
 WINDOW = 6
@@ -26,11 +26,6 @@ _BITS = 17
 _GRAMS = (3, 4, 5, 6, 8)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-#: ASCII letters and digits and all bytes of longer characters; other bytes part words.
-_PARTS = np.arange(256, dtype=np.uint8)
-_PARTS[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
-
-
 @dataclass(frozen=True)
 class Model:
     """What a window needs of a trained model: a number for each hashed gram, and the calibration of a document.
@@ -48,7 +43,7 @@ class Bag:
     """Hashed grams of the words of a block of texts (lower-cased UTF-8)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        data = _PARTS[data]
+        data = ALPHANUMERIC[data]
         starts, ends, self.first = word_bounds(data, offsets)
         flat, starts, ends = joined(data, starts, ends)
         self.words = len(starts)
@@ -112,7 +107,7 @@ class Sample:
         hashes, firsts, seen = [], [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)]
         for low in range(0, len(texts), 256):
             data, offsets = utf8(texts.slice(low, 256))
-            data = _PARTS[data]
+            data = ALPHANUMERIC[data]
             starts, ends, first = word_bounds(data, offsets)
             mine = xxh64(data, starts, ends)
             fresh = np.sort(np.unique(mine, return_index=True)[1])
