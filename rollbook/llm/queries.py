@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import decontaminate, line_dedup, mixing, secrets, simhash, toxicity, url_filter
+from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.repeated_units(table(spark, folder, "documents")).drop("text_id")
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
