@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, simhash, toxicity, url_filter
+from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_embedding_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, folder, "documents"))
