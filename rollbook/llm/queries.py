@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, secrets, simhash, suffix_dedup, toxicity, url_filter
+from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, folder, "documents"))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, folder, "documents"))
