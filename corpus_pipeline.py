@@ -6,17 +6,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import simhash
+from rollbook.llm import decontaminate, mixing, secrets, simhash, toxicity
 from rollbook.llm.shared import shared_folder
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that the model trained on the labels rejects go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group of near copies stays."""
     return simhash.drop_near_copies(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that overlap with an item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every document stays, its secrets replaced by their kind in brackets."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: how many words the mix takes of each document."""
+    return mixing.mix(docs)
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("simhash_near_dedup", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
+    ("mix_to_target_weights", mixed),
 ]
 
 #: Trained scores and fingerprints of whole texts are beyond SQL; the stages are tested against brute force.

@@ -58,7 +58,7 @@ def near_vectors(
     )
     rows = rows.withColumn("v", F.when(usable, F.col("v")))
     # The node of equal vectors is known by a digest; a row without a usable vector has none.
-    node = F.when(F.col("v").isNotNull(), F.conv(F.substring(F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256), 1, 15), 16, 10).cast("long"))
+    node = F.when(F.col("v").isNotNull(), F.conv(F.substring(F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256), 1, 16), 16, -10).cast("long"))
     named = written(rows.withColumn("node", node))
     nodes = named.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = written(nodes)

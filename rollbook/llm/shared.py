@@ -55,4 +55,4 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
 
 def short_id(column: str = "text") -> F.Column:
     """64 bits of the SHA-256 of a text, as a number."""
-    return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 16), 16, -10).cast("long")
