@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import short_id, text_blocks, written
+from rollbook.llm.shared import packed, short_id, text_blocks, written
 from rollbook.llm.tokens import LOWER, mix, word_bounds, xxh64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +92,8 @@ def without_repeats(docs: DataFrame, least_words: int = 8) -> DataFrame:
     spans = repeated_units(docs, least_words).groupBy("doc_id", "text_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")
     )
-    rows = docs.withColumn("_t", short_id()).alias("d")
-    both = rows.join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._t") == F.col("s.text_id")), "left")
+    rows = packed(docs, F.col("doc_id").alias("d"), short_id().alias("t"), "text")
+    both = rows.join(spans, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_id")), "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +104,8 @@ def without_repeats(docs: DataFrame, least_words: int = 8) -> DataFrame:
                     out.append(text[at : span["start"]])
                     at = span["end"]
                 texts.append(None if text is None else "".join([*out, text[at:]]))
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            yield batch.set_column(1, batch.schema.field(1), pa.array(texts, batch.schema.field(1).type))
 
-    out = both.select(*[f"d.{c}" for c in docs.columns if c != "removed"], "s.removed")
-    return out.mapInArrow(run, out.schema)
+    out = both.mapInArrow(run, both.schema)
+    names = [c for c in docs.columns if c != "removed"]
+    return out.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in names], "removed")

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.llm.shared import packed, unpacked
 from rollbook.llm.spans import empty, in_order, labelled, listed, masked, with_matches
 
 #: The forms that are always reported, in the order in which equal starts are listed.
@@ -131,10 +132,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by its kind in brackets, and ``n_chars`` to match."""
-    found = scan_secrets(docs)
-    text = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
+    """``docs`` with every span in ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, to match."""
+    found = scan_secrets(packed(docs, F.col("text")))
+    some = F.size("spans") > 0
+    found = found.withColumn("text", F.when(some, masked(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    replaced = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        replaced["n_chars"] = F.when(some, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(found, docs, **replaced)

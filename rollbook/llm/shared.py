@@ -56,3 +56,13 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
 def short_id(column: str = "text") -> F.Column:
     """64 bits of the SHA-256 of a text, as a number."""
     return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 16), 16, -10).cast("long")
+
+
+def packed(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside ``more``, so that no name of theirs can clash with another."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *more)
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **replaced: F.Column) -> DataFrame:
+    """The columns of ``like`` out of ``row``, some replaced."""
+    return rows.select(*[(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in like.columns])

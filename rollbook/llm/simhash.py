@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.groups import EDGES, block_pairs, blocks, by_block, components, edges_of
-from rollbook.llm.shared import short_id, text_blocks, written
+from rollbook.llm.shared import packed, short_id, text_blocks, unpacked, written
 from rollbook.llm.tokens import LOWER, bit_majority, mix, shingles, word_bounds, xxh64
 
 #: Seeds that make independent fingerprints of the same features.
@@ -177,17 +177,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     The smallest ``doc_id`` stays, null ids last; of rows that are equal in it, the one whose other columns
     hash lowest, and one of rows that are equal in everything.  Rows without any word are one group.
     """
-    names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    order = F.struct(
-        F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*rest, F.lit(0)).alias("h"), F.col("_text_id").alias("t")
-    )
-    ids = docs.withColumn("_text_id", short_id())
-    groups = near_copies(docs, words, similarity).withColumnRenamed("text_id", "_text_id").withColumnRenamed("group", "_group")
-    placed = ids.select("_text_id", order.alias("_order")).groupBy("_text_id").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("_n"))
-    placed = written(placed.join(groups, "_text_id", "left").withColumn("_group", F.coalesce("_group", "_text_id")))
-    best = placed.groupBy("_group").agg(F.min("_order").alias("_best"), F.sum("_n").alias("_n")).where("_n > 1")
-    told = placed.drop("_n").join(best, "_group").select("_text_id", "_best")
-    rows = ids.withColumn("_order", order).join(told, "_text_id", "left").where("_best is null or _order = _best")
-    single = rows.where("_best is null").select(*names)
-    return single.unionByName(rows.where("_best is not null").dropDuplicates(["_text_id"]).select(*names))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*rest, F.lit(0)).alias("h"), short_id().alias("t"))
+    groups = near_copies(docs, words, similarity)
+    placed = docs.select(order.alias("order")).groupBy(F.col("order.t").alias("text_id")).agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("n"))
+    placed = written(placed.join(groups, "text_id", "left").withColumn("group", F.coalesce("group", "text_id")))
+    best = placed.groupBy("group").agg(F.min("order").alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    told = written(placed.join(best, "group").select("text_id", "best"))
+    rows = packed(docs, short_id().alias("text_id"), order.alias("order")).join(told, "text_id", "left")
+    alone = rows.where("best is null")
+    # Rows that are equal in everything are the same choice.
+    chosen = rows.where("best is not null and order = best").dropDuplicates(["text_id"])
+    return unpacked(alone, docs).unionByName(unpacked(chosen, docs))

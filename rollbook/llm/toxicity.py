@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import text_blocks, utf8
+from rollbook.llm.shared import packed, text_blocks, unpacked, utf8
 from rollbook.llm.tokens import ALPHANUMERIC, joined, word_bounds, xxh64
 
 #: Words whose vectors are averaged together.
@@ -241,47 +241,43 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> Model:
     return train(texts, table.column("toxic").to_numpy(), float(share))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); an empty or null text has the score of no words."""
+def _chances(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    worst = Bag(data, offsets).windows(model.grams, model.bias)
+    return 1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -500, 500)))
+
+
+def _lowered() -> F.Column:
+    return F.lower(F.coalesce("text", F.lit(""))).alias("low")
 
-    names = [c for c in docs.columns if c not in ("score", "predicted", "_low")]
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every row; an empty or null text has the score of no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_blocks(batch, "_low"):
-                worst = Bag(data, offsets).windows(model.grams, model.bias)
-                chance = 1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -500, 500)))
-                columns = [rows.column(c) for c in names]
-                yield pa.record_batch([*columns, pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            for rows, data, offsets in text_blocks(batch, "low"):
+                chance = _chances(data, offsets, model)
+                marks = pa.array((chance >= 0.5).astype(np.int32))
+                yield pa.record_batch([rows.column(0), pa.array(chance), marks], names=["doc_id", "score", "predicted"])
 
-    low = F.lower(F.coalesce("text", F.lit(""))).alias("_low")
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*names).dtypes) + ", score double, predicted int"
-    return docs.select(*names, low).mapInArrow(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _lowered()).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
-    model = fit(docs, labels)
-    rows = docs.select("doc_id", "text")
-    return _narrow(rows, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def _narrow(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores without handing the texts back."""
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that a model trained on their labels predicts to be toxic."""
+    model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_blocks(batch, "_low"):
-                worst = Bag(data, offsets).windows(model.grams, model.bias)
-                chance = 1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -500, 500)))
-                yield pa.record_batch(
-                    [rows.column(0), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
-                )
-
-    low = F.lower(F.coalesce("text", F.lit(""))).alias("_low")
-    return docs.select("doc_id", low).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+            for rows, data, offsets in text_blocks(batch, "low"):
+                clean = pa.array(_chances(data, offsets, model) < 0.5)
+                yield pa.record_batch([rows.column("row").filter(clean)], names=["row"])
 
-
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the trained model predicts to be toxic."""
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    rows = packed(docs, _lowered())
+    return unpacked(rows.mapInArrow(run, rows.select("row").schema), docs)
