@@ -42,46 +42,48 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return with_matches(out, "hex", "text", HEX, F.col("text").rlike(HEX))
 
 
-def fit(docs: DataFrame, rows: int = 1000, run: int = 8) -> list[float]:
+def fit(docs: DataFrame, rows: int = 1000, run: int = 8, shortest: int = 20) -> list[float]:
     """Log-likelihood ratios of character pairs, random over ordinary, ``len(ALPHABET) ** 2`` of them.
 
     The labelled samples come from at most ``rows`` documents with a match of a known form (its value is a random
-    string) and ``rows`` documents at large (their other runs of ``run`` or more key characters are ordinary
-    identifiers), each the first in order of a hash.  Pairs are counted with one added to each, so pairs never
-    seen have a value too, and without any sample all ratios are zero.
+    string) and ``rows`` documents at large (their other runs of key characters, from ``run`` on but too short to
+    be judged, are ordinary identifiers), each the first in order of a hash.  Pairs never seen have a value too, and without any sample
+    all ratios are zero.
     """
     texts = docs.select("text", F.xxhash64(*docs.columns).alias("_order")).where("text is not null")
     strict = ACCESS + "|" + HEX + "|" + ASSIGN.replace("]+)", "]{6,})")
     with_secret = _first(texts, F.col("text").rlike(strict), rows)
     at_large = _first(texts, F.lit(True), rows)
-    found = base_spans(with_secret)
     keys = F.concat(
         F.transform("assign", lambda m: F.regexp_extract(m["value"], ASSIGN, 2)),
         F.transform("access", lambda m: m["value"]),
         F.transform("hex", lambda m: m["value"]),
     )
-    random = found.select(F.lit(1).alias("label"), F.explode(keys).alias("value"))
-    words = F.filter(F.regexp_extract_all(F.col("text"), F.lit(_RUN % run), F.lit(0)), lambda w: ~w.rlike(f"{ACCESS}|{HEX}"))
-    plain = at_large.select(F.lit(0).alias("label"), F.explode(words).alias("value"))
+    random = base_spans(with_secret).select(F.lit(1).alias("label"), F.explode(keys).alias("value"))
+    runs = F.filter(F.regexp_extract_all(F.col("text"), F.lit(_RUN % run), F.lit(0)), lambda w: F.length(w) < shortest)
+    ordinary = F.filter(runs, lambda w: ~F.exists(keys, lambda k: F.contains(w, k) | F.contains(k, w)))
+    plain = base_spans(at_large).select(F.lit(0).alias("label"), F.explode(ordinary).alias("value"))
     both = random.unionAll(plain).withColumn("places", _places(F.col("value"))).where(F.size("places") > 1)
     shifted = F.slice("places", F.lit(2), F.size("places") - 1)
     pairs = F.zip_with(F.slice("places", F.lit(1), F.size("places") - 1), shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     counted = both.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair.a", "pair.b").count()
     size = len(ALPHABET)
-    counts = [[[1.0] * size for _ in range(size)] for _ in range(2)]
+    counts = [[[0.0] * size for _ in range(size)] for _ in range(2)]
     for row in counted.collect():  # at most two rows for each pair of characters
         counts[row["label"]][row["a"] - 1][row["b"] - 1] += row["count"]
-    ratio = []
-    for a in range(size):
-        totals = [sum(counts[label][a]) for label in range(2)]
-        ratio += [math.log(counts[1][a][b] / totals[1]) - math.log(counts[0][a][b] / totals[0]) for b in range(size)]
-    return ratio
+    return [y - x for x, y in zip(_log_chances(counts[0]), _log_chances(counts[1]), strict=True)]
 
 
-def _places(value: Column) -> Column:
-    """Place in the alphabet of each character of a string, from one; others are left out."""
-    characters = F.regexp_extract_all(value, F.lit("."), F.lit(0))
-    return F.filter(F.transform(characters, lambda c: F.call_function("instr", F.lit(ALPHABET), c)), lambda place: place > 0)
+def _log_chances(counts: list[list[float]], weight: float = 64.0) -> list[float]:
+    """Logarithms of the chances of the second character of each pair, given the first.
+
+    Pairs are blended with the chances of single characters, which count as ``weight`` more pairs; half an
+    occurrence is added to every single character.
+    """
+    size = len(counts)
+    single = [0.5 + sum(row[b] for row in counts) for b in range(size)]
+    whole = sum(single)
+    return [math.log((row[b] + weight * single[b] / whole) / (sum(row) + weight)) for row in counts for b in range(size)]
 
 
 def _first(texts: DataFrame, wanted: Column, rows: int) -> DataFrame:
@@ -90,6 +92,12 @@ def _first(texts: DataFrame, wanted: Column, rows: int) -> DataFrame:
     return texts.where(F.col("_order") <= F.lit(last).cast("long")).where(wanted).limit(rows)
 
 
+def _places(value: Column) -> Column:
+    """Place in the alphabet of each character of a string, from one; others are left out."""
+    characters = F.regexp_extract_all(value, F.lit("."), F.lit(0))
+    return F.filter(F.transform(characters, lambda c: F.call_function("instr", F.lit(ALPHABET), c)), lambda place: place > 0)
+
+
 def score(value: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of a string, random over ordinary; characters outside the alphabet are skipped."""
     table = F.expr("cast(split('" + ",".join(f"{x:.6f}" for x in ratios) + "', ',') as array<double>)")
@@ -110,7 +118,7 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, shortest: i
     log-likelihood ratio is ``least`` or more.  The models are fitted on ``docs`` unless ``ratios`` are given.
     A null or empty text has no spans; columns with these names are replaced.
     """
-    ratios = fit(docs) if ratios is None else ratios
+    ratios = fit(docs, shortest=shortest) if ratios is None else ratios
     out = base_spans(docs.drop(*KINDS, "spans"))
     out = with_matches(out, "random", "text", _RUN % shortest, F.col("text").rlike(_RUN % shortest))
     known = F.concat("assign", "access", "hex")
