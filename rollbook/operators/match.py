@@ -323,45 +323,29 @@ def choose_snapshot(rows: DataFrame, supplied: DataFrame, keys: Sequence[str], e
     return joined.withColumn("snapshot", F.coalesce("_supplied", extracted)).drop("_supplied")
 
 
-# Offline translations, by lower-case text, with the source language.
-PHRASES = [
-    ("bonjour tout le monde", "en", "Hello everyone", "fr"),
-    ("ciudad de mexico", "en", "Mexico City", "es"),
-    ("pasaporte", "en", "passport", "es"),
-    ("emitido por espana", "en", "issued by spain", "es"),
-    ("regresando a estados unidos", "en", "returning to united states", "es"),
-    ("dieta vegetariana", "en", "vegetarian diet", "es"),
-    ("organizacion internacional", "en", "international organization", "es"),
-    ("unidad especial", "en", "special unit", "es"),
-    ("coronel del ejercito", "en", "army colonel", "es"),
-    ("biografia corta del participante", "en", "short biography of the participant", "es"),
-]
-
-
-def phrase_table(df: DataFrame) -> DataFrame:
-    """The offline translations as a DataFrame; callers may pass a larger table of the same shape."""
-    return df.sparkSession.createDataFrame(PHRASES, "phrase string, lang string, translated string, source_lang string")
-
-
 def translate(
-    df: DataFrame, columns: Sequence[str], phrases: DataFrame | None = None, lang: str = "en", input_lang: str | None = None
+    df: DataFrame, columns: Sequence[str], phrases: DataFrame | None, lang: str = "en", input_lang: str | None = None
 ) -> DataFrame:
-    """Replace texts that the phrase table knows; other text stays as it is.
+    """Replace texts that the phrase table ``(phrase, lang, translated, source_lang)`` knows; other text stays as it is.
 
     With ``input_lang`` a text counts as translated only if the table names that source
-    language; ``<column>_verified`` then tells which values were.
+    language; ``<column>_verified`` then tells which values were.  Phrases ignore case; of several
+    translations of a phrase the one of the first source language, then the first text, counts.
+    Without a phrase table nothing is translated; null text becomes empty either way.
     """
-    phrases = phrase_table(df) if phrases is None else phrases
+    if phrases is None:
+        unverified = {f"{name}_verified": F.lit(False) for name in columns} if input_lang is not None else {}
+        return df.withColumns({**unverified, **{name: F.coalesce(name, F.lit("")) for name in columns}})
     known = phrases.filter(F.lower("lang") == lang.lower())
+    if input_lang is not None:
+        known = known.filter(F.lower("source_lang") == input_lang.lower())
+    known = known.groupBy(F.lower("phrase").alias("_phrase")).agg(
+        F.min_by("translated", F.struct(F.lower("source_lang"), "translated")).alias("_to")
+    )
     for name in columns:
-        side = known.select(
-            F.col("phrase").alias("_phrase"), F.col("translated").alias("_to"), F.col("source_lang").alias("_from")
-        )
-        df = df.join(side, F.lower(name) == F.col("_phrase"), "left")
+        df = df.join(known, F.lower(name) == F.col("_phrase"), "left")
         hit = F.col("_to").isNotNull()
         if input_lang is not None:
-            hit = hit & (F.lower("_from") == input_lang.lower())
-            df = df.withColumn(f"{name}_verified", F.coalesce(hit, F.lit(False)))
-        value = F.when(hit, F.col("_to")).otherwise(F.col(name))
-        df = df.withColumn(name, F.coalesce(value, F.lit(""))).drop("_phrase", "_to", "_from")
+            df = df.withColumn(f"{name}_verified", hit)
+        df = df.withColumn(name, F.coalesce(F.when(hit, F.col("_to")).otherwise(F.col(name)), F.lit(""))).drop("_phrase", "_to")
     return df

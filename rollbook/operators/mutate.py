@@ -60,9 +60,18 @@ def bulk_upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: s
     return upsert(base, delta.groupBy(*keys).agg(*last), keys)
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The smallest row of every key, so that the choice does not depend on the order of the rows."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_least"))
+    return least.select(*[F.col(c) if c in keys else F.col("_least").getField(c).alias(c) for c in rows.columns])
+
+
 def insert_missing(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add rows with new keys and leave stored rows alone; a repeated new key is added once."""
-    fresh = delta.join(base.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
+    """Add rows with new keys and leave stored rows alone; of a repeated new key the smallest row is added."""
+    fresh = one_per_key(delta.join(base.select(*keys), list(keys), "left_anti"), keys)
     return base.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -179,7 +188,7 @@ def ensure_countries(
     mapping = coded.select("_key", "cid")
     mapped = labels.withColumn("_key", F.lower(text(label))).join(mapping, "_key", "left").drop("_key")
     extra = coded.join(countries.select("cid"), "cid", "left_anti").select(
-        "cid", F.col("_text").alias("country"), (F.col("_at") + F.lit(1 << 40)).alias("ord")
+        "cid", F.col("_text").alias("country"), (F.lit(1 << 40) + F.regexp_extract("cid", r"(\d+)$", 1).try_cast("bigint")).alias("ord")
     )
     return countries.unionByName(extra, allowMissingColumns=True), mapped
 
@@ -188,7 +197,7 @@ def ensure_countries_legacy(labels: DataFrame, label: str, order: str, countries
     """Older numbering ``c%03d`` after the number of known countries; blank text is ``c000``."""
     size = countries.agg(F.count(F.lit(1)).alias("n")).scalar()
     keyed = labels.withColumn("_key", F.lower(text(label)))
-    known = countries.select(F.lower("country").alias("_key"), F.col("cid").alias("_known"))
+    known = countries.groupBy(F.lower("country").alias("_key")).agg(F.min("cid").alias("_known"))
     fresh = number_first_seen(
         keyed.filter("_key <> ''").join(known, "_key", "left_anti"), ["_key"], order, "_new", "c%03d", start=size + 1
     )

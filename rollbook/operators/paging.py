@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rollbook.operators.sequence import global_rank
 
-#: Deepest page end that is served by the top rows of each partition.  Deeper pages rank
-#: the rows in a distributed way instead of bringing them to the driver.
-TOP_ROWS = 10_000
-
 PARTICIPANT_SORTS = {
     "pid": "pid",
     "name": "name",
@@ -24,14 +20,16 @@ def _direction(c: Column, direction: int) -> Column:
 
 
 def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 0) -> DataFrame:
-    """Rows ``skip`` to ``skip + limit`` of an order that ends in a unique key; 0 is no limit."""
-    if limit and skip + limit <= TOP_ROWS:
+    """Rows ``skip`` to ``skip + limit`` of an order that ends in a unique key; 0 is no limit.
+
+    A page keeps the top rows of every partition, whatever its depth.  All rows but the first
+    few are ranked over range partitions, because an offset alone would bring them to one task.
+    """
+    if limit:
         return df.orderBy(*order).offset(skip).limit(limit)
-    if not skip and not limit:
+    if not skip:
         return df.orderBy(*order)
-    ranked = global_rank(df, order, "_rank")
-    kept = ranked.filter((F.col("_rank") > skip) & ((F.col("_rank") <= skip + limit) if limit else F.lit(True)))
-    return kept.orderBy("_rank").drop("_rank")
+    return global_rank(df, order, "_rank").filter(F.col("_rank") > skip).orderBy("_rank").drop("_rank")
 
 
 def total(df: DataFrame) -> Column:
@@ -78,10 +76,6 @@ def event_order(sort: str = "eid", direction: int = 1) -> list[Column]:
     return [_direction(value, direction), F.col("eid").asc()]
 
 
-def sort_events(df: DataFrame, sort: str = "eid", direction: int = 1) -> DataFrame:
-    return df.orderBy(*event_order(sort, direction))
-
-
 def event_page(df: DataFrame, sort: str = "eid", direction: int = 1, skip: int = 0, limit: int = 0) -> DataFrame:
     return page(df, event_order(sort, direction), skip, limit)
 
@@ -96,11 +90,6 @@ def sort_roster(df: DataFrame, sort: str = "name", direction: int = 1) -> DataFr
     return df.orderBy(_direction(value, direction), F.col("pid").asc())
 
 
-def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of an order."""
-    return page(df, order, 0, k)
-
-
 def page_info(df: DataFrame, page_no: int, size: int) -> DataFrame:
     """One row with the total, the page and the number of pages, which is at least one."""
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(size))).cast("bigint") if size else F.lit(1).cast("bigint")

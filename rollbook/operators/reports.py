@@ -7,10 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rollbook.functions.enums import grade_label
 from rollbook.functions.text import blank_to_null
 from rollbook.schemas import DEFAULT_GRADE, SNAPSHOT_COUNTRY_FIELDS, SNAPSHOT_FIELDS, SNAPSHOT_LABELS
-from rollbook.session import fits_map
-
-#: Most participant numbers one row of a roster covers.
-ROSTER_ROWS = 10_000
 
 
 def with_country_name(
@@ -29,17 +25,14 @@ def with_country_name(
 
 
 def names_of(df: DataFrame, codes: str, keys: list[str], countries: DataFrame, into: str) -> DataFrame:
-    """Add the array of country names of an array of codes; order and unknown codes are kept.
+    """Add the array of country names of an array of codes, joined item by item for a country table of any size.
 
-    A country table of checked size becomes a map; a larger one is joined item by item.
+    Order, repeats, unknown codes and null items are kept; of a repeated cid the first name counts.
+    ``keys`` are unique and not null.
     """
-    if fits_map(countries):
-        entries = F.map_from_entries(F.collect_list(F.struct("cid", "country")))
-        looked_up = df.withColumn("_names", countries.agg(entries.alias("names")).scalar())
-        named = F.transform(codes, lambda c: F.coalesce(F.try_element_at("_names", c), c))
-        return looked_up.withColumn(into, named).drop("_names")
     items = df.select(*keys, F.posexplode(codes).alias("_pos", "_code"))
-    named = with_country_name(items, "_code", countries, "_name")
+    names = countries.groupBy(F.col("cid").alias("_cid")).agg(F.min_by("country", F.struct("ord", "country")).alias("_known"))
+    named = items.join(names, F.col("_code") == F.col("_cid"), "left").withColumn("_name", F.coalesce("_known", "_code"))
     grouped = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_items"))
     grouped = grouped.select(*keys, F.col("_items._name").alias(into))
     none = F.when(F.col(codes).isNotNull(), F.array().cast("array<string>"))
@@ -183,8 +176,9 @@ def dashboard(participants: DataFrame, events: DataFrame, countries: DataFrame)
 def detailed_stats(participants: DataFrame, countries: DataFrame) -> DataFrame:
     """Statistics page: sizes, grade counts and the five largest countries, as one row."""
     top = top_countries(participants).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("n", "representing_country")))).alias("top")
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "representing_country"))).alias("top")
     )
+    top = top.select(F.transform("top", lambda c: F.struct((-c["less"]).alias("n"), c["representing_country"].alias("representing_country"))).alias("top"))
     sizes = countries.agg(F.count(F.lit(1)).alias("n"))
     graded = participants.agg(
         F.count(F.lit(1)).alias("participants_count"),
@@ -198,25 +192,15 @@ def distinct_events(rows: DataFrame, key: str = "eid") -> DataFrame:
     return rows.agg(F.countDistinct(key).alias("events"))
 
 
-def rosters(events: DataFrame, links: DataFrame, rows: int = ROSTER_ROWS) -> DataFrame:
-    """Sorted distinct participants of every event, in arrays of bounded size.
+def rosters(events: DataFrame, links: DataFrame) -> DataFrame:
+    """Sorted distinct participants of every event, as the array that an event row holds.
 
-    ``part`` cuts a roster by participant number, so that an event of any size is a few
-    bounded arrays instead of one row that has to fit a task.  Events that nobody attended
-    have one empty array in part 0.
+    Repeated links are dropped before the shuffle; an event that nobody attended has an empty array.
     """
-    number = F.regexp_extract("participant_id", r"(\d+)$", 1).try_cast("bigint")
-    keyed = links.filter(F.col("participant_id").isNotNull()).select(
-        F.col("event_id").alias("eid"), "participant_id", F.coalesce(F.floor(number / rows), F.lit(0)).alias("part")
-    )
-    # A set of one part is bounded, and repeated links are dropped before the shuffle.
-    arrays = keyed.groupBy("eid", "part").agg(F.array_sort(F.collect_set("participant_id")).alias("participants"))
-    joined = events.select("eid").join(arrays, "eid", "left")
-    return joined.select(
-        "eid",
-        F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-        F.coalesce("participants", F.array().cast("array<string>")).alias("participants"),
-    )
+    keyed = links.filter(F.col("participant_id").isNotNull()).select(F.col("event_id").alias("eid"), "participant_id")
+    arrays = keyed.groupBy("eid").agg(F.array_sort(F.collect_set("participant_id")).alias("participants"))
+    none = F.array().cast("array<string>")
+    return events.select("eid").join(arrays, "eid", "left").select("eid", F.coalesce("participants", none).alias("participants"))
 
 
 def snapshot_details(snapshots: DataFrame, countries: DataFrame) -> DataFrame:

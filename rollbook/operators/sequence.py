@@ -8,6 +8,7 @@ through a table that has one row per block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +24,13 @@ def _before(table: DataFrame, order: str, count: str) -> Column:
     return F.coalesce(F.sum(count).over(window), F.lit(0))
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal to each other."""
+    named = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_r_{key}")) for key in keys])
+    return left.join(named, same).drop(*[f"_r_{key}" for key in keys])
+
+
 def sequence(
     df: DataFrame, order: str, into: str, fmt: str | None = None, start: Column | int = 1, block: int = BLOCK
 ) -> DataFrame:
@@ -38,7 +46,7 @@ def sequence(
     first = F.lit(start) if isinstance(start, int) else start
     number = (first + F.col("_offset") + inside - 1).cast("bigint")
     return (
-        blocked.join(offsets, "_block")
+        _beside(blocked, offsets, ["_block"])
         .withColumn(into, number if fmt is None else F.format_string(fmt, number))
         .drop("_block", "_offset")
     )
@@ -51,11 +59,16 @@ def number_first_seen(
     into: str = "n",
     fmt: str | None = None,
     start: Column | int = 1,
-    block: int = BLOCK,
 ) -> DataFrame:
-    """One row per key with its number in order of first appearance."""
+    """One row per key with its number in order of first appearance.
+
+    ``order`` is any comparable column, also a struct.  Keys are ranked over range partitions,
+    so the spacing of the order does not matter.
+    """
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("first_seen"))
-    return sequence(firsts, "first_seen", into, fmt, start, block)
+    ranked = global_rank(firsts, [F.col("first_seen").asc(), *[F.col(key).asc() for key in keys]], "_rank")
+    number = ((F.lit(start) if isinstance(start, int) else start) + F.col("_rank") - 1).cast("bigint")
+    return ranked.withColumn(into, number if fmt is None else F.format_string(fmt, number)).drop("_rank")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], into: str = "rank", parts: int | None = None) -> DataFrame:
@@ -75,7 +88,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], into: str = "rank", part
     offsets = sizes.select("_part", _before(sizes, "_part", "_size").alias("_offset"))
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")  # at most ``parts`` rows
         .withColumn(into, (F.col("_offset") + within + 1).cast("bigint"))
         .drop("_place", "_part", "_offset")
     )
@@ -93,7 +106,7 @@ def group_rank(
     ranked = global_rank(df, [F.col(c).asc() for c in (*keys, *order)], "_overall", parts)
     starts = ranked.groupBy(*keys).agg(F.min("_overall").alias("_start"))
     return (
-        ranked.join(starts, list(keys))
+        _beside(ranked, starts, keys)
         .withColumn(into, (F.col("_overall") - F.col("_start") + 1).cast("bigint"))
         .drop("_overall", "_start")
     )
@@ -115,7 +128,7 @@ def carry_forward(
     inherited = lasts.select(*part, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_inherited"))
     inside = Window.partitionBy(*part, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_inherited"))
-    return blocked.join(inherited, [*part, "_block"]).withColumn(into or value, filled).drop("_block", "_inherited")
+    return _beside(blocked, inherited, [*part, "_block"]).withColumn(into or value, filled).drop("_block", "_inherited")
 
 
 def first_candidate(candidates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

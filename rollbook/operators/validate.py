@@ -125,7 +125,7 @@ def event_edit_rules() -> Column:
 def bundle_rules(bundles: DataFrame, stored_events: DataFrame) -> DataFrame:
     """Bundles with ``errors``: not empty, an event with an eid, and not uploaded before."""
     stored = stored_events.select(F.col("eid").alias("_stored")).distinct()
-    joined = bundles.join(stored, F.col("event.eid") == F.col("_stored"), "left")
+    joined = bundles.join(stored, text("event.eid") == F.col("_stored"), "left")
     event = F.col("event")
     empty = event.isNull() & F.col("participants").isNull() & F.col("participant_events").isNull()
     eid = text("event.eid")

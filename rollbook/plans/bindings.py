@@ -29,16 +29,6 @@ SCHEMAS = {
 }
 
 
-#: Tables whose rows cost real work, and the size from which spreading them pays.
-LARGE = ("lineitem", "orders", "documents", "events")
-SPREAD_BYTES = 2 << 20
-
-
-def _bytes(table: DataFrame) -> int:
-    """Size of a scan as the optimizer knows it."""
-    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 class Tables:
     """The domain views over one folder of driver tables."""
 
@@ -46,15 +36,7 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def raw(self, name: str) -> DataFrame:
-        """A driver table.  A large one that arrives as fewer splits than there are cores is
-        spread over them; a table of many files is read as it is."""
-        table = self.read(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in LARGE and _bytes(table) >= SPREAD_BYTES and table.rdd.getNumPartitions() < cores:
-            return table.repartition(cores)
-        return table
-
-    def read(self, name: str) -> DataFrame:
+        """A driver table as it is."""
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property

@@ -16,9 +16,6 @@ from rollbook.session import checkpointed
 
 _CODE = r"^[A-Za-z]\d{3}$"
 
-#: Most country mentions of one row; spaces the order numbers of mentions.
-_MENTIONS = 1 << 16
-
 
 @dataclass
 class Load:
@@ -130,7 +127,7 @@ def with_country_codes(rows: DataFrame, countries: DataFrame) -> tuple[DataFrame
     """
     texts = F.concat(F.array("rep_text", "birth_text"), "citizen_texts")
     mentions = rows.select("row_no", F.posexplode(texts).alias("slot", "label")).filter("label is not null")
-    mentions = mentions.withColumn("mention_no", F.col("row_no") * _MENTIONS + F.col("slot"))
+    mentions = mentions.withColumn("mention_no", F.struct("row_no", "slot"))
     grown, coded = mutate.ensure_countries(mentions, "label", "mention_no", countries)
 
     def at(slot: int) -> Column:
@@ -199,12 +196,9 @@ def load(participants: DataFrame, countries: DataFrame, events: DataFrame, now:
     snapshots, bad_snapshots = validate.validate(filled, validate.snapshot_rules())
 
     rosters = reports.rosters(event_rows, snapshots)
-    whole = rosters.groupBy("eid").agg(
-        F.count(F.lit(1)).alias("_parts"), F.max_by("participants", "part").alias("_roster")
-    )
-    stored_events = event_rows.join(whole, "eid", "left").select(
+    stored_events = event_rows.join(rosters, "eid").select(
         *event_rows.columns,
-        F.when(F.col("_parts") == 1, F.col("_roster")).alias("participants"),
+        "participants",
         now.cast("timestamp").alias("created_at"),
         now.cast("timestamp").alias("updated_at"),
     )

@@ -424,12 +424,17 @@ def bulk_load_snapshots(t: Tables) -> DataFrame:
 @query(
     "bulk_load_events",
     "",
-    """select printf('E%05d', p_partkey) eid, p_name title, p_brand place, 'C008' country, p_retailprice as cost,
-    case when p_partkey % 6 <> 0 then strftime(date '2020-01-01' + (p_partkey % 150)::int, '%Y-%m-%d') end start_date from part""",
+    f"""select printf('E%05d', p_partkey) eid, p_name title, p_brand place, 'C008' country, 'Training' "type", p_retailprice as cost,
+    case when p_partkey % 6 <> 0 then strftime(date '2020-01-01' + (p_partkey % 150)::int, '%Y-%m-%d') end start_date,
+    coalesce(roster, '') roster from part left join
+    (select event_id, string_agg(distinct pid, ',' order by pid) roster from ({_ROWS}) r
+     join (select lower(name) ln, rep, printf('P%04d', row_number() over (order by min(row_no))) pid from ({_ROWS}) group by 1, 2) n
+     on n.ln = lower(name) and n.rep = r.rep where event_id is not null group by 1) on event_id = printf('E%05d', p_partkey)""",
 )
 def bulk_load_events(t: Tables) -> DataFrame:
     result = bulk_load.load(*sheets(t), now=F.lit("2025-01-01"))
-    return days(result.events, "start_date").select("eid", "title", "place", "country", "cost", "start_date")
+    roster = F.array_join("participants", ",").alias("roster")
+    return days(result.events, "start_date").select("eid", "title", "place", "country", "type", "cost", "start_date", roster)
 
 
 @query(

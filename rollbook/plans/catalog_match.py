@@ -386,4 +386,8 @@ _PHRASES = ("'Pasaporte'", "'dieta vegetariana'", "c_name", "''", None)
 )
 def translate(t: Tables) -> DataFrame:
     rows = t.raw("customer").select("c_custkey", choose("c_custkey", *_PHRASES).alias("phrase"))
-    return match.translate(rows, ["phrase"])
+    known = t.spark.createDataFrame(
+        [("pasaporte", "en", "passport", "es"), ("Dieta vegetariana", "EN", "vegetarian diet", "es"), ("pasaporte", "en", "passport", "pt")],
+        "phrase string, lang string, translated string, source_lang string",
+    )
+    return match.translate(rows, ["phrase"], known)

@@ -110,7 +110,7 @@ def ledger(t: Tables) -> DataFrame:
     printf('P%04d', row_number() over (order by min(o_orderkey))) pid from orders group by 1""",
 )
 def pid_numbering(t: Tables) -> DataFrame:
-    return sequence.number_first_seen(t.raw("orders"), ["o_custkey"], "o_orderkey", "pid", "P%04d", block=4096)
+    return sequence.number_first_seen(t.raw("orders"), ["o_custkey"], "o_orderkey", "pid", "P%04d")
 
 
 @query(

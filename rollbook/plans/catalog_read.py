@@ -57,14 +57,13 @@ def top_countries(t: Tables) -> DataFrame:
     "v_participants v_countries",
     """select count(*) participants_count, count(*) filter (grade = 0) black_list, count(*) filter (grade = 1) normal,
     count(*) filter (grade = 2) excellent, (select count(*) from v_countries) countries_count,
-    (select string_agg(n::varchar, ',' order by n desc) from
-     (select count(*) n, representing_country from v_participants group by 2 order by 1 desc, 2 limit 5)) top_sizes
+    (select string_agg(representing_country || ':' || n, ',' order by n desc, representing_country) from
+     (select count(*) n, representing_country from v_participants group by 2 order by 1 desc, 2 limit 5)) top_countries
     from v_participants""",
 )
 def detailed_stats(t: Tables) -> DataFrame:
     stats = reports.detailed_stats(t.participants, t.countries)
-    sizes = F.array_join(F.transform("top_countries", lambda x: x["n"].cast("string")), ",")
-    return stats.withColumn("top_sizes", sizes).drop("top_countries")
+    return stats.withColumn("top_countries", F.array_join(F.transform("top_countries", lambda x: F.concat_ws(":", x["representing_country"], x["n"])), ","))
 
 
 @query(
@@ -104,14 +103,12 @@ def attendee_counts(t: Tables) -> DataFrame:
 @query(
     "roster_arrays",
     "v_events v_links",
-    """select e.eid, coalesce(r.part, 0)::bigint part, coalesce(r.participants, '') participants from v_events e left join
-    (select event_id, substr(participant_id, 2)::bigint // 500 part,
-     string_agg(participant_id, ',' order by participant_id) participants from v_links group by 1, 2) r
+    """select e.eid, coalesce(r.participants, '') participants from v_events e left join
+    (select event_id, string_agg(participant_id, ',' order by participant_id) participants from v_links group by 1) r
     on r.event_id = e.eid""",
 )
 def roster_arrays(t: Tables) -> DataFrame:
-    arrays = reports.rosters(t.events, t.links, rows=500)
-    return arrays.withColumn("participants", F.array_join("participants", ","))
+    return reports.rosters(t.events, t.links).withColumn("participants", F.array_join("participants", ","))
 
 
 @query(

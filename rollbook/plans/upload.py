@@ -13,7 +13,6 @@ from rollbook.functions.text import blank_to_null, citizenships, text
 from rollbook.operators import match, merge, mutate, sequence, validate
 from rollbook.schemas import SNAPSHOT_FIELDS
 from rollbook.session import checkpointed
-from rollbook.sources.preview import BUNDLE_ROWS
 
 _PROFILE = (
     "name representing_country gender grade dob pob birth_country citizenships email phone diet_restrictions "
@@ -38,8 +37,8 @@ class Upload:
 
 def _people(bundles: DataFrame) -> DataFrame:
     """Typed attendee rows of all bundles, numbered within their bundle."""
-    rows = bundles.select("path", "part", F.posexplode("participants").alias("_pos", "p"))
-    row_no = (F.coalesce("part", F.lit(0)) * BUNDLE_ROWS + F.col("_pos")).alias("row_no")
+    rows = bundles.select("path", F.posexplode("participants").alias("_pos", "p"))
+    row_no = F.col("_pos").cast("bigint").alias("row_no")
     kept = "representing_country pob birth_country diet_restrictions organization unit position rank bio_short".split()
     return rows.select(
         "path",
@@ -73,11 +72,11 @@ def _own_snapshot() -> Column:
 
 def _supplied(bundles: DataFrame) -> DataFrame:
     """Snapshots that a bundle supplies, by participant id."""
-    rows = bundles.select("path", "part", F.posexplode("participant_events").alias("_pos", "s"))
+    rows = bundles.select("path", F.posexplode("participant_events").alias("_pos", "s"))
     leaving = F.coalesce("s.traveling_from", "s.travelling_from").alias("traveling_from")
     return rows.select(
         "path",
-        (F.coalesce("part", F.lit(0)) * BUNDLE_ROWS + F.col("_pos")).alias("row_no"),
+        F.col("_pos").cast("bigint").alias("row_no"),
         F.coalesce(blank_to_null("s.participant_id"), blank_to_null("s.pid")).alias("pid"),
         *[leaving if n == "traveling_from" else F.col(f"s.{n}").alias(n) for n in SNAPSHOT_FIELDS],
     ).filter("pid is not null")
@@ -150,7 +149,7 @@ def identify(people: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _event_rows(bundles: DataFrame) -> DataFrame:
     """Typed event of every bundle, with an empty roster."""
-    events = bundles.filter(F.coalesce("part", F.lit(0)) == 0).select("path", "event.*")
+    events = bundles.select("path", "event.*")
     typed = events.select(
         "path",
         text("eid").alias("eid"),
@@ -166,13 +165,10 @@ def _event_rows(bundles: DataFrame) -> DataFrame:
 
 
 def _with_rosters(events: DataFrame, identified: DataFrame) -> DataFrame:
-    """Events with their rosters in the order of the bundle.
-
-    A roster that spans several parts is kept by the links alone.
-    """
-    joined = events.withColumnRenamed("participants", "_none").join(_rosters(identified), "path", "left")
-    roster = F.when(F.coalesce("_parts", F.lit(1)) == 1, F.coalesce("participants", "_none"))
-    return joined.withColumn("participants", roster).drop("_parts", "_none")
+    """Events with their rosters in the order of the bundle."""
+    members = identified.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row_no", "pid"))).alias("_members"))
+    joined = events.join(members, "path", "left")
+    return joined.withColumn("participants", F.coalesce("_members.pid", "participants")).drop("_members")
 
 
 def _problems(checked: DataFrame) -> DataFrame:
@@ -181,16 +177,6 @@ def _problems(checked: DataFrame) -> DataFrame:
     return bad.groupBy("path").agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
-def _rosters(identified: DataFrame) -> DataFrame:
-    """Roster of every bundle of one part, and the number of parts of all bundles."""
-    parts = identified.groupBy("path").agg(
-        F.count_distinct(F.floor(F.col("row_no") / BUNDLE_ROWS)).alias("_parts")
-    )
-    single = identified.join(parts.filter("_parts = 1"), "path", "left_semi")
-    members = single.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row_no", "pid"))).alias("_members"))
-    return parts.join(members.select("path", F.col("_members.pid").alias("participants")), "path", "left")
-
-
 def upload(
     bundles: DataFrame, participants: DataFrame, participant_events: DataFrame, events: DataFrame, now: Column | None = None
 ) -> Upload:
@@ -225,7 +211,7 @@ def upload(
     chosen = match.choose_snapshot(
         identified.select("path", "row_no", "pid", "own"), supplied, ["path", "pid"], "own", "row_no"
     )
-    eids = good.filter(F.coalesce("part", F.lit(0)) == 0).select("path", text("event.eid").alias("event_id"))
+    eids = good.select("path", text("event.eid").alias("event_id"))
     latest = merge.last_row(
         chosen.filter(F.col("snapshot").isNotNull()).select("path", "pid", "row_no", "snapshot"), ["path", "pid"], "row_no"
     )

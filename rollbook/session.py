@@ -1,10 +1,7 @@
-"""Session settings, the shared checkpoint folder and the size check for small sides."""
+"""Session settings and the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on.  They are SQL settings, so they can be put on
@@ -19,11 +16,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-#: Rows up to which a lookup is turned into an in-memory map.  Above it the same
-#: operator runs as a join.
-MAP_ROWS = 5_000
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Put the SQL settings on a running session."""
     for key, value in SQL_SETTINGS.items():
@@ -52,21 +44,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins.  Only a local master without the setting (tests)
-    gets a folder of its own; a cluster without it is told to name a shared one.
+    ``spark.checkpoint.dir`` wins; where it is unset the folder is below the warehouse, which the
+    driver and all executors share too.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="rollbook-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
-
-
-def fits_map(df: DataFrame, max_rows: int = MAP_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -29,14 +29,9 @@ BUNDLE = T.StructType(
         T.StructField("participants_count", T.LongType()),
         T.StructField("participant_events_count", T.LongType()),
         T.StructField("generated_at", _S),
-        T.StructField("part", T.LongType()),
     ]
 )
 
-#: Most attendees in one bundle; a larger event is written as several parts.
-BUNDLE_ROWS = 10_000
-
-
 def _fitted(df: DataFrame, schema: T.StructType) -> list:
     """Columns of a bundle struct, in the text form that JSON keeps; missing ones are null."""
     columns = []
@@ -47,31 +42,25 @@ def _fitted(df: DataFrame, schema: T.StructType) -> list:
 
 
 def preview_bundles(
-    events: DataFrame,
-    attendees: DataFrame,
-    snapshots: DataFrame | None = None,
-    keys: tuple[str, ...] = ("path",),
-    rows: int = BUNDLE_ROWS,
+    events: DataFrame, attendees: DataFrame, snapshots: DataFrame | None = None, keys: tuple[str, ...] = ("path",)
 ) -> DataFrame:
-    """Bundles per key.  ``row_no`` of attendees and snapshots is unique per key and cuts a
-    bundle into parts, so that no array outgrows a task."""
-    part = F.floor((F.col("row_no") - 1) / rows).cast("bigint").alias("part")
+    """One bundle per key, its attendees and snapshots in the order of ``row_no``.
+
+    A bundle is the content of one workbook, which one task has read before, so its arrays are bounded.
+    """
 
     def arrays(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
         item = F.struct("row_no", F.struct(*_fitted(df, schema)).alias("item"))
-        grouped = df.select(*keys, part, item.alias("_i")).groupBy(*keys, "part")
-        return grouped.agg(F.array_sort(F.collect_list("_i")).alias("_l")).select(
-            *keys, "part", F.col("_l.item").alias(name)
-        )
+        grouped = df.select(*keys, item.alias("_i")).groupBy(*keys)
+        return grouped.agg(F.array_sort(F.collect_list("_i")).alias("_l")).select(*keys, F.col("_l.item").alias(name))
 
-    people = arrays(attendees, PERSON, "participants")
+    whole = events.select(*keys, F.struct(*_fitted(events, BUNDLE["event"].dataType)).alias("event"))
+    whole = whole.join(arrays(attendees, PERSON, "participants"), list(keys), "left")
+    none_p, none_s = (F.array().cast(T.ArrayType(s)) for s in (PERSON, SNAPSHOT))
     if snapshots is None:
-        joined = people.withColumn("participant_events", F.array().cast(T.ArrayType(SNAPSHOT)))
+        whole = whole.withColumn("participant_events", none_s)
     else:
-        joined = people.join(arrays(snapshots, SNAPSHOT, "participant_events"), [*keys, "part"], "full")
-    event = events.select(*keys, F.struct(*_fitted(events, BUNDLE["event"].dataType)).alias("event"))
-    whole = event.join(joined, list(keys), "left")
-    none_p, none_s = (F.array().cast(T.ArrayType(s)) for s in (PERSON, SNAPSHOT))
+        whole = whole.join(arrays(snapshots, SNAPSHOT, "participant_events"), list(keys), "left")
     people_or_none, snaps_or_none = F.coalesce("participants", none_p), F.coalesce("participant_events", none_s)
     return whole.select(
         *keys,
@@ -81,7 +70,6 @@ def preview_bundles(
         F.size(people_or_none).cast("bigint").alias("participants_count"),
         F.size(snaps_or_none).cast("bigint").alias("participant_events_count"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"),
-        F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
     )
 
 

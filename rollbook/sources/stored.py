@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rollbook.operators.mutate import one_per_key
 from rollbook.schemas import TABLES
 
 #: Column that the rows of a file are sorted by, so that row groups can be skipped.
@@ -58,12 +59,12 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
 def append(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
     """Add rows whose key is new to the current version, without rewriting it.
 
-    Rows with a known or repeated key are left out.  The files of a failed job are never
+    Rows with a known key are left out; of a repeated key the smallest row is added.  The files of a failed job are never
     committed, so readers do not see them.
     """
     keys = list(TABLES[name][1])
     base = read_table(spark, root, name)
-    fresh = rows.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    fresh = one_per_key(rows.join(base.select(*keys), keys, "left_anti"), keys)
     number = (_versions(spark, f"{root}/{name}") or [1])[-1]
     _shaped(fresh, name).write.mode("append").parquet(f"{root}/{name}/v-{number:06d}")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.plans.upload import upload
@@ -19,7 +19,7 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000
     return (
         spark.readStream.format("binaryFile")
         .schema(FILES)
-        .option("pathGlobFilter", "*.xlsx")
+        .option("pathGlobFilter", "*.{xlsx,xls}")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select("path", "content")
@@ -39,10 +39,13 @@ def process(files: DataFrame, root: str) -> DataFrame:
     found = import_workbooks(files, tables["countries"], tables["participants"])
     bundles = checkpointed(preview_bundles(found.events, found.attendees, found.snapshots))
     result = upload(bundles, tables["participants"], tables["participant_events"], tables["events"])
+    eid = F.lit(None).cast("string").alias("eid")
+    files_refused = found.rejects.select("path", eid, "errors")
+    rejects = checkpointed(files_refused.unionByName(result.rejects))  # before the tables change
     stored.write_table(result.participants, root, "participants")
     stored.append(spark, root, "participant_events", result.added_snapshots)
     stored.append(spark, root, "events", result.added_events)
-    return result.rejects
+    return rejects
 
 
 def start(

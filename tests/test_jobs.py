@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from datetime import date, datetime
 
 import pytest
@@ -79,6 +81,79 @@ def test_checks_and_rejects(spark, countries):
     assert missing["ok.xlsx"] == [] and missing["bare.xlsx"] == ["Required table 'ParticipantsLista' not found"]
 
 
+def cut_short(book: bytes, part: str) -> bytes:
+    """The workbook with half of one part."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            data = old.read(name)
+            new.writestr(name, data[: len(data) // 2] if name == part else data)
+    return out.getvalue()
+
+
+def test_refused_workbooks_are_not_imported(spark, countries):
+    good = make_workbook()
+    with zipfile.ZipFile(io.BytesIO(good)) as book:
+        part = sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet"))[-1]
+    files = spark.createDataFrame(
+        [("cut.xlsx", cut_short(good, part)), ("costless.xlsx", make_workbook(cost=None)), ("ok.xlsx", good), ("null.xlsx", None)],
+        "path string, content binary",
+    )
+    result = workbook_import.import_workbooks(files, countries, people(spark))
+    assert {r["path"] for r in result.events.collect()} == {r["path"] for r in result.attendees.collect()} == {"ok.xlsx"}
+    assert {r["path"] for r in result.rejects.collect()} == {"cut.xlsx", "costless.xlsx", "null.xlsx"}
+
+
+def full_workbook(tables, eid="E1"):
+    """A workbook whose attendees have everything that an upload asks for, in the given country tables."""
+    main, overview, listed, online = (sample_workbooks.Sheet(t) for t in ("Participants", "COST Overview", "List", "MAIN ONLINE"))
+    main.put(1, 1, f"{eid} TITLE")
+    main.put(2, 1, "JUNE 1 - 3 - Zagreb")
+    overview.put(15, 2, 100)
+    header = ["Name and  Last Name", "Travel", "Traveling from", "Grade (0 - BL, 1 - Pass, 2 - Excel)"]
+    names = ["Name (Latin)", "Position", "Phone", "Email"]
+    details = [*ONLINE, "Place Of Birth (POB)", "Country of Birth", "Citizenship(s)", "Traveling document type", "Returning to", "IBAN Type"]
+    people_rows, online_rows = [names], [details]
+    for k, table in enumerate(tables):
+        person = f"Doe{chr(97 + k)}"
+        main.table(table, 4 + 5 * k, [header, [f"{person}, John", "Air (Airplane)", "Split", 2], ["TOTAL", None, None, 1]], left=2)
+        people_rows.append([f"{person.upper()}, John", "Chief", "00385 1 234567", None])
+        online_rows.append(["John", None, person, "Mr", f"{k + 1}.1.1990", "Air (Airplane)", "Split", "Split", "Kosovo", "Kosovo", "Passport", "Split", "EURO"])
+    listed.table("ParticipantsLista", 1, people_rows)
+    online.table("ParticipantsList", 1, online_rows)
+    return sample_workbooks.workbook([main, overview, listed, online])
+
+
+def test_import_to_upload_loses_nothing(spark):
+    """One country table, which may be any, or several: every event, roster, link and person arrives."""
+    names = ["Kosovo", *[f"{land}, Europe & Eurasia" for land in ("Albania", "Croatia", "Serbia")]]
+    countries = spark.createDataFrame([(f"C00{k}", name, None, k) for k, name in enumerate(names)], COUNTRIES)
+    kinds = {"a.xlsx": ["tableAlb"], "b.xlsx": ["tableCro"], "c.xlsx": ["tableAlb", "tableCro", "tableSer"]}
+    books = [(path, full_workbook(tables, f"E{no}")) for no, (path, tables) in enumerate(kinds.items())]
+    files = spark.createDataFrame([*books, ("d.xlsx", make_workbook(cost=None))], "path string, content binary")
+    found = workbook_import.import_workbooks(files, countries, people(spark))
+    assert [r["path"] for r in found.rejects.collect()] == ["d.xlsx"]
+    bundles = preview.preview_bundles(found.events, found.attendees, found.snapshots)
+    empty = [spark.createDataFrame([], schema) for schema in (PARTICIPANTS, PARTICIPANT_EVENTS, EVENTS)]
+    result = upload.upload(bundles, *empty)
+    assert result.rejects.collect() == []
+    rosters = {r["eid"]: len(r["participants"]) for r in result.events.collect()}
+    assert rosters == {"E0": 1, "E1": 1, "E2": 3}
+    links = {(r["event_id"], r["participant_id"]) for r in result.participant_events.collect()}
+    assert links == {(r["eid"], pid) for r in result.events.collect() for pid in r["participants"]}
+    assert {pid for _, pid in links} == {r["pid"] for r in result.participants.collect()}
+
+
+def test_bundles_of_a_stored_event_with_blanks(spark, tmp_path):
+    first = run_upload(spark, tmp_path, [bundle("a")])
+    eid = first.events.first()["eid"]
+    padded = preview.preview_bundles(
+        spark.createDataFrame([("b", f"  {eid} ")], "path string, eid string"), spark.createDataFrame([], "path string, row_no long, name string")
+    )
+    checked = validate.bundle_rules(padded, first.events).first()
+    assert checked["errors"] == ["Event has already been uploaded"]
+
+
 XML = """<data xmlns="urn:x"><participant><pid>P0001</pid><representing_country>C117</representing_country><gender>F</gender><grade>2</grade>
 <name>Ana Kos</name><dob>1990-01-05</dob><pob>Pec</pob><birth_country>C117</birth_country><citizenships>C117</citizenships></participant>
 <participant_event><event_id>E1</event_id><participant_id>P0001</participant_id><transportation>Air (Airplane)</transportation>
@@ -183,13 +258,13 @@ def test_undated_people_are_taken_once(spark, tmp_path):
     assert result.events.first()["participants"] == ["P0001", "P0002", "P0003"]
 
 
-def test_preview_round_trip_in_parts(spark, tmp_path):
+def test_preview_round_trip(spark, tmp_path):
     events = spark.createDataFrame([("a", "E1", "T")], "path string, eid string, title string")
     attendees = spark.range(1, 26).selectExpr("'a' path", "id row_no", "concat('N', id) name")
-    bundles = preview.preview_bundles(events, attendees, rows=10)
+    bundles = preview.preview_bundles(events, attendees.withColumn("row_no", F.col("row_no") * (1 << 21)))
     preview.write_preview(bundles, str(tmp_path / "p"))
     back = preview.read_preview(spark, str(tmp_path / "p"))
-    assert sorted((r["part"], r["participants_count"]) for r in back.collect()) == [(0, 10), (1, 10), (2, 5)]
+    assert [(r["participants_count"], r["participants"][24]["name"]) for r in back.collect()] == [(25, "N25")]
     assert preview.preview_counts(back).first()["participants_count"] == 25
 
 

@@ -32,8 +32,53 @@ def test_sequence_by_blocks(hot):
     for no, key, _, _ in data:
         firsts.setdefault(key, no)
     expected = sorted((k, i) for i, k in enumerate(sorted(firsts, key=firsts.get), 1))
+    assert rows_of(sequence.number_first_seen(df.repartition(7), ["key"], "no", "n"), "key", "n") == expected
+    paired = df.withColumn("at", F.struct(F.floor(F.col("no") / 3).alias("a"), (F.col("no") % 3).alias("b")))
+    assert rows_of(sequence.number_first_seen(paired.repartition(7), ["key"], "at", "n"), "key", "n") == expected
     for block in (7, 1 << 20):
-        assert rows_of(sequence.number_first_seen(df.repartition(7), ["key"], "no", "n", block=block), "key", "n") == expected
+        numbered = sequence.sequence(df.repartition(7), "no", "n", block=block)
+        assert rows_of(numbered, "no", "n") == [(no, k) for k, (no, *_) in enumerate(data, 1)]
+
+
+def test_null_keys_are_one_group(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, None, None), (4, "a", None)], "no long, part string, value string")
+    filled = sequence.carry_forward(rows.repartition(3), ["part"], "no", "value", block=2)
+    assert rows_of(filled, "no", "value") == [(1, "x"), (2, "y"), (3, "y"), (4, "x")]
+    ranked = sequence.group_rank(rows.repartition(3), ["part"], ["no"])
+    assert rows_of(ranked, "no", "rank") == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_phrases_with_several_sources(spark):
+    known = spark.createDataFrame(
+        [("Hola", "en", "hello", "es"), ("hola", "en", "hi", "pt"), ("hola", "de", "hallo", "es")],
+        "phrase string, lang string, translated string, source_lang string",
+    )
+    rows = spark.createDataFrame([(1, "HOLA"), (2, "other"), (3, None)], "no long, t string")
+    assert rows_of(match.translate(rows, ["t"], known), "no", "t") == [(1, "hello"), (2, "other"), (3, "")]
+    verified = match.translate(rows, ["t"], known, input_lang="pt")
+    assert rows_of(verified, "no", "t", "t_verified") == [(1, "hi", True), (2, "other", False), (3, "", False)]
+    assert rows_of(match.translate(rows, ["t"], None), "no", "t") == [(1, "HOLA"), (2, "other"), (3, "")]
+
+
+def test_one_row_of_a_repeated_new_key(spark):
+    base = spark.createDataFrame([("a", 1)], "k string, v long")
+    new = spark.createDataFrame([("b", 5), ("b", 3), ("a", 0), ("c", None)], "k string, v long")
+    for parts in (1, 7):
+        assert rows_of(mutate.insert_missing(base, new.repartition(parts), ["k"]).fillna(-1), "k", "v") == [("a", 1), ("b", 3), ("c", -1)]
+
+
+def test_known_countries_that_differ_in_case_only(spark):
+    countries = spark.createDataFrame([("C001", "Serbia", 1), ("C002", "SERBIA", 2)], "cid string, country string, ord long")
+    labels = spark.createDataFrame([("serbia", 1), ("Malta", 2)], "label string, no long")
+    assert rows_of(mutate.ensure_countries_legacy(labels, "label", "no", countries), "no", "cid") == [(1, "C001"), (2, "c003")]
+
+
+def test_top_countries_and_statistics_agree_on_ties(spark):
+    people = spark.createDataFrame([(c, 1) for c in "CBAABCD"], "representing_country string, grade int")
+    countries = spark.createDataFrame([("A", "a", 1)], "cid string, country string, ord long")
+    top = [(r["n"], r["representing_country"]) for r in reports.top_countries(people).collect()]
+    stats = reports.detailed_stats(people, countries).first()["top_countries"]
+    assert top == [(r["n"], r["representing_country"]) for r in stats] == [(2, "A"), (2, "B"), (2, "C"), (1, "D")]
 
 
 def test_carry_forward_by_blocks(hot):
@@ -143,21 +188,19 @@ def test_scores(spark):
     assert rows_of(reports.event_scores_for(events, tests), "eid", "avg_pre", "avg_post") == [("E", 85.0, 90.0), ("F", 0.0, 0.0)]
 
 
-def test_names_of_large_country_table(spark, monkeypatch):
-    """Beyond the size check the names come from a join, with the same result."""
-    countries = spark.createDataFrame([("C1", "One", 1), ("C2", "Two", 2)], "cid string, country string, ord long")
-    people = spark.createDataFrame([("p", ["C2", "C9", "C1"]), ("q", None), ("r", [])], "pid string, codes array<string>")
-    small = rows_of(reports.names_of(people, "codes", ["pid"], countries, "names").fillna(""), "pid", "names")
-    monkeypatch.setattr(reports, "fits_map", lambda _: False)
-    large = rows_of(reports.names_of(people, "codes", ["pid"], countries, "names").fillna(""), "pid", "names")
-    assert small == large == [("p", ["Two", "C9", "One"]), ("q", None), ("r", [])]
+def test_names_of(spark):
+    """Null items, repeats, unknown codes and a repeated cid."""
+    countries = spark.createDataFrame([("C1", "One", 1), ("C2", "Two", 2), ("C2", "Again", 3)], "cid string, country string, ord long")
+    people = spark.createDataFrame([("p", ["C2", "C9", None, "C1", "C2"]), ("q", None), ("r", [])], "pid string, codes array<string>")
+    found = rows_of(reports.names_of(people, "codes", ["pid"], countries, "names"), "pid", "names")
+    assert found == [("p", ["Two", "C9", None, "One", "Two"]), ("q", None), ("r", [])]
 
 
 def test_rosters_cover_everyone(spark):
-    links = spark.range(2500).selectExpr("format_string('P%04d', id) participant_id", "'E1' event_id")
+    links = spark.range(12_500).selectExpr("format_string('P%04d', id) participant_id", "'E1' event_id")
     events = spark.createDataFrame([("E1",), ("E2",)], "eid string")
-    parts = reports.rosters(events, links, rows=1000).orderBy("eid", "part").collect()
-    assert [(r["eid"], r["part"], len(r["participants"])) for r in parts] == [("E1", 0, 1000), ("E1", 1, 1000), ("E1", 2, 500), ("E2", 0, 0)]
+    found = reports.rosters(events, links.unionAll(links)).orderBy("eid").collect()
+    assert [(r["eid"], len(r["participants"])) for r in found] == [("E1", 12_500), ("E2", 0)]
 
 
 def test_country_numbers_start_above_those_in_use(spark):
