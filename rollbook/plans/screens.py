@@ -17,9 +17,13 @@ def event_list(
     page: int = 1,
     per_page: int = 25,
 ) -> DataFrame:
-    """One page of the searched and sorted event list."""
-    found = tables.search_events(reports.event_summaries(events, links, countries), search)
-    return paging.event_page(found, sort, direction, max(page - 1, 0) * per_page, per_page)
+    """One page of the searched and sorted event list; only the links of its events are counted."""
+    named = reports.with_country_name(events.withColumnRenamed("country", "country_code"), "country_code", countries)
+    found = tables.search_events(named, search)
+    cut = paging.event_page(found, sort, direction, max(page - 1, 0) * per_page, per_page)
+    shown = cut.select(F.col("eid").alias("event_id"))
+    counted = reports.with_attendee_count(cut, links.join(F.broadcast(shown) if per_page else shown, "event_id", "left_semi"))
+    return counted.select(*reports.SUMMARY).orderBy(*paging.event_order(sort, direction))
 
 
 def event_detail(

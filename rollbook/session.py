@@ -23,10 +23,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", checkpoints: str | None = None
+) -> SparkSession:
     """A local session for tests and the bench; on a cluster use ``prepare``."""
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("rollbook")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

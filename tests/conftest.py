@@ -8,8 +8,8 @@ from rollbook.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, shuffle_partitions=8)
+def spark(tmp_path_factory):
+    session = local_session(cores=8, shuffle_partitions=8, checkpoints=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
