@@ -24,6 +24,9 @@ from rollbook.llm.tokens import mix
 #: Bytes of the substrings whose hashes choose the anchor.
 _GRAM = 48
 
+#: Cells into which the places are dealt that an anchor can have in a string.
+_CELLS = 2
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -74,7 +77,7 @@ def cells(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     Returns key, row, first start in the row, number of starts, and the place of the first in its half.
     """
     width = length - _GRAM + 1
-    half = -(-width // 2)
+    half = -(-width // _CELLS)
     empty = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < length:
         return empty
@@ -140,7 +143,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
     keyed = docs.select(F.unhex(F.substring(_digest(), 1, 32)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = written(keyed.mapInArrow(cut, "core long, key binary, begin int, count int, place int, n int"))
     often = found.groupBy("core").agg(F.sum("n").alias("_n")).where("_n > 1").select("core")
-    kept = written(found.join(often, "core").groupBy("key", "begin", "count", "place", "core").agg(F.sum("n").alias("n")))
+    kept = written(found.join(written(often), "core").groupBy("key", "begin", "count", "place", "core").agg(F.sum("n").alias("n")))
 
     bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - _FILTER_BITS).alias("bit")
     present = np.zeros(1 << _FILTER_BITS, bool)
@@ -175,7 +178,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
     # Equal stretches of a key go on as one, with the number of times they occur.
     level = pieces.groupBy("core", "piece_id").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first("place").alias("place"))
     level = level.select("core", "piece_id", F.lit(0).alias("at"), "place", F.col("n").alias("n"), "piece")
-    width = -(-(length - _GRAM + 1) // 2)
+    width = -(-(length - _GRAM + 1) // _CELLS)
     results = []
     while True:
         level = written(level)

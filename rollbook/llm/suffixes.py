@@ -100,9 +100,12 @@ def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -
     return same
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, room: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``data`` in the order of their first ``depth`` bytes; those equal so far come in any order.
 
+    With ``room``, the bytes left of the piece at every position (the separator after it not counted), suffixes count
+    as equal if they are so up to the ends of their pieces.
+
     Leftmost smaller substrings are sorted by a first induction and named.  While names repeat, the string of
     names is sorted in turn, by ranks of twice as many names in each round, until ``depth`` bytes are covered or
     no round tells more names apart.  A second induction places all suffixes.
@@ -118,9 +121,13 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     leftmost[left] = True
     order = induce(buckets, left[np.argsort(data[left], kind="stable")])
     order = order[leftmost[order]]
-    size = np.empty(len(data), np.int32)
+    size = np.zeros(len(data), np.int32)
     size[left[:-1]] = np.diff(left) + 1
     size[left[-1]] = len(data) - left[-1]
+    inside = None
+    if room is not None:
+        np.minimum(size, room + 1, out=size)
+        inside = np.cumsum(room == 0)[left]
     a, b = order[:-1], order[1:]
     same = (size[a] == size[b]) & (a != left[-1]) & (b != left[-1])
     among = np.flatnonzero(same)
@@ -132,7 +139,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     kinds, covered = int(names[-1]), 1
     while kinds < len(left) and covered < depth:
         after = np.zeros(len(left), np.int64)
-        after[:-covered] = rank[covered:] if covered < len(left) else 0
+        if covered < len(left):
+            after[:-covered] = rank[covered:] if inside is None else np.where(inside[covered:] == inside[:-covered], rank[covered:], 0)
         key = rank * (len(left) + 1) + after
         order = np.argsort(key)
         step = np.empty(len(left), np.int64)
@@ -179,18 +187,17 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, room: np.ndarray) -> tu
 def repeated_starts(pieces: list[bytes], times: np.ndarray, length: int) -> list[np.ndarray]:
     """For each piece, whether the ``length`` bytes from each position on occur anywhere else in the pieces.
 
-    A piece that stands for several equal ones (``times``) goes in twice, which shows all its repeats.
+    A piece that stands for several equal ones (``times``) is repeated as a whole.
     """
-    twice = [k for k, n in enumerate(times) if n > 1]
-    whole = [*pieces, *[pieces[k] for k in twice]]
     end = bytes([SEPARATOR])
-    data = np.frombuffer(end.join(whole) + end, np.uint8)
-    sizes = np.array([len(p) for p in whole]) + 1
+    data = np.frombuffer(end.join(pieces) + end, np.uint8)
+    sizes = np.array([len(p) for p in pieces]) + 1
     ends = np.cumsum(sizes)
-    room = np.repeat(ends, sizes) - 1 - np.arange(len(data))
-    order = suffix_array(data, length)
+    room = (np.repeat(ends, sizes) - 1 - np.arange(len(data))).astype(np.int32)
+    order = suffix_array(data, length, room)
     before, common = common_prefixes(data, order, room)
     hit = common >= length
     repeated = hit.copy()
     repeated[before[hit]] = True
-    return [repeated[e - s : e - s + max(0, s - length)] for s, e in zip(sizes[: len(pieces)], ends[: len(pieces)], strict=True)]
+    repeated |= np.repeat(np.asarray(times) > 1, sizes)
+    return [repeated[e - s : e - s + max(0, s - length)] for s, e in zip(sizes, ends, strict=True)]
