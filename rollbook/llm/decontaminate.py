@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import short_id, text_blocks, written
+from rollbook.llm.shared import packed, short_id, text_blocks, unpacked, written
 from rollbook.llm.tokens import ALPHANUMERIC, mix, word_bounds, xxh64
 
 #: Fixed masks: a 1 is a word that counts, a 0 one that is ignored.
@@ -24,7 +24,7 @@ MASKS = ("11111111", "1101101011", "1011100111", "11100010111")
 #: Items with fewer words are too short to tell and are never matched.
 LEAST_WORDS = 8
 
-#: Bits of the filter of benchmark hashes that every task holds; its size does not depend on the benchmark.
+#: Bits of each of the two filters of benchmark hashes that every task holds; their size does not depend on the benchmark.
 _FILTER_BITS = 22
 
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,7 +87,8 @@ def _stretches(docs: DataFrame, present: np.ndarray, reach: int) -> DataFrame:
                 words, first = _words(data, offsets)
                 found = []
                 for at, hashes in seeds(words, first):
-                    hit = present[(hashes >> np.uint64(64 - _FILTER_BITS)).view(np.int64)]
+                    high, low = (hashes >> np.uint64(64 - _FILTER_BITS)).view(np.int64), (hashes & np.uint64((1 << _FILTER_BITS) - 1)).view(np.int64)
+                    hit = present[0][high] & present[1][low]
                     found.append((at[hit], hashes[hit]))
                 at = np.concatenate([a for a, _ in found])
                 if not len(at):
@@ -128,15 +129,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity
     """``text_id, item_id, word_start, word_end, matched, item_words`` of every overlap of a text with an item.
 
     Laid side by side at a hit, some ``window`` successive words (the whole item, if it is shorter) must be equal
-    but for a share of ``1 - similarity``; the overlap is all such windows together, in words of the document, and
-    ``matched`` counts the equal words in it.  Words are runs of letters and digits, lower-cased.  Null, empty
+    but for a share of ``1 - similarity``; the overlap goes from the first to the last equal word in such windows, in
+    words of the document, and ``matched`` counts the equal words in it.  Words are runs of letters and digits, lower-cased.  Null, empty
     and too short items match nothing; equal items (id and text) are one.
     """
     items = written(benchmark_items(benchmark))
-    filled = items.select(F.explode("hashes").alias("h")).select(F.shiftrightunsigned("h", 64 - _FILTER_BITS).alias("bit")).distinct()
-    present = np.zeros(1 << _FILTER_BITS, bool)
-    bits = filled.toArrow().column("bit").to_numpy()  # at most one for each bit of the filter
-    present[bits] = True
+    hashes = items.select(F.explode("hashes").alias("h"))
+    present = np.zeros((2, 1 << _FILTER_BITS), bool)
+    for filled, bit in zip(present, (F.shiftrightunsigned("h", 64 - _FILTER_BITS), F.col("h").bitwiseAND((1 << _FILTER_BITS) - 1)), strict=True):
+        filled[hashes.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True  # at most one row for each bit
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
     stretches = written(_stretches(docs, present, reach + max(map(len, MASKS))).dropDuplicates(["text_id", "start"]))
     pair = F.explode(F.arrays_zip("hashes", "places")).alias("seed")
@@ -163,7 +164,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity
                 sums = np.concatenate([[0], np.cumsum(same)])
                 good = np.flatnonzero(sums[span:] - sums[:-span] >= similarity * span)
                 if len(good):
-                    begin, end = int(good[0]), int(good[-1]) + span
+                    inside = np.flatnonzero(same[good[0] : good[-1] + span]) + good[0]
+                    begin, end = int(inside[0]), int(inside[-1]) + 1
                     place = low + batch.column("shift")[k].as_py()
                     out.append((batch.column("text_id")[k].as_py(), batch.column("item_id")[k].as_py(), place + begin, place + end, int(sums[end] - sums[begin]), len(item)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=schema)
@@ -188,5 +190,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap with an item of the benchmark."""
-    found = written(overlaps(docs, benchmark).select(F.col("text_id").alias("_text_id")).distinct())
-    return docs.withColumn("_text_id", short_id()).join(found, "_text_id", "left_anti").select(*docs.columns)
+    found = written(overlaps(docs, benchmark).select("text_id").distinct())
+    return unpacked(packed(docs, short_id().alias("text_id")).join(found, "text_id", "left_anti"), docs)
