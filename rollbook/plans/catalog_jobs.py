@@ -10,7 +10,7 @@ from rollbook.operators import validate
 from rollbook.plans import bulk_load, upload, workbook_import
 from rollbook.plans.bindings import Tables
 from rollbook.plans.catalog import query
-from rollbook.plans.catalog_match import lands
+from rollbook.plans.catalog_match import known_phrases, lands
 from rollbook.plans.catalog_read import days
 from rollbook.plans.catalog_text import choose, choose_sql
 from rollbook.plans.sample_workbooks import Sheet, workbook, workbook_files
@@ -215,7 +215,7 @@ _DOB = "strftime(date '1899-12-30' + (20000 + k % 9000)::int, '%Y-%m-%d')"
 )
 def import_attendees(t: Tables) -> DataFrame:
     content = workbooks.staged(event_files(t))
-    found = workbook_import.attendees(content, land_labels(t), known_people(t))
+    found = workbook_import.attendees(content, land_labels(t), known_people(t), known_phrases(t))
     return found.select(
         "path", "name", "representing_country", "transportation", "traveling_from", "grade", "position", "phone", "email",
         "gender", "dob", "birth_country", F.array_join("citizenships", ",").alias("citizenships"), "travel_doc_type",

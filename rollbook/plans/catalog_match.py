@@ -375,6 +375,14 @@ def choose_snapshot(t: Tables) -> DataFrame:
     return chosen.select(*keys, F.col("snapshot.traveling_from").alias("traveling_from"))
 
 
+def known_phrases(t: Tables) -> DataFrame:
+    """A small phrase table; one phrase has two source languages, and case differs."""
+    return t.spark.createDataFrame(
+        [("pasaporte", "en", "passport", "es"), ("Dieta vegetariana", "EN", "vegetarian diet", "es"), ("pasaporte", "en", "passport", "pt")],
+        "phrase string, lang string, translated string, source_lang string",
+    )
+
+
 _PHRASES = ("'Pasaporte'", "'dieta vegetariana'", "c_name", "''", None)
 
 
@@ -386,8 +394,4 @@ _PHRASES = ("'Pasaporte'", "'dieta vegetariana'", "c_name", "''", None)
 )
 def translate(t: Tables) -> DataFrame:
     rows = t.raw("customer").select("c_custkey", choose("c_custkey", *_PHRASES).alias("phrase"))
-    known = t.spark.createDataFrame(
-        [("pasaporte", "en", "passport", "es"), ("Dieta vegetariana", "EN", "vegetarian diet", "es"), ("pasaporte", "en", "passport", "pt")],
-        "phrase string, lang string, translated string, source_lang string",
-    )
-    return match.translate(rows, ["phrase"], known)
+    return match.translate(rows, ["phrase"], known_phrases(t))
