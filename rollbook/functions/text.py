@@ -45,11 +45,6 @@ def blank_to_null(c: Column | str) -> Column:
     return F.when(stripped != "", stripped)
 
 
-def number_or_null(c: Column | str) -> Column:
-    """A double column with NaN turned into null."""
-    return F.when(~F.isnan(col(c)), col(c))
-
-
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """``translate`` arguments that strip accents, derived from the Unicode decompositions.

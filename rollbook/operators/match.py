@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollbook.functions.names import name_variants
-from rollbook.functions.text import canon, col, split_multi_country, strip, text
+from rollbook.functions.text import canon, split_multi_country, strip, text
 
 # Texts that stand for "no country".
 SKIPPED = ("", "n/a", "none", "no", "i don't have", "i do not have", "/", "-", "—", "–", "0")

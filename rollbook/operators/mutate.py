@@ -60,6 +60,11 @@ def bulk_upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: s
     return upsert(base, delta.groupBy(*keys).agg(*last), keys)
 
 
+def upsert_scores(base: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    """Store test scores, one for each event, participant and kind: the last new score replaces the stored one."""
+    return bulk_upsert(base, rows, ["eid", "pid", "type"], order)
+
+
 def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The smallest row of every key, so that the choice does not depend on the order of the rows."""
     others = [c for c in rows.columns if c not in keys]

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollbook.functions.phones import normalize_phone
-from rollbook.functions.text import blank_to_null, col, norm_table_name, text
+from rollbook.functions.text import blank_to_null, norm_table_name, text
 from rollbook.schemas import (
-    ATTEMPTS, COUNTRY_TABLES, DOC_TYPES, EVENT_TYPES, GENDERS, GRADES, IBAN_TYPES, TRANSPORTS,
+    ATTEMPTS, COUNTRY_TABLES, DOC_TYPES, GENDERS, GRADES, IBAN_TYPES, TRANSPORTS,
 )
 
 _EMAIL = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
@@ -200,7 +200,3 @@ def unknown_items(df: DataFrame, items: str, keys: Sequence[str], known: DataFra
     """Items of an array column that the known codes lack, one row per key and item."""
     single = df.select(*keys, F.explode(items).alias("item")).distinct()
     return single.join(known.select(F.col(code).alias("item")), "item", "left_anti").select(*keys, "item")
-
-
-def known_event_type(c: Column | str) -> Column:
-    return col(c).isin(*EVENT_TYPES)

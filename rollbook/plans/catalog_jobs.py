@@ -12,7 +12,7 @@ from rollbook.plans.bindings import Tables
 from rollbook.plans.catalog import query
 from rollbook.plans.catalog_match import known_phrases, lands
 from rollbook.plans.catalog_read import days
-from rollbook.plans.catalog_text import choose, choose_sql
+from rollbook.plans.catalog_text import choose
 from rollbook.plans.sample_workbooks import Sheet, workbook, workbook_files
 from rollbook.schemas import COUNTRY_TABLES, EVENTS, PARTICIPANT_EVENTS, PARTICIPANTS
 from rollbook.sources import preview, workbooks

@@ -15,7 +15,6 @@ TRANSPORTS = (
     "Air (Airplane)",
     "Other",
 )
-ROLES = ("Participant", "Instructor", "Guest", "Organizer", "Sponsor", "Observer")
 DOC_TYPES = ("Passport", "ID Card")
 IBAN_TYPES = ("EURO", "USD", "Multi-currency")
 ATTEMPTS = ("pre", "post")
