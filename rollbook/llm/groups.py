@@ -16,14 +16,16 @@ from rollbook.llm.shared import written
 PART = 512
 
 
-def blocks(members: DataFrame, keys: list[str], spread: str, part: int = PART) -> DataFrame:
+def blocks(members: DataFrame, keys: list[str], spread: str, part: int = PART, sizes: DataFrame | None = None) -> DataFrame:
     """Every bucket of two or more members as blocks: ``members`` with ``_x``, ``_y`` and ``_side``.
 
     A bucket of ``n`` members is dealt into ``ceil(n / part)`` parts by the hash of ``spread``.  Block
     (x, y) holds the parts x and y, so any two members meet, in a task of bounded size, and a hot key
-    is many tasks.  ``_side`` says to which of the two parts a row belongs.
+    is many tasks.  ``_side`` says to which of the two parts a row belongs.  ``sizes`` are the buckets
+    and their ``_n`` members, if they are known.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if sizes is None:
+        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / part).cast("int")
     mine = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_parts")).cast("int")
     return (

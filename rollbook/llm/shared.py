@@ -58,6 +58,19 @@ def short_id(column: str = "text") -> F.Column:
     return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 16), 16, -10).cast("long")
 
 
+def likely(rows: DataFrame, column: str, among: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` with ``likely``: true wherever ``column`` is in ``among``, and false for nearly all others.
+
+    The values of ``among`` are marked by their hashes in ``2 ** bits`` bits, at most ``2 ** (bits - 6)`` rows of 64, so
+    the table that is broadcast is bounded whatever the data.  It keeps rows that cannot match out of a shuffle.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    filled = written(among.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    tested = rows.withColumn("_w", word).withColumn("_b", bit).join(F.broadcast(filled), F.col("_w") == F.col("_word"), "left")
+    return tested.withColumn("likely", F.coalesce(F.col("_bits").bitwiseAND(F.col("_b")) != 0, F.lit(False))).drop("_w", "_b", "_word", "_bits")
+
+
 def packed(docs: DataFrame, *more: F.Column) -> DataFrame:
     """``docs`` as one struct column ``row`` beside ``more``, so that no name of theirs can clash with another."""
     return docs.select(F.struct(*docs.columns).alias("row"), *more)

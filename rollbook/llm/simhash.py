@@ -9,6 +9,7 @@ finds the candidates, which are then verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.groups import EDGES, block_pairs, blocks, by_block, components, edges_of
-from rollbook.llm.shared import packed, short_id, text_blocks, unpacked, written
+from rollbook.llm.shared import likely, packed, short_id, text_blocks, unpacked, written
 from rollbook.llm.tokens import LOWER, bit_majority, mix, shingles, word_bounds, xxh64
 
 #: Seeds that make independent fingerprints of the same features.
@@ -60,8 +61,11 @@ def links(marks: DataFrame, node: str, columns: list[str], segments: int, max_bi
     small = marks.select(F.col(node).alias("_node"), *[F.col(c) for c in columns if c != node])
     if node in columns:
         small = small.withColumn(node, F.col("_node"))
-    keyed = variants(small, columns, segments).select("key", "_node")
-    dealt = blocks(keyed, ["key"], "_node")
+    spread = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = variants(small.repartition(spread, "_node"), columns, segments).select("key", "_node")
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    shared = likely(keyed, "key", sizes).where("likely").drop("likely")
+    dealt = blocks(shared, ["key"], "_node", sizes=sizes)
     if columns != [node]:
         dealt = dealt.join(small, "_node")
 
@@ -90,7 +94,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> Da
     linked = written(components(links(marks, "fingerprint", ["fingerprint"], max_bits // 2 + 1, max_bits)))
     lows = linked.join(marks, linked.node == marks.fingerprint).groupBy("component").agg(F.min("low").alias("lowest"))
     reached = linked.join(lows, "component").select(F.col("node").alias("fingerprint"), "lowest")
-    names = marks.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id"))
+    names = written(marks.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id")))
     return rows.join(names, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -133,7 +137,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
     texts = docs.select(short_id().alias("text_id"), "text")
     marks = written(texts.mapInArrow(mark, "text_id long, " + ", ".join(f"{c} long" for c in columns)).distinct())
     coarse = written(components(links(marks, "text_id", columns, 2, max_bits)))
-    members = texts.join(coarse.select(F.col("node").alias("text_id"), F.col("component").alias("coarse")), "text_id")
+    coarse = coarse.select(F.col("node").alias("text_id"), F.col("component").alias("coarse"))
+    members = likely(texts, "text_id", coarse).where("likely").drop("likely").join(coarse, "text_id")
     members = members.groupBy("text_id").agg(F.first("text").alias("text"), F.first("coarse").alias("coarse"))
     owned = written(members.mapInArrow(sets, "text_id long, coarse long, own array<long>"))
 
@@ -184,8 +189,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     placed = written(placed.join(groups, "text_id", "left").withColumn("group", F.coalesce("group", "text_id")))
     best = placed.groupBy("group").agg(F.min("order").alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
     told = written(placed.join(best, "group").select("text_id", "best"))
-    rows = packed(docs, short_id().alias("text_id"), order.alias("order")).join(told, "text_id", "left")
-    alone = rows.where("best is null")
+    rows = likely(packed(docs, short_id().alias("text_id"), order.alias("order")), "text_id", told)
+    grouped = rows.where("likely").join(told, "text_id", "left")
     # Rows that are equal in everything are the same choice.
-    chosen = rows.where("best is not null and order = best").dropDuplicates(["text_id"])
-    return unpacked(alone, docs).unionByName(unpacked(chosen, docs))
+    chosen = grouped.where("best is not null and order = best").dropDuplicates(["text_id"])
+    parts = [rows.where("not likely"), grouped.where("best is null"), chosen]
+    return reduce(DataFrame.unionByName, [unpacked(part, docs) for part in parts])
