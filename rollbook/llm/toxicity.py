@@ -103,6 +103,8 @@ class Bag:
 class Sample:
     """Labelled texts as numbers of words, with the grams of each different word once."""
 
+    RUN = 32768
+
     def __init__(self, texts: pa.Array) -> None:
         hashes, firsts, seen = [], [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)]
         for low in range(0, len(texts), 256):
@@ -118,14 +120,33 @@ class Sample:
         starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
         fresh = np.sort(np.unique(xxh64(data, starts, ends), return_index=True)[1])
         data, starts, ends = joined(data, starts[fresh], ends[fresh])
-        bag = Bag(data, np.array([0, len(data)]))
-        self.values, self.at = bag.grams()
-        self.many = bag.many
+        # The grams are kept in runs of words, so that no step needs more than a run at once.
+        self.runs, self.many = [], np.zeros(len(starts), np.int64)
+        for low in range(0, len(starts), self.RUN):
+            high = min(low + self.RUN, len(starts))
+            piece = data[starts[low] : ends[high - 1]]
+            bag = Bag(piece, np.array([0, len(piece)]))
+            self.runs.append((low, high, *bag.grams()))
+            self.many[low:high] = bag.many
         names = xxh64(data, starts, ends)
         order = np.argsort(names)
         self.tokens = order[np.searchsorted(names[order], np.concatenate([np.zeros(0, np.uint64), *hashes]))] if len(names) else np.zeros(0, np.int64)
         self.first = np.concatenate(firsts)
 
+    def word_sums(self, grams: np.ndarray) -> np.ndarray:
+        """For each different word the sum of its grams' values."""
+        out = np.zeros(len(self.many))
+        for low, high, values, at in self.runs:
+            out[low:high] = np.add.reduceat(grams[values], at[:-1])
+        return out
+
+    def gram_sums(self, words: np.ndarray) -> np.ndarray:
+        """For each gram the sum of the values of the words that it is in."""
+        out = np.zeros(1 << _BITS)
+        for low, high, values, at in self.runs:
+            out += np.bincount(values, np.repeat(words[low:high], np.diff(at)), minlength=1 << _BITS)
+        return out
+
     def windows(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end (in words) and text of windows that begin at every ``step``-th word of a text."""
         counts = np.diff(self.first)
@@ -162,8 +183,7 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, dim:
     moved, scale = np.zeros(1 << _BITS), np.full(1 << _BITS, 1e-12)
     for step in range(steps):
         grams = vectors @ weights
-        word = np.add.reduceat(grams[sample.values], sample.at[:-1])
-        total = np.concatenate([[0], np.cumsum(word[sample.tokens])])
+        total = np.concatenate([[0], np.cumsum(sample.word_sums(grams)[sample.tokens])])
         logit = (total[end] - total[begin]) / sizes + bias
         worst = np.maximum.reduceat(logit, bounds)
         if step % 8 == 7:
@@ -178,7 +198,7 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, dim:
         push = slip[nth] * share / sizes
         edge = np.bincount(begin, push, minlength=len(sample.tokens) + 1) - np.bincount(end, push, minlength=len(sample.tokens) + 1)
         each = np.bincount(sample.tokens, np.cumsum(edge)[:-1], minlength=len(sample.many))
-        change = np.bincount(sample.values, np.repeat(each, np.diff(sample.at)), minlength=1 << _BITS)
+        change = sample.gram_sums(each)
         moved = 0.8 * moved + 0.2 * change
         scale = np.maximum(0.95 * scale, change * change)
         pull = change @ vectors
