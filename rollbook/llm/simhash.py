@@ -98,15 +98,44 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> Da
     return rows.join(names, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 3, max_bits: int = 32) -> DataFrame:
+def band_keys(hashes: np.ndarray, bounds: np.ndarray, bands: int, per: int) -> np.ndarray:
+    """For each row one key a band, of ``per`` minima of its hashes under independent orders; no row may be empty.
+
+    Rows whose sets of hashes have a Jaccard similarity ``j`` share the key of a band with odds of ``j ** per``.
+    """
+    out = np.empty((len(bounds) - 1, bands), np.uint64)
+    if not len(out):
+        return out
+    orders = mix(np.arange(1, bands * per // 2 + 1, dtype=np.uint64) * np.uint64(_SEEDS[0]))
+    for band in range(bands):
+        key = np.full(len(out), band, np.uint64)
+        for order in orders[band * per // 2 : (band + 1) * per // 2]:
+            mixed = mix(hashes ^ order).view(np.uint32)
+            for half in (mixed[0::2], mixed[1::2]):
+                key = mix(key * np.uint64(_SEEDS[1]) + np.minimum.reduceat(half, bounds[:-1]))
+        out[:, band] = key
+    return out
+
+
+def band_links(keys: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of every row of ``keys(text_id, keys)`` to the smallest ``text_id`` of each key it shares."""
+    keyed = keys.select("text_id", F.explode("keys").alias("key"))
+    lows = written(keyed.groupBy("key").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").drop("high"))
+    shared = likely(keyed, "key", lows).where("likely").drop("likely")
+    return shared.join(lows, "key").where("text_id <> low").select(F.col("text_id").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 3, max_bits: int = 32, bands: int = 32, per: int = 8
+) -> DataFrame:
     """``text_id`` and ``group`` of all texts that have a near copy, over whole texts.
 
     Two texts are linked if the sets of their lower-cased ``words``-word shingles have a Jaccard similarity of
-    at least ``similarity``.  Candidates come from ``prints`` SimHashes of the set of words, which near copies
-    share even more than shingles: a pair with a common variant and at most ``max_bits`` different bits goes
-    on, and is then compared exactly.  A pair of the least similarity is missed in about one case of a hundred
-    (measured in the README).  ``text_id`` is 64 bits of the text's SHA-256; equal texts are one node.  A text
-    without words is linked with none.
+    at least ``similarity``.  Candidates share one of ``bands`` keys of ``per`` minima over the shingles: a pair of
+    similarity ``j`` is missed with odds of ``(1 - j ** per) ** bands``, 0.3 % at 0.8, whatever was edited, cut off or
+    added.  More come from ``prints`` SimHashes of the set of words: pairs with a common variant and at most
+    ``max_bits`` different bits.  All candidates are then compared exactly.  ``text_id`` is 64 bits of the text's
+    SHA-256; equal texts are one node.  A text without words is linked with none.
     """
     columns = [f"f{k}" for k in range(prints)]
 
@@ -125,7 +154,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
                 bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
                 full = np.diff(bounds) > 0
                 marks = [pa.array(bit_majority(mix(hashes ^ np.uint64(seed)), bounds).view(np.int64)[full]) for seed in _SEEDS[:prints]]
-                yield pa.record_batch([rows.column(0).filter(pa.array(full)), *marks], names=["text_id", *columns])
+                parts, cuts = shingles(low, offsets, words)
+                keys = band_keys(parts, np.append(cuts[:-1][full], cuts[-1]), bands, per)
+                own = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.record_batch([rows.column(0).filter(pa.array(full)), *marks, own], names=["text_id", *columns, "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +167,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
                 yield pa.record_batch([rows.column(0), rows.column(2), own], names=["text_id", "coarse", "own"])
 
     texts = docs.select(short_id().alias("text_id"), "text")
-    marks = written(texts.mapInArrow(mark, "text_id long, " + ", ".join(f"{c} long" for c in columns)).distinct())
-    coarse = written(components(links(marks, "text_id", columns, 2, max_bits)))
+    marked = texts.mapInArrow(mark, "text_id long, " + ", ".join(f"{c} long" for c in columns) + ", keys array<long>")
+    marks = written(marked.dropDuplicates(["text_id"]))
+    near = links(marks.drop("keys"), "text_id", columns, 2, max_bits)
+    # Written first: the rounds of components repeat the plan of their links.
+    candidates = written(near.unionByName(band_links(marks.select("text_id", "keys"))))
+    coarse = written(components(candidates))
     coarse = coarse.select(F.col("node").alias("text_id"), F.col("component").alias("coarse"))
     members = likely(texts, "text_id", coarse).where("likely").drop("likely").join(coarse, "text_id")
     members = members.groupBy("text_id").agg(F.first("text").alias("text"), F.first("coarse").alias("coarse"))
@@ -154,7 +190,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints
             found.append(np.stack([i + begin, j + begin], axis=1))
         return edges_of(ids, found)
 
-    exact = by_block(blocks(owned, ["coarse"], "text_id", part=256), ["coarse"], compare, EDGES)
+    exact = written(by_block(blocks(owned, ["coarse"], "text_id", part=256), ["coarse"], compare, EDGES))
     return components(exact).select(F.col("node").alias("text_id"), F.col("component").alias("group"))
 
 

@@ -152,6 +152,28 @@ def test_near_copies_keep_to_the_similarity(spark):
     assert kept >= wanted
 
 
+def jaccard_of_words(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_every_kind_of_edit_are_found(spark):
+    rows, wanted = [], {}
+    for k in range(240):
+        kind, size = ("cut", "extended", "block")[k % 3], (60, 100, 200, 500, 1000)[k % 5]
+        words = [f"w{k}x{i}" for i in range(size)]
+        part = {"cut": (size - 4) // 5, "extended": (size - 4) // 4, "block": (size - 4) // 9 - 4}[kind]
+        new = [f"n{k}x{i}" for i in range(part)]
+        other = {"cut": words[: size - part], "extended": words + new, "block": words[: size // 3] + new + words[size // 3 + part :]}[kind]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        wanted[2 * k + 1] = (kind, jaccard_of_words(words, other) >= 0.8)
+    kept = {r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect()}
+    assert kept >= {2 * k for k in range(240)} | {i for i, (_, near) in wanted.items() if not near}
+    for kind in ("cut", "extended", "block"):
+        near = [i for i, (own, like) in wanted.items() if own == kind and like]
+        assert len(near) == 80 and len(set(near) & kept) <= 2  # each is missed with odds of 0.003 at most
+
+
 def test_lines(spark):
     line = "One line of words that is the same in many places."
     rows = [*ODD, (8, f"Start.\n{line}\nEnd."), (9, f"  {line.upper()}  \nMore of it. é {line}"), (None, line), (7, f"é {line}"), (12, "a b.\na b.\n")]
