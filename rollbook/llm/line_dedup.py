@@ -1,20 +1,20 @@
-"""Substring dedup by hashing of lines and of the sentences in them.
+"""Substring dedup by hashing of lines, paragraphs and sentences (``repeated_spans``).
 
-A unit is a line, cut at the ends of its sentences; a unit of very many words is cut again at words chosen by
+A unit of ``repeated_units`` is a line, cut at the ends of its sentences; a unit of very many words is cut again at words chosen by
 their hash, so that a passage inside another text falls into the same units.  Digests of the normalised units
 are grouped over all documents; the earliest occurrence stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import packed, short_id, text_blocks, written
+from rollbook.llm.shared import likely, packed, short_id, text_blocks, written
 from rollbook.llm.tokens import LOWER, mix, word_bounds, xxh64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +70,72 @@ def units(docs: DataFrame, least_words: int) -> DataFrame:
     )
 
 
+def spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
+    """``doc_id, text_id, start, end, n_words, high, low`` of every unit, as in ``units``, but uncut and of any length.
+
+    Units are all lines and paragraphs, and sentences of ``least_words`` or more words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_blocks(batch):
+                data = LOWER[data]
+                starts, ends, first = word_bounds(data, offsets)
+                if not len(starts):
+                    continue
+                hashes = xxh64(data, starts, ends)
+                text = np.zeros(len(starts), bool)
+                text[first[:-1][np.diff(first) > 0]] = True
+                lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
+                passed = lines[starts[1:]] - lines[starts[:-1]]
+                line, paragraph = text.copy(), text.copy()
+                line[1:] |= passed > 0
+                paragraph[1:] |= passed > 1
+                sentence = line.copy()
+                sentence[1:] |= np.isin(data[ends[:-1] - 1], (0x2E, 0x21, 0x3F))
+                found = [_cut(hashes, np.flatnonzero(new)) for new in (line, paragraph, sentence)]
+                enough = found[2][1] >= least_words
+                found[2] = tuple(c[enough] for c in found[2])
+                begin, size, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+                # The same words are one unit, of whatever kind.
+                _, only = np.unique(begin * np.int64(len(starts) + 1) + size, return_index=True)
+                begin, size, one, two = begin[only], size[only], one[only], two[only]
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                row = np.searchsorted(first, begin, "right") - 1
+                base = points[offsets[row]]
+                columns = [points[starts[begin]] - base, points[ends[begin + size - 1]] - base, size]
+                ids = pa.array(row)
+                yield pa.record_batch(
+                    [rows.column(0).take(ids), rows.column(1).take(ids), *[pa.array(c.astype(np.int32)) for c in columns], pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    names=["doc_id", "text_id", "start", "end", "n_words", "high", "low"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", short_id().alias("text_id"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_id long, start int, end int, n_words int, high long, low long"
+    )
+
+
+def _cut(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and digest of the units that begin at ``begin`` and fill the words."""
+    size = np.diff(np.append(begin, len(hashes)))
+    place = (np.arange(len(hashes)) - np.repeat(begin, size)).astype(np.uint64)
+    return begin, size, np.add.reduceat(mix(hashes + place * _FACTOR), begin), np.add.reduceat(mix(hashes ^ mix(place + np.uint64(1))), begin)
+
+
+def repeated_spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
+    """One row for each unit of ``spans`` to remove, as in ``repeated_units``; units overlap, their union goes.
+
+    Lines and paragraphs repeat at any length.  A unit that overlaps its own first occurrence stays.
+    """
+    found = spans(docs, least_words)
+    keys = written(found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high"))
+    again = written(likely(found, "high", keys).where("likely").drop("likely"))
+    return _later(again).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_id") == F.col("first_text_id")) & (F.col("start") < F.col("first_end")))
+    ).drop("first_text_id", "first_end")
+
+
 def repeated_units(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """One row for each unit to remove: ``doc_id, start, end, n_words, digest, first_doc_id, first_start``.
 
@@ -77,23 +143,31 @@ def repeated_units(docs: DataFrame, least_words: int = 8) -> DataFrame:
     the first, stays.  Rows that are equal in id and text are one document.  Null, empty and blank texts have no
     units; documents without a repeated unit are not listed.
     """
-    found = written(units(docs, least_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("start").alias("s"))
+    return _later(written(units(docs, least_words))).drop("first_text_id", "first_end")
+
+
+def _later(found: DataFrame) -> DataFrame:
+    """All but the first of equal units."""
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("start").alias("s"), F.col("end").alias("e"))
     first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = found.join(written(first), ["high", "low"]).where(~(rank == F.col("first")))
     digest = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     return both.select(
-        "doc_id", "start", "end", "n_words", digest.alias("digest"), F.col("first.d").alias("first_doc_id"), F.col("first.s").alias("first_start"), "text_id"
+        "doc_id", "start", "end", "n_words", digest.alias("digest"), F.col("first.d").alias("first_doc_id"), F.col("first.s").alias("first_start"), "text_id",
+        F.col("first.t").alias("first_text_id"), F.col("first.e").alias("first_end"),
     )
 
 
-def without_repeats(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text``, and ``removed``: their original ``start`` and ``end``."""
-    spans = repeated_units(docs, least_words).groupBy("doc_id", "text_id").agg(
+def without_repeats(docs: DataFrame, least_words: int = 8, repeated: Callable[[DataFrame, int], DataFrame] = repeated_units) -> DataFrame:
+    """``docs`` with the repeated units cut out of ``text``, and ``removed``: their original ``start`` and ``end``.
+
+    ``repeated`` finds the units: ``repeated_units``, or ``repeated_spans``.
+    """
+    found = repeated(docs, least_words).groupBy("doc_id", "text_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")
     )
     rows = packed(docs, F.col("doc_id").alias("d"), short_id().alias("t"), "text")
-    both = rows.join(spans, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_id")), "left").select("row", "text", "removed")
+    both = rows.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_id")), "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +176,7 @@ def without_repeats(docs: DataFrame, least_words: int = 8) -> DataFrame:
                 at, out = 0, []
                 for span in removed or ():
                     out.append(text[at : span["start"]])
-                    at = span["end"]
+                    at = max(at, span["end"])
                 texts.append(None if text is None else "".join([*out, text[at:]]))
             yield batch.set_column(1, batch.schema.field(1), pa.array(texts, batch.schema.field(1).type))
 

@@ -98,7 +98,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.repeated_units(table(spark, folder, "documents")).drop("text_id")
+    return line_dedup.repeated_spans(table(spark, folder, "documents")).drop("text_id")
 
 
 @query("op2_embedding_near_dedup")

@@ -194,6 +194,20 @@ def test_passages_inside_other_texts_repeat(spark):
     assert {r.doc_id: r["count"] for r in got} == {1: 4, 2: 4}
 
 
+def covered(rows, doc):
+    return {c for r in rows if r.doc_id == doc for c in range(r.start, r.end)}
+
+
+def test_short_lines_repeat_whole(spark):
+    two = "Read all of the terms here today. Then go back to the first page."
+    texts = ["All rights reserved.\nOne more.", f"all  rights RESERVED.\n{two}", f"{two}\nA new one.\n\nall rights\nreserved.", "a b.\na b.\n"]
+    docs = frame(spark, list(enumerate(texts)))
+    got = line_dedup.repeated_spans(docs).collect()
+    assert [covered(got, k) for k in range(4)] == [set(), set(range(21)), set(range(len(two))) | set(range(len(two) + 13, len(texts[2]))), set(range(5, 9))]
+    left = {r.doc_id: r.text.split() for r in line_dedup.without_repeats(docs, 8, line_dedup.repeated_spans).collect()}
+    assert left == {0: texts[0].split(), 1: two.split(), 2: "A new one.".split(), 3: "a b.".split()}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (130, 100), (130, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
