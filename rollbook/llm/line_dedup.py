@@ -1,4 +1,4 @@
-"""Substring dedup by hashing of lines, paragraphs and sentences (``repeated_spans``).
+"""Substring dedup by hashing of lines, paragraphs, sentences and windows of words (``repeated_spans``).
 
 A unit of ``repeated_units`` is a line, cut at the ends of its sentences; a unit of very many words is cut again at words chosen by
 their hash, so that a passage inside another text falls into the same units.  Digests of the normalised units
@@ -73,7 +73,10 @@ def units(docs: DataFrame, least_words: int) -> DataFrame:
 def spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """``doc_id, text_id, start, end, n_words, high, low`` of every unit, as in ``units``, but uncut and of any length.
 
-    Units are all lines and paragraphs, and sentences of ``least_words`` or more words.
+    Units are all lines and paragraphs, sentences of ``least_words`` or more words, and windows of ``least_words`` words
+    anywhere in a text: of any ``least_words`` windows in a row the one of least hash (all of equal ones).  So equal
+    passages of ``2 * least_words - 1`` words choose equal windows, which meet or overlap and leave out fewer than
+    ``least_words`` words at either end, whatever stands around them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +99,7 @@ def spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
                 found = [_cut(hashes, np.flatnonzero(new)) for new in (line, paragraph, sentence)]
                 enough = found[2][1] >= least_words
                 found[2] = tuple(c[enough] for c in found[2])
+                found.append(_windows(hashes, first, least_words))
                 begin, size, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
                 # The same words are one unit, of whatever kind.
                 _, only = np.unique(begin * np.int64(len(starts) + 1) + size, return_index=True)
@@ -123,6 +127,26 @@ def _cut(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, size, np.add.reduceat(mix(hashes + place * _FACTOR), begin), np.add.reduceat(mix(hashes ^ mix(place + np.uint64(1))), begin)
 
 
+def _windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and digest of the chosen windows: each the least of some ``width`` windows in a row."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(hashes))
+    one = np.zeros(len(hashes), np.uint64)
+    for k in range(min(width, len(hashes))):
+        one[: len(hashes) - k] += mix(hashes[k:] + np.uint64(k) * _FACTOR)
+    order = np.where(left >= width, mix(one), np.uint64(2**64 - 1))
+    least = order.copy()
+    for k in range(1, width):
+        least[:-k] = np.minimum(least[:-k], order[k:])
+    chosen = np.zeros(len(hashes), bool)
+    for k in range(min(width, len(hashes))):
+        chosen[k:] |= order[k:] == least[: len(hashes) - k]
+    at = np.flatnonzero(chosen & (left >= width))
+    two = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        two += mix(hashes[at + k] ^ mix(np.array([k + 1], np.uint64)))
+    return at, np.full(len(at), width), one[at], two
+
+
 def repeated_spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """One row for each unit of ``spans`` to remove, as in ``repeated_units``; units overlap, their union goes.
 

@@ -208,6 +208,33 @@ def test_short_lines_repeat_whole(spark):
     assert left == {0: texts[0].split(), 1: two.split(), 2: "A new one.".split(), 3: "a b.".split()}
 
 
+def test_unpunctuated_passages_repeat_in_unlike_texts(spark):
+    rows, spots = [], {}
+    for k in range(120):
+        passage = [f"p{k}x{i}" for i in range((50, 60, 80, 300)[k % 4])]
+        for side in (0, 1):
+            words = [f"l{k}{side}x{i}" for i in range(40 * side)] + passage + [f"r{k}{side}x{i}" for i in range(30 * side)]
+            rows.append((2 * k + side, " ".join(words)))
+        begin = rows[-1][1].index(passage[0])
+        spots[2 * k + 1] = (begin, begin + len(" ".join(passage)), len(passage))
+    got = line_dedup.repeated_spans(frame(spark, rows)).collect()
+    text = dict(rows)
+    for doc in text:
+        mine = covered(got, doc)
+        if doc not in spots:
+            assert not mine
+            continue
+        begin, end, words = spots[doc]
+        assert mine and begin <= min(mine) and max(mine) < end
+        left = set(range(min(mine), max(mine) + 1)) - mine
+        assert all(text[doc][c] == " " for c in left) and len(text[doc][min(mine) : max(mine) + 1].split()) >= words - 14
+
+
+def test_words_that_repeat_themselves_keep_their_first_occurrence(spark):
+    got = line_dedup.repeated_spans(frame(spark, [(1, "word " * 40)])).collect()
+    assert got and min(r.start for r in got) == 40
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (130, 100), (130, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
