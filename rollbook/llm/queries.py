@@ -1,12 +1,13 @@
-"""The ten corpus operators as queries over the driver's tables, with their SQL."""
+"""The corpus operators as queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, toxicity, url_filter
+from rollbook.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,49 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_pii")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_conversation_prefix_trie",
+    r"""
+    WITH turns AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+             {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), listed AS (
+      SELECT conv_id, list(said ORDER BY pos) AS said,
+             xor(4294967295, list_reduce(
+               list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda x, step: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+      FROM turns GROUP BY conv_id
+    ), built AS (
+      SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS path
+      FROM listed c LEFT JOIN listed b ON b.conv_id = c.conv_id - c.conv_id % 5
+    ), prefixes AS (
+      SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM built
+    ), nodes AS (
+      SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends
+      FROM prefixes GROUP BY ALL
+    ), children AS (
+      SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+    ), weighed AS (
+      SELECT node, depth, (n_convs - 1) * coalesce(strlen(node[depth].text), 0) AS w, (n IS NULL)::BIGINT AS leaf
+      FROM nodes LEFT JOIN children USING (node)
+    ), above AS (
+      SELECT node, unnest(range(0, depth + 1)) AS upto, w, leaf FROM weighed
+    ), sums AS (
+      SELECT node[1:upto] AS node, sum(w) AS w, sum(leaf) AS leaves FROM above GROUP BY ALL
+    )
+    SELECT nodes.conv_id, nodes.depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(children.n, 0)::BIGINT AS n_children,
+           sums.leaves::BIGINT AS n_leaves, sums.w::BIGINT AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+    FROM nodes JOIN sums USING (node) LEFT JOIN children USING (node)
+    LEFT JOIN nodes parent ON nodes.depth > 0 AND parent.node = nodes.node[1:nodes.depth - 1]
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_trie.shared_heads(conversation_trie.numbered_turns(table(spark, folder, "conversations")))
+    nodes = conversation_trie.prefix_trie(turns)
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves"]
+    return nodes.select(*names, F.col("saved").alias("saved_tokens"), "ends_sha256")
