@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, toxicity, url_filter
+from rollbook.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, token_alignment, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     nodes = conversation_trie.prefix_trie(turns)
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves"]
     return nodes.select(*names, F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, folder, "documents"))
