@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import conversation_trie, decontaminate, embedding_dedup, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, token_alignment, toxicity, url_filter
+from rollbook.llm import conversation_trie, decontaminate, embedding_dedup, graph_search, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, token_alignment, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,9 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_cross_tokenizer_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.alignment_report(table(spark, folder, "documents"))
+
+
+@query("op11_graph_search")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return graph_search.search(graph_search.build_index(vectors), vectors.where("vec_id % 20 = 0"))
