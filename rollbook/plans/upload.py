@@ -22,9 +22,10 @@ _PROFILE = (
 
 @dataclass
 class Upload:
-    """New content of the stored tables, the rows that are new in them, and the refused bundles.
+    """New content of the stored tables, the rows that are new or changed in them, and the refused bundles.
 
-    Uploaded events are new, so their rows and those of their snapshots can be appended.
+    Uploaded events are new, so their rows and those of their snapshots can be appended; ``changed_people`` are what
+    ``people_after`` makes the new participants of.
     """
 
     participants: DataFrame
@@ -32,6 +33,7 @@ class Upload:
     events: DataFrame
     added_snapshots: DataFrame
     added_events: DataFrame
+    changed_people: DataFrame
     rejects: DataFrame
 
 
@@ -177,6 +179,13 @@ def _problems(checked: DataFrame) -> DataFrame:
     return bad.groupBy("path").agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
+def people_after(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """Participants after an upload: known people patched, new ones after all stored ones in the order that matching uses."""
+    patched = mutate.bulk_upsert(stored, changed, ["pid"], "_order")
+    number = F.regexp_extract("pid", r"(\d+)$", 1).try_cast("bigint")
+    return patched.withColumn("ord", F.coalesce("ord", F.lit(1 << 40) + number))
+
+
 def upload(
     bundles: DataFrame, participants: DataFrame, participant_events: DataFrame, events: DataFrame, now: Column | None = None
 ) -> Upload:
@@ -236,14 +245,11 @@ def upload(
     bad_paths = broken.select("path")
     change = identified.join(bad_paths, "path", "left_anti")
     delta = change.select("pid", F.struct("path", "row_no").alias("_order"), *_PROFILE)
-    patched = mutate.bulk_upsert(participants, delta, ["pid"], "_order")
-    # New people come after all stored ones in the order that matching uses.
-    number = F.regexp_extract("pid", r"(\d+)$", 1).try_cast("bigint")
-    new_participants = patched.withColumn("ord", F.coalesce("ord", F.lit(1 << 40) + number))
+    new_participants = people_after(participants, delta)
     kept_snapshots = snapshots.join(bad_paths, "path", "left_anti").drop("path")
     new_links = mutate.upsert(participant_events, kept_snapshots, ["participant_id", "event_id"])
     accepted = event_rows.join(bad_paths, "path", "left_anti").drop("path").withColumns(
         {"created_at": now.cast("timestamp"), "updated_at": now.cast("timestamp")}
     )
     new_events = events.unionByName(accepted, allowMissingColumns=True)
-    return Upload(new_participants, new_links, new_events, kept_snapshots, accepted, rejects)
+    return Upload(new_participants, new_links, new_events, kept_snapshots, accepted, delta, rejects)

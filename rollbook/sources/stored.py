@@ -312,8 +312,15 @@ class Change:
         parts.append({"path": path, "live": touched, "cells": None})
         self.tables[name] = {"cells": entry["cells"], "parts": parts, "changes": []}
 
+    def pending(self, name: str) -> int:
+        """How many changes and additions wait for ``compact``."""
+        entry = self.tables.get(name, {"changes": [], "parts": []})
+        return len(entry["changes"]) + sum(p["cells"] is not None for p in entry["parts"])
+
     def commit(self) -> bool:
-        """Make the change the next version; false where another writer took that number."""
+        """Make the change the next version; false where another writer took that number.  No change, no version."""
+        if self.tables == self.base["tables"] and self.batches == self.base["batches"]:
+            return True
         return _put(self.spark, self.root, {"version": self.base["version"] + 1, "tables": self.tables, "batches": self.batches})
 
 

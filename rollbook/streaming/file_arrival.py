@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rollbook.plans.upload import upload
+from rollbook.plans.upload import people_after, upload
 from rollbook.plans.workbook_import import import_workbooks
 from rollbook.session import checkpointed, prepare
 from rollbook.sources import stored
 from rollbook.sources.preview import preview_bundles
 
+#: Changes and additions of a table after which its touched cells are rewritten.
+COMPACT_AFTER = 20
+
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -26,35 +29,44 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000
     )
 
 
-def process(files: DataFrame, root: str) -> DataFrame:
-    """Import and upload one batch of files into the tables below ``root``; returns the rejects.
+def process(files: DataFrame, root: str, batch: int | None = None, stream: str = "") -> DataFrame:
+    """Import and upload one batch of files into the tables below ``root``; returns the table of rejects.
 
-    Snapshots and events of new events are appended; only the participants, which a batch may
-    patch, get a new version, so batches should be large.  The event table is written last: a
-    batch that is run again finds its events stored and changes nothing, and one that broke
-    off half way patches the same people again and leaves known snapshots alone.
+    Participants, snapshots, events, rejects and the number of the batch become one new version of the database.  A batch
+    that this ``stream`` has stored already changes nothing, and one that broke off has left nothing behind.  Only changed
+    people and new rows are written; now and then the cells they lie in are rewritten.
     """
     spark = prepare(files.sparkSession)
-    tables = {n: stored.read_table(spark, root, n) for n in ("countries", "participants", "participant_events", "events")}
-    found = import_workbooks(files, tables["countries"], tables["participants"])
-    bundles = checkpointed(preview_bundles(found.events, found.attendees, found.snapshots))
-    result = upload(bundles, tables["participants"], tables["participant_events"], tables["events"])
-    eid = F.lit(None).cast("string").alias("eid")
-    files_refused = found.rejects.select("path", eid, "errors")
-    rejects = checkpointed(files_refused.unionByName(result.rejects))  # before the tables change
-    stored.write_table(result.participants, root, "participants")
-    stored.append(spark, root, "participant_events", result.added_snapshots)
-    stored.append(spark, root, "events", result.added_events)
-    return rejects
+
+    def work(change: stored.Change) -> None:
+        if batch is not None and change.batches.get(stream, -1) >= batch:
+            return
+        tables = {n: change.read(n) for n in ("countries", "participants", "participant_events", "events")}
+        found = import_workbooks(files, tables["countries"], tables["participants"])
+        bundles = checkpointed(preview_bundles(found.events, found.attendees, found.snapshots))
+        result = upload(bundles, tables["participants"], tables["participant_events"], tables["events"])
+        eid = F.lit(None).cast("string").alias("eid")
+        change.append("rejects", found.rejects.select("path", eid, "errors").unionByName(result.rejects))
+        change.change("participants", result.changed_people, people_after)
+        change.append("participant_events", result.added_snapshots)
+        change.append("events", result.added_events)
+        for name in ("participants", "participant_events", "events", "rejects"):
+            if change.pending(name) > COMPACT_AFTER:
+                change.compact(name)
+        if batch is not None:
+            change.batches[stream] = batch
+
+    stored.transact(spark, root, work)
+    return stored.read_table(spark, root, "rejects")
 
 
 def start(
     spark: SparkSession, folder: str, root: str, checkpoint: str, files_per_batch: int = 1000, available_now: bool = False
 ) -> StreamingQuery:
-    """Run ``process`` for every batch of arriving files; rejects are appended to ``root/rejects``."""
+    """Run ``process`` for every batch of arriving files, each stored exactly once for this checkpoint folder."""
 
-    def handle(batch: DataFrame, _: int) -> None:
-        process(batch, root).write.mode("append").json(f"{root}/rejects")
+    def handle(batch: DataFrame, number: int) -> None:
+        process(batch, root, number, checkpoint)
 
     writer = arriving_files(spark, folder, files_per_batch).writeStream.foreachBatch(handle)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -342,6 +342,17 @@ def test_file_arrival_is_replayable(spark, tmp_path):
     # The transport "Bus" of the other workbook is no coded value, so its bundle is refused.
     assert events == {"E2"}
     assert stored.read_table(spark, root, "participants").count() == 1
-    rejects = spark.read.json(f"{root}/rejects")
+    rejects = stored.read_table(spark, root, "rejects")
     assert rejects.filter("array_contains(errors, 'Event has already been uploaded')").count() >= 1
+    # The same batch of the same stream again changes nothing; nor does one that breaks off.
+    names = ("participants", "participant_events", "events", "rejects")
+    before = {n: sorted(map(str, stored.read_table(spark, root, n).collect())) for n in names}
+    files = spark.createDataFrame([("again.xlsx", bytearray(make_workbook())), ("y.xlsx", bytearray(book))], "path string, content binary")
+    version = stored.versions(spark, root)
+    file_arrival.process(files, root, 0, str(tmp_path / "cp0"))
+    assert stored.versions(spark, root) == version
+    with pytest.raises(Exception, match="broken"):
+        file_arrival.process(files.withColumn("content", F.raise_error(F.lit("broken")).cast("binary")), root, 1, str(tmp_path / "cp0"))
+    assert {n: sorted(map(str, stored.read_table(spark, root, n).collect())) for n in names} == before
+    assert file_arrival.process(files, root, 1, str(tmp_path / "cp0")).count() > len(before["rejects"])
     assert isinstance(stored.read_table(spark, root, "events").first()["start_date"], datetime)
