@@ -5,7 +5,7 @@ Every view covers the whole of its source tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollbook.operators.merge import last_row
 from rollbook.session import prepare
@@ -29,6 +29,25 @@ SCHEMAS = {
 }
 
 
+#: The number that each formatted key is made of.
+NUMBERED = {
+    "pid": ("P%04d", "c_custkey"), "representing_country": ("C%03d", "c_nationkey"),
+    "participant_id": ("P%04d", "o_custkey"), "event_id": ("E%05d", "l_partkey"),
+}
+
+
+def numbered(key: str, value: str) -> tuple[str, Column]:
+    """The stored column behind a key, and the test that it is the number the value was formatted from.
+
+    The test is on the stored type, so it reaches the scan; a value that no number is formatted as is in no row.
+    """
+    pattern, column = NUMBERED[key]
+    digits = value[1:]
+    if value[:1] != pattern[0] or not digits.isascii() or not digits.isdigit() or pattern % int(digits) != value:
+        return column, F.lit(False)
+    return column, F.col(column) == F.lit(int(digits))
+
+
 class Tables:
     """The domain views over one folder of driver tables."""
 
@@ -49,11 +68,18 @@ class Tables:
 
     @property
     def participants(self) -> DataFrame:
+        return self.participants_where()
+
+    def participants_where(self, **keys: str) -> DataFrame:
+        """Participants with the given keys, which the scan tests as the numbers they are stored as."""
+        rows = self.raw("customer")
+        for name, value in keys.items():
+            rows = rows.filter(numbered(name, value)[1])
         key = F.col("c_custkey")
         represented = F.format_string("C%03d", "c_nationkey")
         born = F.format_string("C%03d", (F.col("c_nationkey") + key % 3) % 27)
         other = F.format_string("C%03d", key % 28)
-        return self.raw("customer").select(
+        return rows.select(
             F.format_string("P%04d", key).alias("pid"),
             F.col("c_name").alias("name"),
             represented.alias("representing_country"),
@@ -155,9 +181,15 @@ class Tables:
 
     @property
     def links(self) -> DataFrame:
-        line = self.raw("lineitem").select("l_orderkey", "l_partkey").join(
-            self.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-        )
+        return self.links_where()
+
+    def links_where(self, **keys: str) -> DataFrame:
+        """Links with the given keys, which the scans test as the numbers they are stored as."""
+        line, orders = self.raw("lineitem"), self.raw("orders")
+        for name, value in keys.items():
+            column, test = numbered(name, value)
+            line, orders = (line.filter(test), orders) if column.startswith("l_") else (line, orders.filter(test))
+        line = line.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         # The keys are made distinct as numbers and formatted once per pair.
         return line.select("o_custkey", "l_partkey").distinct().select(
             F.format_string("P%04d", "o_custkey").alias("participant_id"),

@@ -28,4 +28,4 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from rollbook.plans import catalog_jobs, catalog_match, catalog_merge, catalog_read, catalog_text  # noqa: F401
+    from rollbook.plans import catalog_jobs, catalog_match, catalog_merge, catalog_read, catalog_stored, catalog_text  # noqa: F401

@@ -103,6 +103,24 @@ def ledger(t: Tables) -> DataFrame:
     return people.select("sheet", "row_no", "Event", "Name", "Position")
 
 
+@query(
+    "ledger_events",
+    "",
+    f"""select 's' || user_id % 4 sheet, event_id row_no, code "Event", trim(substr(line, strpos(line, ' '))) as "Title", '' as "LocationDate"
+    from (select *, nullif(regexp_extract(line, '^(PFE[0-9]{{2}}M[0-9])\\s', 1), '') code
+    from (select *, {choose_sql('event_id', *_LEDGER_LINES)} line from events)) where code is not null""",
+)
+def ledger_events(t: Tables) -> DataFrame:
+    rows = t.raw("events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("sheet"),
+        F.col("event_id").alias("row_no"),
+        choose("event_id", *_LEDGER_LINES).alias("first"),
+        F.lit(None).cast("string").alias("second"),
+    )
+    events, _ = extract_ledger(rows, block=1500)
+    return events
+
+
 @query(
     "pid_numbering",
     "",

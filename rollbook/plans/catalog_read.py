@@ -243,6 +243,50 @@ def event_detail(t: Tables) -> DataFrame:
     return roster.drop("event_id")
 
 
+@query(
+    "event_detail_summary",
+    "v_events v_links v_countries v_tests",
+    f"""select s.*, coalesce((select round(avg(score), 6) from v_tests t where t.eid = s.eid and t."type" = 'pre'), 0.0) avg_pre,
+    coalesce((select round(avg(score), 6) from v_tests t where t.eid = s.eid and t."type" = 'post'), 0.0) avg_post
+    from ({SUMMARIES}) s where eid = 'E00007'""",
+)
+def event_detail_summary(t: Tables) -> DataFrame:
+    summary, _ = screens.event_detail("E00007", t.events, t.links, t.participants, t.countries, t.tests)
+    return days(summary, "start_date", "end_date").withColumns({c: F.round(c, 6) for c in ("avg_pre", "avg_post")})
+
+
+@query(
+    "participant_detail",
+    "v_participants v_countries",
+    """select p.pid, p.name, p.position, p.grade, p.email, p.phone, p.representing_country, coalesce(c.country, p.representing_country) representing_country_name,
+    coalesce(b.country, p.birth_country) birth_country_name, (select string_agg(coalesce(n.country, code), ',' order by pos) from
+     (select unnest(list_distinct_in_order) code, generate_subscripts(list_distinct_in_order, 1) pos from
+      (select list_filter([p.representing_country, case when p.birth_country <> p.representing_country then p.birth_country end,
+       case when p.third_country not in (p.representing_country, p.birth_country) then p.third_country end], lambda x: x is not null) list_distinct_in_order))
+     left join v_countries n on n.cid = code) citizenship_names
+    from v_participants p left join v_countries c on c.cid = p.representing_country left join v_countries b on b.cid = p.birth_country
+    where p.pid = 'P0011'""",
+)
+def participant_detail(t: Tables) -> DataFrame:
+    profile, _ = screens.participant_detail("P0011", t.participants_where(pid="P0011"), t.links, t.events, t.countries)
+    names = F.array_join("citizenship_names", ",").alias("citizenship_names")
+    return profile.select(
+        "pid", "name", "position", "grade", "email", "phone", "representing_country", "representing_country_name", "birth_country_name", names
+    )
+
+
+@query(
+    "participant_detail_events",
+    "v_links v_events v_countries",
+    """select e.eid, e.title, e.place, coalesce(c.country, e.country) country, e.country country_code,
+    strftime(e.start_date, '%Y-%m-%d') start_date, strftime(e.end_date, '%Y-%m-%d') end_date
+    from v_links l join v_events e on e.eid = l.event_id left join v_countries c on c.cid = e.country where l.participant_id = 'P0011'""",
+)
+def participant_detail_events(t: Tables) -> DataFrame:
+    _, attended = screens.participant_detail("P0011", t.participants_where(pid="P0011"), t.links_where(participant_id="P0011"), t.events, t.countries)
+    return days(attended, "start_date", "end_date").drop("participant_id")
+
+
 @query(
     "participant_events",
     "v_links v_events v_countries",
@@ -366,7 +410,7 @@ def distinct_links(t: Tables) -> DataFrame:
     "select pid, name from v_participants where representing_country = 'C003'",
 )
 def people_of_one_country(t: Tables) -> DataFrame:
-    return tables.by_country(t.participants, "C003").select("pid", "name")
+    return tables.by_country(t.participants_where(representing_country="C003"), "C003").select("pid", "name")
 
 
 @query("people_of_one_grade", "v_participants", "select pid, name from v_participants where grade = 2")
@@ -380,7 +424,7 @@ def people_of_one_grade(t: Tables) -> DataFrame:
     "select event_id, participant_id from v_links where event_id = 'E00011'",
 )
 def links_of_one_event(t: Tables) -> DataFrame:
-    return tables.participant_ids(t.links, "E00011")
+    return tables.participant_ids(t.links_where(event_id="E00011"), "E00011")
 
 
 @query(
@@ -389,7 +433,7 @@ def links_of_one_event(t: Tables) -> DataFrame:
     "select participant_id, event_id from v_links where participant_id = 'P0011'",
 )
 def links_of_one_person(t: Tables) -> DataFrame:
-    return tables.event_ids(t.links, "P0011")
+    return tables.event_ids(t.links_where(participant_id="P0011"), "P0011")
 
 
 @query(

@@ -393,13 +393,14 @@ _LEGACY = ("'BH'", "'hrv'", "'Kosovar'", "' Makedonija '", "'Bosnia Herzegovina'
     f"""select c_custkey, case lower(trim(raw)) when 'bh' then 'Bosnia and Herzegovina' when 'hrv' then 'Croatia'
     when 'kosovar' then 'Kosovo' when 'makedonija' then 'North Macedonia' when 'bosnia herzegovina' then 'Bosnia and Herzegovina'
     when 'republika srbija' then 'Serbia' when 'croatia' then 'Croatia' end country,
+    case when raw is not null and lower(trim(raw)) <> 'freedonia' then 'Europe & Eurasia' end region,
     case lower(trim(raw)) when 'hrv' then 'iso' when 'bosnia herzegovina' then 'exact' when 'croatia' then 'exact'
     when 'freedonia' then null else case when raw is not null then 'alias' end end as method
     from (select c_custkey, {choose_sql('c_custkey', *_LEGACY)} raw from customer)""",
 )
 def legacy_countries(t: Tables) -> DataFrame:
     raw = t.raw("customer").select("c_custkey", choose("c_custkey", *_LEGACY).alias("raw"))
-    return raw.select("c_custkey", match.legacy_country("raw").alias("r")).select("c_custkey", "r.country", "r.method")
+    return raw.select("c_custkey", match.legacy_country("raw").alias("r")).select("c_custkey", "r.country", "r.region", "r.method")
 
 
 @query(

@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple, TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rollbook.operators.mutate import bulk_upsert, one_per_key, patch as patched, upsert as upserted
 from rollbook.schemas import TABLES
@@ -382,16 +382,35 @@ def countries_by_name(countries: DataFrame) -> DataFrame:
     return countries.orderBy("country", "cid")
 
 
-def load_flat(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """The three flat sheets ``Participant``, ``Country`` and ``Events``, all columns as text.
+def numbered_rows(df: DataFrame, row_no: str = "row_no") -> DataFrame:
+    """Rows read from files with their number, 1 first: by the name of the file, its splits in order, and the place in the split.
 
-    CSV files need a header row; parquet folders are read as they are.
+    ``df`` must come right from the reader.  A task numbers the rows that it reads one after the other; how many rows lie
+    before a split is summed up over a table with one row for each split, so one large file may be read by many tasks.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    splits = placed.groupBy("_file", "_start").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    numbered = placed.join(splits, ["_file", "_start"])
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_nth") - F.col("_first") + 1).alias(row_no))
+
+
+def load_flat(spark: SparkSession, folder: str, fmt: str = "csv", newlines: bool = False, columns: dict[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """The three flat sheets ``Participant``, ``Country`` and ``Events``, all columns as text, with the number of every row.
+
+    CSV files need a header row.  Only where cells hold ``newlines`` is a file read by one task; others are split.  The
+    ``columns`` of a sheet, in the order of its files, save a look at the files.  Rows are numbered in the order of the file
+    names unless a column ``row_no`` numbers them already.
     """
     sheets = {}
     for name in ("Participant", "Country", "Events"):
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+            reader = reader.option("header", "true").option("multiLine", str(newlines).lower()).option("escape", '"')
+        if columns and name in columns:
+            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns[name]]))
         df = reader.load(f"{folder}/{name}")
+        df = df if "row_no" in df.columns else numbered_rows(df)
         sheets[name] = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c != "row_no" else F.col(c).cast("bigint") for c in df.columns])
     return sheets

@@ -138,3 +138,33 @@ def test_retention_keeps_what_is_named(spark, tmp_path):
     assert stored.retain(spark, root, keep=2, older_than_hours=24) == 1 and len(glob.glob(f"{root}/participants/*")) == 3
     assert stored.retain(spark, root, keep=1, older_than_hours=-1) == 3
     assert stored.versions(spark, root) == [3] and stored.read_table(spark, root, "participants").count() == 5
+
+
+def test_rows_of_split_files_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("x,y\n" + "".join(f"{k},{'w' * (k % 50)}\n" for k in range(20_000, 40_000)))
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{k},\n" for k in range(20_000)))
+    (tmp_path / "c.csv").write_text("x,y\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = spark.read.option("header", "true").csv(str(tmp_path))
+        assert df.rdd.getNumPartitions() > 8
+        numbered = stored.numbered_rows(df)
+        assert numbered.filter("row_no <> cast(x as long) + 1").count() == 0 and numbered.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_formatted_keys_reach_the_scan_as_numbers(spark):
+    from rollbook.plans.bindings import Tables
+    from rollbook.plans.catalog import QUERIES, load_all
+
+    load_all()
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for name, pushed in (
+        ("people_of_one_country", "EqualTo(c_nationkey,3)"), ("links_of_one_event", "EqualTo(l_partkey,11)"), ("links_of_one_person", "EqualTo(o_custkey,11)"),
+    ):
+        assert pushed in QUERIES[name](t)._jdf.queryExecution().executedPlan().toString()
+    for value in ("C3", "C0003", "P003", "", "Cx"):
+        assert t.participants_where(representing_country=value).count() == 0
