@@ -67,7 +67,14 @@ def build_index(vectors: DataFrame, k: int = 20, vector: str = "embedding", key:
             }
         ).cast(pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("layers", pa.int32()), ("vectors", pa.binary()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary())), ("starts", pa.binary()), ("members", pa.binary())]))
 
-    return written(dealt.select("dim", "shard", "d1", "d2", "v", "ids").groupBy("dim", "shard").applyInArrow(shard, _INDEX))
+    placed = dealt.select("dim", "shard", "d1", "d2", "v", "ids").repartition(_tasks(sizes), "dim", "shard")
+    return written(placed.groupBy("dim", "shard").applyInArrow(shard, _INDEX))
+
+
+def _tasks(sizes: DataFrame) -> int:
+    """Tasks that shards are dealt to: a few bytes of vectors are much work, so partitions are not merged by their size."""
+    shards = int(sizes.agg(F.coalesce(F.sum("shards"), F.lit(1)).alias("n")).first()["n"])
+    return max(1, min(2 * shards, 8 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding", key: str = "vec_id", width: int = SEARCH_WIDTH) -> DataFrame:
@@ -79,11 +86,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, vector: str = "emb
     task holds one shard and reads them in portions.
     """
     asked = _usable(queries, vector, key).dropDuplicates(["id", "d1", "d2"])
-    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("all"))
-    placed = asked.withColumn("dim", F.size("v")).join(shards, "dim").select("dim", F.explode("all").alias("shard"), "id", "d1", "d2", "v")
+    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("all"), F.count(F.lit(1)).alias("shards"))
+    placed = asked.withColumn("dim", F.size("v")).join(shards.drop("shards"), "dim").select("dim", F.explode("all").alias("shard"), "id", "d1", "d2", "v")
     graphs = index.withColumns({"id": F.lit(None).cast("long"), "d1": F.lit(None).cast("long"), "d2": F.lit(None).cast("long"), "v": F.lit(None).cast("array<double>")})
     # The row of the shard comes first, its queries follow.
-    stream = graphs.unionByName(placed, allowMissingColumns=True).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("layers").asc_nulls_last())
+    stream = graphs.unionByName(placed, allowMissingColumns=True).repartition(_tasks(shards), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("layers").asc_nulls_last())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
