@@ -177,9 +177,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
     pieces = written(pieces.select("*", piece_id))
     # Equal stretches of a key go on as one, with the number of times they occur.
     level = pieces.groupBy("core", "piece_id").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first("place").alias("place"))
-    level = level.select("core", "piece_id", F.lit(0).alias("at"), "place", F.col("n").alias("n"), "piece")
+    level = level.select("core", F.col("piece_id").alias("unit"), "place", "n", "piece")
     width = -(-(length - _GRAM + 1) // _CELLS)
     results = []
+    names = None
     while True:
         level = written(level)
         sizes = level.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("_n")).where("_n > 1")
@@ -187,10 +188,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
         level = level.join(sizes.select("core", "kinds"), "core")
         last = width <= 1
         fit = level if last else level.where(F.col("kinds") <= shard)
-        results.append(_sorted_shards(fit, length))
+        results.append(_named(_sorted_shards(fit, length), names))
         if last or sizes.where(F.col("kinds") > shard).isEmpty():
             break
-        level = _split(level.where(F.col("kinds") > shard).drop("kinds"), width, length)
+        halves = written(_split(level.where(F.col("kinds") > shard).drop("kinds"), width, length))
+        names = written(_names(halves, names))
+        # Halves that are equal go on as one: at width one all strings of a key are, and their number alone decides.
+        level = halves.groupBy("core", "unit", "place").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
         width = -(-width // 2)
     hits = results[0]
     for more in results[1:]:
@@ -201,8 +205,27 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
     return same, texts
 
 
+_UNIT = ["core", "unit", "place"]
+
+
+def _names(halves: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``core, unit, place`` of the halves, and the stretches that they are in: ``piece_id, at``."""
+    own = halves.select(*_UNIT, *[f"of_{c}" for c in _UNIT], "at")
+    if names is None:
+        return own.select(*_UNIT, F.col("of_unit").alias("piece_id"), "at")
+    upper = names.select(*[F.col(c).alias(f"of_{c}") for c in _UNIT], "piece_id", F.col("at").alias("before"))
+    return own.join(upper, [f"of_{c}" for c in _UNIT]).select(*_UNIT, "piece_id", (F.col("at") + F.col("before")).alias("at"))
+
+
+def _named(hits: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``piece_id, first, until``: the hits in units as such in the stretches that these were cut from."""
+    if names is None:
+        return hits.select(F.col("unit").alias("piece_id"), "first", "until")
+    return hits.join(names, _UNIT).select("piece_id", (F.col("first") + F.col("at")).alias("first"), (F.col("until") + F.col("at")).alias("until"))
+
+
 def _sorted_shards(level: DataFrame, length: int) -> DataFrame:
-    """``piece_id, first, until``: starts in a stretch whose strings are repeated among the stretches of its key."""
+    """``core, unit, place, first, until``: starts in a unit whose strings are repeated among the units of its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -229,28 +252,29 @@ def _sorted_shards(level: DataFrame, length: int) -> DataFrame:
         if not parts:
             return
         rows = pa.Table.from_batches(parts)
-        pieces, times, at = rows.column("piece").to_pylist(), rows.column("n").to_numpy(), rows.column("at").to_numpy()
+        pieces, times = rows.column("piece").to_pylist(), rows.column("n").to_numpy()
         ids, first, until = [], [], []
         for k, flags in enumerate(repeated_starts(pieces, times, length)):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             ids += [k] * (len(edges) // 2)
-            first += (edges[::2] + at[k]).tolist()
-            until += (edges[1::2] + at[k]).tolist()
-        table = pa.table([rows.column("piece_id").take(pa.array(ids, pa.int64())), pa.array(first, pa.int32()), pa.array(until, pa.int32())], names=["piece_id", "first", "until"])
+            first += edges[::2].tolist()
+            until += edges[1::2].tolist()
+        which = pa.array(ids, pa.int64())
+        table = pa.table([*(rows.column(c).take(which) for c in _UNIT), pa.array(first, pa.int32()), pa.array(until, pa.int32())], names=[*_UNIT, "first", "until"])
         yield from table.combine_chunks().to_batches()
 
-    rows = level.select("core", "piece_id", "at", "n", "piece").repartition("core").sortWithinPartitions("core")
-    return rows.mapInArrow(run, "piece_id binary, first int, until int")
+    rows = level.select("core", "unit", "place", "n", "piece").repartition("core").sortWithinPartitions("core")
+    return rows.mapInArrow(run, "core long, unit binary, place int, first int, until int")
 
 
 def _split(level: DataFrame, width: int, length: int) -> DataFrame:
-    """Stretches of hot keys as their two halves, each keyed by the longer core that its starts share."""
+    """Units of hot keys as their two halves, each keyed by the longer core that its starts share: what they hold and were cut from."""
     half = -(-width // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("piece"))
-            core, place, at = (batch.column(c).to_numpy() for c in ("core", "place", "at"))
+            core, place = (batch.column(c).to_numpy() for c in ("core", "place"))
             prints = Prints(data)
             starts = np.diff(offsets) - (length - 1)
             for low, high in ((0, half), (half, width)):  # places of the first start and past the last
@@ -264,21 +288,23 @@ def _split(level: DataFrame, width: int, length: int) -> DataFrame:
                 key = mix(prints.of(begin, low + length - (high - 1)) + core[some].view(np.uint64) * np.uint64(_BASE) + np.uint64(low))
                 cut = offsets[some] + first - place[some]
                 pieces = [data[a : a + n].tobytes() for a, n in zip(cut, until - first + length - 1, strict=True)]
+                which = pa.array(some)
                 yield pa.record_batch(
                     [
                         pa.array(key.view(np.int64)),
-                        batch.column("piece_id").take(pa.array(some)),
-                        pa.array((at[some] + first - place[some]).astype(np.int32)),
                         pa.array((first - low).astype(np.int32)),
-                        batch.column("n").take(pa.array(some)),
+                        *(batch.column(c).take(which) for c in _UNIT),
+                        pa.array((first - place[some]).astype(np.int32)),
+                        batch.column("n").take(which),
                         pa.array(pieces, pa.binary()),
                     ],
-                    names=["core", "piece_id", "at", "place", "n", "piece"],
+                    names=["core", "place", "of_core", "of_unit", "of_place", "at", "n", "piece"],
                 )
 
-    return level.select("core", "piece_id", "at", "place", "n", "piece").mapInArrow(
-        run, "core long, piece_id binary, at int, place int, n long, piece binary"
+    halves = level.select("core", "unit", "place", "n", "piece").mapInArrow(
+        run, "core long, place int, of_core long, of_unit binary, of_place int, at int, n long, piece binary"
     )
+    return halves.withColumn("unit", F.unhex(F.substring(F.sha2(F.col("piece"), 256), 1, 32)))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,6 +60,33 @@ def test_suffix_dedup(spark, shard):
     assert sorted(got, key=str) == sorted(wanted, key=str)
 
 
+def test_a_passage_in_many_unlike_texts_is_no_hot_group(spark, monkeypatch):
+    """A key with many contexts is split until equal halves have merged; no task gets the rows of a whole key."""
+    chance = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def noise(n):
+        return "".join(chance.choices(letters, k=n))
+
+    passage = noise(700)
+    texts = [noise(chance.randint(0, 300)) + passage[chance.randint(0, 200) :] + noise(chance.randint(0, 300)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    largest, sort = [], suffix_dedup._sorted_shards
+
+    def watched(level, length):
+        largest.append(level.groupBy("core").count().agg({"count": "max"}).first()[0] or 0)
+        return sort(level, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", watched)
+    ranges, found = suffix_dedup.repeated_ranges(docs, 400, 20)
+    times = Counter(text[i : i + 400] for text in texts for i in range(len(text) - 399))
+    keys = {bytes(r.key): r.text for r in found.collect()}
+    got = {(bytes(r.key), i) for r in ranges.collect() for i in range(r.begin, r.end)}
+    wanted = {(k, i) for k, text in keys.items() for i in range(len(text) - 399) if times[text[i : i + 400]] > 1}
+    assert got == wanted and len(wanted) > 10_000
+    assert len(largest) > 2 and max(largest) <= 20
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup_report(frame(spark, ODD).limit(0)).count() == 0
 
