@@ -143,7 +143,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
     keyed = docs.select(F.unhex(F.substring(_digest(), 1, 32)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = written(keyed.mapInArrow(cut, "core long, key binary, begin int, count int, place int, n int"))
     often = found.groupBy("core").agg(F.sum("n").alias("_n")).where("_n > 1").select("core")
-    kept = written(found.join(written(often), "core").groupBy("key", "begin", "count", "place", "core").agg(F.sum("n").alias("n")))
+    # A start is in one cell, so the first three tell the core; without it in the grouping the join may split a hot core over tasks.
+    kept = written(found.join(written(often), "core").groupBy("key", "begin", "count", "place").agg(F.first("core").alias("core"), F.sum("n").alias("n")))
 
     bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - _FILTER_BITS).alias("bit")
     present = np.zeros(1 << _FILTER_BITS, bool)
