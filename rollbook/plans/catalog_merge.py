@@ -146,6 +146,9 @@ _LABELS = (
 )
 
 
+_LABELLED = f"select o_orderkey, {choose_sql('o_orderkey', *_LABELS)} raw from orders"
+
+
 @query(
     "group_rank",
     "",
@@ -175,19 +178,19 @@ def country_get_or_create(t: Tables) -> DataFrame:
 @query(
     "country_table_after_create",
     "v_countries",
-    f"""select country, cid from v_countries union all select arg_min(txt, o_orderkey), case when
-    regexp_full_match(upper(any_value(txt)), '[A-Z][0-9]{{3}}') then upper(any_value(txt)) else 'new' end
-    from (select o_orderkey, trim(raw) txt from (select o_orderkey, {choose_sql('o_orderkey', *_LABELS)} raw from orders))
+    f"""select country, cid from v_countries union all select txt, case when coded then upper(txt)
+    else printf('C%03d', (select greatest((select count(*) from v_countries), (select max(substr(cid, 2)::bigint) from v_countries),
+     (select max(substr(upper(trim(raw)), 2)::bigint) from ({_LABELLED}) where regexp_full_match(upper(trim(raw)), 'C[0-9]{{3}}'))))
+     + row_number() over (partition by coded order by seen)) end
+    from (select arg_min(txt, o_orderkey) txt, min(o_orderkey) seen, regexp_full_match(upper(any_value(txt)), '[A-Z][0-9]{{3}}') coded
+    from (select o_orderkey, trim(raw) txt from ({_LABELLED}))
     where txt <> '' and lower(txt) not in (select lower(country) from v_countries)
-    and upper(txt) not in (select cid from v_countries) group by lower(txt)""",
+    and upper(txt) not in (select cid from v_countries) group by lower(txt))""",
 )
 def country_table_after_create(t: Tables) -> DataFrame:
     labels = t.raw("orders").select("o_orderkey", choose("o_orderkey", *_LABELS).alias("label"))
     extended, _ = mutate.ensure_countries(labels, "label", "o_orderkey", t.countries)
-    number = F.regexp_extract("cid", r"(\d+)$", 1).cast("int")
-    return extended.select(
-        "country", F.when((number > 39) & ~F.upper("country").eqNullSafe(F.col("cid")), "new").otherwise(F.col("cid")).alias("cid")
-    )
+    return extended.select("country", "cid")
 
 
 @query(
