@@ -580,19 +580,25 @@ def edit_rejects(t: Tables) -> DataFrame:
     return rejects.withColumn("errors", F.array_join("errors", ";"))
 
 
+_HELD = """list_filter([representing_country, case when birth_country <> representing_country then birth_country end,
+    case when third_country not in (representing_country, birth_country) then third_country end], lambda x: x is not null)"""
+
+
 @query(
     "audit_diff",
     "v_participants",
     f"""select pid, field, "from", "to" from (select pid, unnest(['name', 'position', 'representing_country', 'birth_country', 'grade',
-    'gender', 'dob', 'pob', 'email', 'intl_authority']) field,
-    unnest([name, position, representing_country, birth_country, grade::varchar, gender, strftime(dob, '%Y-%m-%dT00:00:00'), pob, email, null]) "from",
+    'gender', 'dob', 'pob', 'email', 'intl_authority', 'citizenships']) field,
+    unnest([name, position, representing_country, birth_country, grade::varchar, gender, strftime(dob, '%Y-%m-%dT00:00:00'), pob, email, null,
+    '["' || array_to_string({_HELD}, '","') || '"]']) "from",
     unnest([f_name, f_position, rep, birth, coalesce(f_grade, grade::varchar), f_gender, '1980-02-03T00:00:00', f_pob, f_email,
-    case f_intl_authority when 'on' then 'true' when 'no' then 'false' end]) "to"
+    case f_intl_authority when 'on' then 'true' when 'no' then 'false' end,
+    '["' || array_to_string(list_filter({_HELD}, lambda x: x not in ('C025', 'C026', 'C027')), '","') || '"]']) "to"
     from ({_EDITED}) where len({_ERRORS}) = 0) where "from" is distinct from "to" """,
 )
 def audit_diff(t: Tables) -> DataFrame:
     changes = mutate.audit_changes(stored_people(t), edit_forms(t), t.countries, "web", F.lit("2025-01-01"))
-    return changes.filter("field <> 'citizenships'").select("pid", "field", "from", "to")
+    return changes.select("pid", "field", "from", "to")
 
 
 @query(
