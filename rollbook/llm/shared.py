@@ -54,6 +54,11 @@ def short_id(column: str = "text") -> F.Column:
     return F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 16), 16, -10).cast("long")
 
 
+def text_key(column: str = "text") -> F.Column:
+    """128 bits of the SHA-256 of a text, as bytes; a null is an empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 32))
+
+
 def likely(rows: DataFrame, column: str, among: DataFrame, bits: int = 24) -> DataFrame:
     """``rows`` with ``likely``: true wherever ``column`` is in ``among``, and false for nearly all others.
 

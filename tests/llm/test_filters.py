@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -47,6 +48,63 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize(("size", "replaced"), [(8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2)])
+def test_some_mask_fits_between_replaced_words(size, replaced):
+    masks = decontaminate.MASKS[max(n for n in decontaminate.MASKS if n <= size)]
+    placed = [{k + p for k, used in enumerate(mask) if used == "1"} for mask in masks for p in range(size - len(mask) + 1)]
+    for gone in itertools.combinations(range(size), replaced):
+        assert any(not at & set(gone) for at in placed)
+
+
+def overlaps_by_brute_force(docs, items, window=13):
+    """Every item laid over every text at every shift."""
+    code, found = {}, set()
+    parts = lambda text: np.array([code.setdefault(w, len(code)) for w in re.findall(r"[^\W_]+", (text or "").lower())], int)
+    items = [(item_id, parts(text)) for item_id, text in items]
+    for doc_id, text in docs:
+        words = parts(text)
+        for item_id, item in items:
+            n, span = len(item), min(window, len(item))
+            if n == 0 or n < 4 and words.tolist() != item.tolist():
+                continue
+            around = np.full(n, -1)
+            laid = np.lib.stride_tricks.sliding_window_view(np.concatenate([around, words, around]), n)
+            sums = np.cumsum(np.pad(laid == item, ((0, 0), (1, 0))), axis=1)
+            outside = np.cumsum(np.pad(laid == -1, ((0, 0), (1, 0))), axis=1)
+            good = (sums[:, span:] - sums[:, :-span] >= (span if n < 8 else 0.8 * span)) & (outside[:, span:] == outside[:, :-span])
+            for row in np.flatnonzero(good.any(axis=1)):
+                places = np.flatnonzero(good[row])
+                equal = [k for k in range(places[0], places[-1] + span) if laid[row, k] == item[k]]
+                found.add((doc_id, item_id, row - n + equal[0], row - n + equal[-1] + 1, int(sums[row, equal[-1] + 1] - sums[row, equal[0]])))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    chance = random.Random(11)
+    items = [(n, prose(700 + n, n)) for n in range(1, 31)] + [(100, "What is the capital of France?"), (101, prose(7, 400)), (102, None), (103, "")]
+    docs = []
+    for k in range(400):
+        words = chance.choice(items[:32])[1].split()
+        begin = chance.randrange(len(words))
+        words = words[begin:] if chance.random() < 0.2 else words
+        for _ in range(chance.randint(0, 4)):
+            words[chance.randrange(len(words))] = "other"
+        docs.append((k, " ".join([prose(1000 + k, chance.choice([0, 1, 63, 64, 130])), *words, prose(2000 + k, chance.choice([0, 3, 70]))])))
+    docs += [(500, "so: what is the capital of france, then"), (501, prose(701, 1)), (502, prose(702, 2) + " more"), (503, prose(3000, 250_000) + " " + prose(7, 400)), *ODD]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.word_start, r.word_end, r.matched) for r in decontaminate.contaminated(frame(spark, docs), benchmark).collect()]
+    few = [d for d in docs if d[0] != 503]
+    wanted = overlaps_by_brute_force(few, items) | {(503, 101, 250_000, 250_400, 400)}
+    assert set(got) == wanted and len(got) == len(wanted) > 200
+
+
+def test_decontamination_of_the_documents_equals_brute_force(spark):
+    docs = [(d["doc_id"], d["text"]) for d in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()]
+    items = [(d["item_id"], d["text"]) for d in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()]
+    found = decontaminate.contaminated(*(spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark")))
+    assert {(r.doc_id, r.item_id, r.word_start, r.word_end, r.matched) for r in found.collect()} == overlaps_by_brute_force(docs, items)
+
+
 def test_url_rules(spark):
     rules = [url_filter.site_rule("allow", "com/"), url_filter.site_rule("block", "example.com/en/"), url_filter.site_rule("block", "a.b/x")]
     rules.append(url_filter.word_rule("block", "casino", r"^[^#]*casino-[^#]*#", ("casino",)))
