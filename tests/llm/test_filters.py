@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import argparse
+import asyncio
+import email.message
 import hashlib
+import http.client
 import itertools
 import random
 import re
+import socket
+import ssl
+import unittest
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+import pyspark.sql.functions
 import pytest
 
 import corpus_pipeline
@@ -203,6 +211,45 @@ def test_random_keys_are_told_from_identifiers(spark):
     assert secrets.secret_report(frame(spark, ODD)).where("spans = ''").count() == len(ODD)
 
 
+def test_keys_of_all_alphabets_are_found_and_names_are_not(spark):
+    chance = random.Random(12)
+    letters = secrets.ALPHABET
+    sets = [letters[:62], letters[:64], letters[:26] + "234567", letters[26:62], letters[:26] + letters[52:62]]
+    keys = [(a, n, "".join(chance.choices(letters_of, k=n))) for a, letters_of in enumerate(sets) for n in (20, 24, 32, 40) for _ in range(100)]
+    names = {name for module in (argparse, asyncio, email.message, http.client, pyspark.sql.functions, socket, ssl, unittest) for name in dir(module)}
+    names |= {name for module in (unittest.TestCase, http.client.HTTPConnection, argparse.ArgumentParser) for name in dir(module)}
+    names = {n for n in names if len(n) >= 20} | {f"usr/local/{'/'.join(prose(k, 3).split())}" for k in range(100)} | {f"backup-20{k}-0{k % 9 + 1}-1{k % 9}-daily" for k in range(10, 99)}
+    rows = [(k, f"see {value} here", None, str(key[:2])) for k, (*key, value) in enumerate(keys)] + [(10_000 + k, f"see {n} here", None, "name") for k, n in enumerate(sorted(names))]
+    ratios, least = secrets.fit(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    found = secrets.scan_secrets(frame(spark, rows), ratios, least=least).select("source", secrets.F.size("spans").alias("n")).toPandas()
+    share = (found.n > 0).groupby(found.source).mean()
+    assert share["name"] <= 0.01 and share.drop("name").min() >= 0.9 and len(names) > 200
+
+
+def test_personal_data_in_other_forms_is_found_and_ordinary_numbers_are_not(spark):
+    chance = random.Random(13)
+    d = lambda n: "".join(chance.choices("0123456789", k=n))
+    ordinary = [
+        lambda: f"{chance.randint(1900, 2030)}-{chance.randint(1, 12):02}-{chance.randint(1, 28):02}",
+        lambda: f"{chance.randint(1, 28)}.{chance.randint(1, 12)}.{chance.randint(1900, 2030)}",
+        lambda: f"{d(4)}-{d(4)}-{d(3)}",
+        lambda: f"978-3-{d(2)}-{d(6)}-{d(1)}",
+        lambda: f"{d(2)}.{d(3)}.{d(3)}",
+        lambda: f"10.2.{d(2)}.{d(4)}",
+        lambda: f"{chance.randint(1800, 1950)}-{chance.randint(1951, 2020)}",
+        lambda: f"{d(3)}-{d(3)} {d(3)}-{d(3)}",
+        lambda: f"4111 1111 1111 111{chance.choice('023456789')}",
+        lambda: d(9),
+    ]
+    personal = [lambda: f"bob{d(2)} (at) example.org", lambda: f"ann.{d(1)}[at]mail.example.com", lambda: f"({d(3)}) {d(3)}-{d(4)}"]
+    forms = [(0, make()) for make in ordinary for _ in range(100)] + [(1 + k, make()) for k, make in enumerate(personal) for _ in range(50)]
+    rows = [(kind, f"{prose(k, 4)} {chance.choice(['dated', 'see the', 'was'])} {form}{chance.choice([' and', ',', '.', ''])}") for k, (kind, form) in enumerate(forms)]
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    found = pii.find_personal_data(frame(spark, rows), model).select("doc_id", pii.F.size("spans").alias("n")).toPandas()
+    share = (found.n > 0).groupby(found.doc_id).mean()
+    assert share[0] <= 0.01 and share.drop(0).min() >= 0.9
+
+
 def known_personal_data(text):
     text = text or ""
 
