@@ -1,82 +1,36 @@
-"""Substring dedup by hashing of lines, paragraphs, sentences and windows of words (``repeated_spans``).
+"""Substring dedup by hashing of lines and paragraphs; long passages inside them by windows of words.
 
-A unit of ``repeated_units`` is a line, cut at the ends of its sentences; a unit of very many words is cut again at words chosen by
-their hash, so that a passage inside another text falls into the same units.  Digests of the normalised units
-are grouped over all documents; the earliest occurrence stays.
+Digests of the normalised units are grouped over all documents; the earliest occurrence stays, the others are
+removed as runs of the original text (``repeated_spans``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import likely, packed, short_id, text_blocks, written
+from rollbook.llm.shared import likely, packed, text_blocks, text_key, written
 from rollbook.llm.tokens import LOWER, mix, word_bounds, xxh64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-#: Units of more words are cut after words whose hash is a multiple of this.
-_LONG, _CUT = 32, 16
+#: Told apart by this: a line is compared with lines and paragraphs, a window with windows.
+_WHOLE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def units(docs: DataFrame, least_words: int) -> DataFrame:
-    """``doc_id, text_id, start, end, n_words, high, low`` of every unit of enough words.
+def units(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, text_id, word, start, end, n_words, whole, high, low`` of every unit.
 
-    ``start`` and ``end`` are code points of the original text, from the first to the last word.  The digest of 128
-    bits is over the words, A-Z lower-cased, whatever the white space between them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in text_blocks(batch):
-                data = LOWER[data]
-                starts, ends, first = word_bounds(data, offsets)
-                if not len(starts):
-                    continue
-                hashes = xxh64(data, starts, ends)
-                lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
-                new = np.zeros(len(starts), bool)
-                new[first[:-1][np.diff(first) > 0]] = True
-                new[1:] |= lines[starts[1:]] != lines[starts[:-1]]
-                new[1:] |= np.isin(data[ends[:-1] - 1], (0x2E, 0x21, 0x3F))
-                begin = np.flatnonzero(new)
-                long = np.repeat(np.diff(np.append(begin, len(starts))) > _LONG, np.diff(np.append(begin, len(starts))))
-                new[1:] |= long[1:] & long[:-1] & (mix(hashes[:-1]) % np.uint64(_CUT) == 0)
-                begin = np.flatnonzero(new)
-                size = np.diff(np.append(begin, len(starts)))
-                unit = np.repeat(np.arange(len(begin)), size)
-                place = (np.arange(len(starts)) - begin[unit]).astype(np.uint64)
-                one = np.add.reduceat(mix(hashes + place * _FACTOR), begin)
-                two = np.add.reduceat(mix(hashes ^ mix(place + np.uint64(1))), begin)
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                row = np.searchsorted(first, begin, "right") - 1
-                keep = size >= least_words
-                at, until = points[starts[begin]], points[ends[begin + size - 1]]
-                base = points[offsets[row]]
-                columns = [at - base, until - base, size]
-                ids = pa.array(row[keep])
-                yield pa.record_batch(
-                    [rows.column(0).take(ids), rows.column(1).take(ids), *[pa.array(c[keep].astype(np.int32)) for c in columns], pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))],
-                    names=["doc_id", "text_id", "start", "end", "n_words", "high", "low"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", short_id().alias("text_id"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_id long, start int, end int, n_words int, high long, low long"
-    )
-
-
-def spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """``doc_id, text_id, start, end, n_words, high, low`` of every unit, as in ``units``, but uncut and of any length.
-
-    Units are all lines and paragraphs, sentences of ``least_words`` or more words, and windows of ``least_words`` words
-    anywhere in a text: of any ``least_words`` windows in a row the one of least hash (all of equal ones).  So equal
-    passages of ``2 * least_words - 1`` words choose equal windows, which meet or overlap and leave out fewer than
-    ``least_words`` words at either end, whatever stands around them.
+    Units are all lines and paragraphs (``whole``), of any length, and windows of ``width`` words anywhere in a text: of
+    any ``width`` windows in a row the one of least hash (all of equal ones).  So equal passages of ``2 * width - 1``
+    words choose equal windows, which meet or overlap and leave out fewer than ``width`` words at either end, whatever
+    stands around them.  ``word`` counts the words before; ``start`` and ``end`` are code points of the original text, from
+    the first to the last word.  The digest of 128 bits is over the words, A-Z lower-cased, whatever the white space
+    between them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,29 +48,25 @@ def spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
                 line, paragraph = text.copy(), text.copy()
                 line[1:] |= passed > 0
                 paragraph[1:] |= passed > 1
-                sentence = line.copy()
-                sentence[1:] |= np.isin(data[ends[:-1] - 1], (0x2E, 0x21, 0x3F))
-                found = [_cut(hashes, np.flatnonzero(new)) for new in (line, paragraph, sentence)]
-                enough = found[2][1] >= least_words
-                found[2] = tuple(c[enough] for c in found[2])
-                found.append(_windows(hashes, first, least_words))
-                begin, size, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
-                # The same words are one unit, of whatever kind.
+                begin, size, one, two = (np.concatenate(c) for c in zip(*[_cut(hashes, np.flatnonzero(new)) for new in (line, paragraph)], strict=True))
+                # A line that is a whole paragraph is one unit.
                 _, only = np.unique(begin * np.int64(len(starts) + 1) + size, return_index=True)
-                begin, size, one, two = begin[only], size[only], one[only], two[only]
+                lined = begin[only], size[only], mix(one[only] ^ _WHOLE), two[only]
+                begin, size, one, two = (np.concatenate(c) for c in zip(lined, _windows(hashes, first, width), strict=True))
+                whole = np.arange(len(begin)) < len(only)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 row = np.searchsorted(first, begin, "right") - 1
                 base = points[offsets[row]]
-                columns = [points[starts[begin]] - base, points[ends[begin + size - 1]] - base, size]
+                columns = [begin - first[row], points[starts[begin]] - base, points[ends[begin + size - 1]] - base, size]
                 ids = pa.array(row)
                 yield pa.record_batch(
-                    [rows.column(0).take(ids), rows.column(1).take(ids), *[pa.array(c.astype(np.int32)) for c in columns], pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    names=["doc_id", "text_id", "start", "end", "n_words", "high", "low"],
+                    [rows.column(0).take(ids), rows.column(1).take(ids), *[pa.array(c.astype(np.int32)) for c in columns], pa.array(whole), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    names=["doc_id", "text_id", "word", "start", "end", "n_words", "whole", "high", "low"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", short_id().alias("text_id"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_id long, start int, end int, n_words int, high long, low long"
+    return docs.select("doc_id", text_key().alias("text_id"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_id binary, word int, start int, end int, n_words int, whole boolean, high long, low long"
     )
 
 
@@ -147,50 +97,65 @@ def _windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return at, np.full(len(at), width), one[at], two
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """One row for each unit of ``spans`` to remove, as in ``repeated_units``; units overlap, their union goes.
+def repeated_spans(docs: DataFrame, width: int = 8, long_words: int = 50) -> DataFrame:
+    """One row for each run to remove: ``doc_id, text_id, start, end, n_words, first_doc_id, first_start``.
 
-    Lines and paragraphs repeat at any length.  A unit that overlaps its own first occurrence stays.
-    """
-    found = spans(docs, least_words)
-    keys = written(found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high"))
-    again = written(likely(found, "high", keys).where("likely").drop("likely"))
-    return _later(again).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_id") == F.col("first_text_id")) & (F.col("start") < F.col("first_end")))
-    ).drop("first_text_id", "first_end")
+    Of equal lines and paragraphs the one in the smallest ``doc_id`` (null ids last), and in it the first, stays; the
+    others go, at any length.  Elsewhere words go where later occurrences of windows cover a run of at least
+    ``long_words - 2 * (width - 1)`` words, which every repeated passage of ``long_words`` words does; it loses at most
+    ``width - 1`` words at either end.  A window that overlaps its own first occurrence stays.  Runs that meet are
+    one row; ``first_doc_id`` and ``first_start`` are the kept occurrence of its first unit.
 
-
-def repeated_units(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """One row for each unit to remove: ``doc_id, start, end, n_words, digest, first_doc_id, first_start``.
-
-    Of equal units of ``least_words`` or more words, the one in the smallest ``doc_id`` (null ids last), and in it
-    the first, stays.  Rows that are equal in id and text are one document.  Null, empty and blank texts have no
-    units; documents without a repeated unit are not listed.
+    Rows that are equal in id and text are one document.  Null, empty and blank texts have no units, and documents
+    without a repeated unit are not listed; an empty table gives no rows.  Whole texts of any length are read, each in one
+    task.  Other columns of ``docs`` are not read.  The units are made twice, which takes less disk than storing all.
     """
-    return _later(written(units(docs, least_words))).drop("first_text_id", "first_end")
+    found = units(docs, width)
+    keys = written(found.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high"))
+    again = written(likely(found, "high", keys).where("likely").drop("likely"))
+    removed = _runs(_later(again)).withColumn("long", F.col("to") - F.col("from") >= long_words - 2 * (width - 1))
+    joined = _runs(removed.where("whole or long").drop("isle", "from", "to"))
+    first = F.min(F.struct("word", -F.col("n_words"), "first_doc_id", "first_start")).alias("first")
+    runs = joined.groupBy("doc_id", "text_id", "isle").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("from")).alias("n_words"), first
+    )
+    return runs.select("doc_id", "text_id", "start", "end", "n_words", "first.first_doc_id", "first.first_start")
 
 
 def _later(found: DataFrame) -> DataFrame:
-    """All but the first of equal units."""
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("start").alias("s"), F.col("end").alias("e"))
+    """All but the first of equal units, each once."""
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("word").alias("w"), F.col("start").alias("s"))
     first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = found.join(written(first), ["high", "low"]).where(~(rank == F.col("first")))
-    digest = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
+    same = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("text_id") == F.col("first.t"))
+    both = both.where(~(same & (F.col("word") < F.col("first.w") + F.col("n_words"))))
     return both.select(
-        "doc_id", "start", "end", "n_words", digest.alias("digest"), F.col("first.d").alias("first_doc_id"), F.col("first.s").alias("first_start"), "text_id",
-        F.col("first.t").alias("first_text_id"), F.col("first.e").alias("first_end"),
-    )
+        "doc_id", "text_id", "word", "start", "end", "n_words", "whole", F.col("first.d").alias("first_doc_id"), F.col("first.s").alias("first_start")
+    ).distinct()
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """``hits`` with the run of words without a gap that each stands in: ``isle``, its first word ``from`` and its end ``to``."""
+    text = Window.partitionBy("doc_id", "text_id")
+    order = text.orderBy("word", "n_words", "whole")
+    until: Column = F.col("word") + F.col("n_words")
+    reached = F.max(until).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.withColumn("gap", F.when(F.col("word") <= reached, 0).otherwise(1))
+    isles = marked.withColumn("isle", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    isle = Window.partitionBy("doc_id", "text_id", "isle")
+    return isles.withColumn("from", F.min("word").over(isle)).withColumn("to", F.max(until).over(isle))
 
 
-def without_repeats(docs: DataFrame, least_words: int = 8, repeated: Callable[[DataFrame, int], DataFrame] = repeated_units) -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text``, and ``removed``: their original ``start`` and ``end``.
+def without_repeats(docs: DataFrame, width: int = 8, long_words: int = 50) -> DataFrame:
+    """``docs`` with the runs of ``repeated_spans`` cut out of ``text``, and ``removed``: their original ``start`` and ``end``.
 
-    ``repeated`` finds the units: ``repeated_units``, or ``repeated_spans``.
+    Every row stays, also of null and empty texts; ``removed`` is null where nothing went and replaces a column of that
+    name.
     """
-    found = repeated(docs, least_words).groupBy("doc_id", "text_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")
+    found = repeated_spans(docs, width, long_words).groupBy("doc_id", "text_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")
     )
-    rows = packed(docs, F.col("doc_id").alias("d"), short_id().alias("t"), "text")
+    rows = packed(docs, F.col("doc_id").alias("d"), text_key().alias("t"), "text")
     both = rows.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_id")), "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -204,22 +205,85 @@ def test_near_copies_of_every_kind_of_edit_are_found(spark):
 
 def test_lines(spark):
     line = "One line of words that is the same in many places."
-    rows = [*ODD, (8, f"Start.\n{line}\nEnd."), (9, f"  {line.upper()}  \nMore of it. é {line}"), (None, line), (7, f"é {line}"), (12, "a b.\na b.\n")]
+    rows = [*ODD, (8, f"Start.\n{line}\nEnd."), (9, f"  {line.upper()}  \nMore of it. é {line}"), (None, line), (7, f"é {line}"), (12, "a b.\na b.\n"), (12, "a b.\na b.\n")]
     docs = frame(spark, rows)
-    got = {(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in line_dedup.repeated_units(docs).collect()}
-    # In text 7 the line begins with another word, so its unit is another one, also in the last line of text 9.
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.first_start) for r in line_dedup.repeated_spans(docs).collect()}
+    # In texts 7 and 9 the words also stand inside other lines, where a run of so few words stays.
     unit = len(line)
-    assert got == {(9, 2, 2 + unit, 8, 7), (None, 0, unit, 8, 7), (9, 2 + unit + 3 + 12, 2 + unit + 3 + 12 + 2 + unit, 7, 0)}
-    left = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect() if r.doc_id}
-    assert left[9].split() == "More of it.".split() and left[8] == f"Start.\n{line}\nEnd." and left[1] is None
-    assert line_dedup.repeated_units(docs.limit(0)).count() == 0
+    assert got == {(9, 2, 2 + unit, 11, 8, 7), (None, 0, unit, 11, 8, 7), (12, 5, 9, 2, 12, 0)}
+    left = [(r.doc_id, r.text) for r in line_dedup.without_repeats(docs).collect()]
+    assert dict(left)[9].split() == f"More of it. é {line}".split() and dict(left)[8] == f"Start.\n{line}\nEnd." and dict(left)[1] is None
+    assert left.count((12, "a b.\n\n")) == 2 and len(left) == len(rows)
+    assert line_dedup.repeated_spans(docs.limit(0)).count() == 0 and line_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
-def test_passages_inside_other_texts_repeat(spark):
+def test_long_passages_inside_other_texts_are_one_run(spark):
     passage = ". ".join(prose(k, 12) for k in range(6))
     rows = [(k, f"{prose(300 + k, 9)} {passage} {prose(400 + k, 9)}") for k in range(3)]
-    got = line_dedup.repeated_units(frame(spark, rows)).groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in got} == {1: 4, 2: 4}
+    got = line_dedup.repeated_spans(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(72 - 14 <= r.n_words <= 72 and r.first_doc_id == 0 for r in got)
+
+
+def test_short_passages_inside_other_texts_stay(spark):
+    rows = [(k, f"{prose(500 + k, 40)} {prose(1, 35)} {prose(600 + k, 40)}") for k in range(4)]
+    assert line_dedup.repeated_spans(frame(spark, rows)).count() == 0
+    got = line_dedup.repeated_spans(frame(spark, rows), long_words=35).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3] and all(21 <= r.n_words <= 35 for r in got)
+
+
+def removed_words(texts, width=8, long_words=50):
+    """Words of (id, text) that must go, and words that may go, by comparing every line, paragraph and window."""
+    first, words = {}, {}
+    for doc, text in sorted(texts):
+        found, at, line = [], 0, 0
+        for m in re.finditer(r"[^ \t-\r]+", text):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            found.append((re.sub("[A-Z]", lambda c: c[0].lower(), m[0]), line))
+        words[doc] = found
+    must, may = {doc: set() for doc in words}, {doc: set() for doc in words}
+
+    def later(key, doc, at):
+        seen = first.setdefault(key, (doc, at))
+        return seen != (doc, at) and not (seen[0] == doc and at < seen[1] + len(key[1]))
+
+    for doc, found in words.items():
+        hits, plain = set(), [w for w, _ in found]
+        for gap in (1, 2):
+            cuts = [0, *[k for k in range(1, len(found)) if found[k][1] - found[k - 1][1] >= gap], len(found)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and later(("line", tuple(plain[a:b])), doc, a):
+                    must[doc] |= set(range(a, b))
+        for a in range(len(plain) - width + 1):
+            if later(("window", tuple(plain[a : a + width])), doc, a):
+                hits |= set(range(a, a + width))
+        for a in range(len(plain) - long_words + 1):
+            if later(("long", tuple(plain[a : a + long_words])), doc, a) and first["long", tuple(plain[a : a + long_words])][0] != doc:
+                must[doc] |= set(range(a + width - 1, a + long_words - width + 1))
+        hits |= must[doc]
+        run = []
+        for k in range(len(plain) + 1):
+            if k in hits:
+                run.append(k)
+            elif run:
+                may[doc] |= set(run) if len(run) >= long_words - 2 * (width - 1) else set(run) & must[doc]
+                run = []
+    return must, may
+
+
+def test_removed_runs_lie_between_bounds_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    texts += [(10**6 + k, f"{prose(k, 30)} {texts[k][1]} {prose(900 + k, 20)}") for k in range(0, 60, 3)]
+    texts += [(2 * 10**6, "\n".join(prose(k % 1500, 90) for k in range(1600)))]
+    assert len(texts[-1][1]) > 1 << 20
+    must, may = removed_words(texts)
+    got = line_dedup.repeated_spans(frame(spark, texts)).collect()
+    assert any(must.values()) and len({(r.doc_id, r.start) for r in got}) == len(got)
+    for doc, text in texts:
+        mine = covered(got, doc)
+        gone = {k for k, m in enumerate(re.finditer(r"[^ \t-\r]+", text)) if m.start() in mine}
+        assert must[doc] <= gone <= may[doc], doc
 
 
 def covered(rows, doc):
@@ -232,7 +296,7 @@ def test_short_lines_repeat_whole(spark):
     docs = frame(spark, list(enumerate(texts)))
     got = line_dedup.repeated_spans(docs).collect()
     assert [covered(got, k) for k in range(4)] == [set(), set(range(21)), set(range(len(two))) | set(range(len(two) + 13, len(texts[2]))), set(range(5, 9))]
-    left = {r.doc_id: r.text.split() for r in line_dedup.without_repeats(docs, 8, line_dedup.repeated_spans).collect()}
+    left = {r.doc_id: r.text.split() for r in line_dedup.without_repeats(docs).collect()}
     assert left == {0: texts[0].split(), 1: two.split(), 2: "A new one.".split(), 3: "a b.".split()}
 
 
@@ -259,7 +323,7 @@ def test_unpunctuated_passages_repeat_in_unlike_texts(spark):
 
 
 def test_words_that_repeat_themselves_keep_their_first_occurrence(spark):
-    got = line_dedup.repeated_spans(frame(spark, [(1, "word " * 40)])).collect()
+    got = line_dedup.repeated_spans(frame(spark, [(1, "word " * 40)]), long_words=40).collect()
     assert got and min(r.start for r in got) == 40
 
 
