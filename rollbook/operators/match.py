@@ -148,6 +148,52 @@ def resolve_tokens(
     )
 
 
+def _rule_keys(folded: Column, longest: Column) -> Column:
+    """What a text is found by: its words, its beginnings as long as a literal can be, its pieces of one to three letters."""
+
+    def pieces(letters: Column) -> Column:
+        return F.concat(*[F.transform(letters, lambda _, i: F.array_join(F.slice(letters, i + 1, size), "")) for size in (1, 2, 3)])
+
+    def tagged(how: str, keys: Column) -> Column:
+        return F.transform(F.array_distinct(keys), lambda key: F.struct(F.lit(how).alias("how"), key.alias("key")))
+
+    beginnings = F.transform(F.sequence(F.lit(0), F.least(F.length(folded), longest)), lambda n: F.substring(folded, F.lit(1), n))
+    words = F.split(folded, r"[^\p{L}\p{N}_]+")
+    # Items of an array are made once, not for each key.
+    inner = F.flatten(F.transform(F.array(F.split(folded, "")), pieces))
+    return F.concat(tagged("word", words), tagged("prefix", beginnings), tagged("piece", inner))
+
+
+def resolve_by_rules(tokens: DataFrame, token: str, countries: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """``resolve_tokens`` with the aliases as a table: ``priority, how, literal, pattern, country``.
+
+    A rule fits a text (lower-case, without accents) that its ``pattern`` matches and that has its ``literal`` as a
+    whole word, as its beginning or anywhere (``how``: word, prefix, piece).  Texts fetch rules by equality of these,
+    so only fetched rules run their pattern and the table may be large; pieces are fetched by their first three letters.
+    The fitting rule of least priority counts whose ``country`` begins the name of a country, then the names as in
+    ``resolve_tokens``.  Rules with a null or an empty literal fit nothing.
+    """
+    rules = rules.filter((F.col("literal") != "") & F.col("priority").isNotNull()).select(
+        "priority", F.col("how").alias("_how"), "literal", "pattern", F.lower("country").alias("_target"),
+        F.when(F.col("how") == "piece", F.substring("literal", 1, 3)).otherwise(F.col("literal")).alias("_key"),
+    )
+    value = F.coalesce(F.col(token), F.lit(""))
+    distinct = tokens.select(token).distinct().filter(value != "").withColumn("_folded", strip(canon(value)))
+    # No beginning longer than the longest literal is worth a probe.
+    distinct = distinct.withColumn("_longest", rules.agg(F.coalesce(F.max(F.length("literal")), F.lit(0))).scalar())
+    keys = F.flatten(F.transform(F.array("_folded"), lambda folded: _rule_keys(folded, F.col("_longest"))))
+    distinct = distinct.withColumn("_keys", F.when(~F.col("_folded").isin(*SKIPPED), keys))
+    fetched = distinct.select(token, "_folded", F.inline("_keys")).join(rules, (F.col("how") == F.col("_how")) & (F.col("key") == F.col("_key")))
+    fits = fetched.filter(F.contains("_folded", "literal") & F.regexp("_folded", F.concat(F.lit("(?U)"), F.col("pattern"))))
+    lookup = country_pieces(countries, ["prefix"]).drop("how")
+    ruled = fits.select(token, "priority", F.col("_target").alias("key")).join(lookup, "key")
+    ruled = ruled.select(token, F.struct(F.lit(0).alias("stage"), F.col("priority").cast("long").alias("priority")).alias("place"), "found.cid", "found.country")
+    named = resolve_tokens(tokens, token, countries, (), strict)
+    named = named.select(token, F.struct(F.lit(1).alias("stage"), F.lit(0).cast("long").alias("priority")).alias("place"), "cid", "country")
+    best = F.min_by(F.struct("cid", "country"), F.struct("place", "cid")).alias("found")
+    return ruled.unionByName(named).groupBy(token).agg(best).select(token, "found.cid", "found.country")
+
+
 def with_resolved_country(
     df: DataFrame, token: str, countries: DataFrame, into: str, aliases: Sequence[tuple[str, str]] = ALIASES
 ) -> DataFrame:

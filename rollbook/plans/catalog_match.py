@@ -83,6 +83,34 @@ def country_flexible(t: Tables) -> DataFrame:
     return match.resolve_tokens(mentions(t), "raw", lands(t)).select("raw", "cid")
 
 
+#: Rules that other tables give: one for each nation, found by word, beginning or piece, and one for each supplier.
+_RULES = """select n_nationkey as priority, case n_nationkey % 3 when 0 then 'word' when 1 then 'prefix' else 'piece' end as how,
+    case n_nationkey % 3 when 2 then substr(lower(n_name), 3) else lower(n_name) end as literal,
+    concat(case n_nationkey % 3 when 2 then '' else '^' end, case n_nationkey % 3 when 2 then substr(lower(n_name), 3) else lower(n_name) end,
+        case n_nationkey % 3 when 1 then '' else '$' end) as pattern,
+    (n_nationkey + 7) % 25 as target from nation
+    union all select s_suppkey + 100, 'word', lpad(cast(s_suppkey as {text}), 9, '0'), concat('^customer#', lpad(cast(s_suppkey as {text}), 9, '0'), '$'),
+    s_nationkey from supplier"""
+
+
+@query(
+    "country_by_rules",
+    "v_lands v_mentions",
+    f"""select raw, arg_min(cid, (stage, p, ord)) cid from (
+    select raw, 0 stage, priority p, l.cid, l.ord from (select raw, trim(lower(strip_accents(raw))) s from v_mentions) m
+    join ({_RULES.format(text='varchar')}) r on regexp_matches(s, pattern) join v_lands t on t.ord = r.target
+    join v_lands l on starts_with(lower(l.country), lower(t.country)) where s not in ({_SKIP})
+    union all select raw, 1, 0, cid, ord from v_mentions join v_lands on trim(raw) <> '' and starts_with(lower(country), lower(trim(raw)))
+      where trim(lower(strip_accents(raw))) not in ({_SKIP})
+    ) group by 1""",
+)
+def country_by_rules(t: Tables) -> DataFrame:
+    for name in ("nation", "supplier"):
+        t.raw(name).createOrReplaceTempView(name)
+    rules = t.spark.sql(_RULES.format(text="string")).join(lands(t).select("ord", "country"), F.col("target") == F.col("ord")).drop("ord", "target")
+    return match.resolve_by_rules(mentions(t), "raw", lands(t), rules, strict=True).select("raw", "cid")
+
+
 _BIRTH = (
     "'Kosovo, World'", "'Hrvatska'", "'Atlantis'", "''", None, "'NATION_12, world'", "'Republika Srbija'",
 )

@@ -205,3 +205,21 @@ def test_resolve_country(spark):
     assert found == {
         "Makedonija": "C181", "Kos": "C117", "North Macedonia": "C181", "Turkiye": "C200", "macedonia": "C181",
     }
+
+
+def test_an_added_rule_changes_the_result(spark):
+    countries = spark.createDataFrame([("C1", "Croatia", 1), ("C2", "Kosovo", 2), ("C3", "Türkiye", 3)], "cid string, country string, ord long")
+    texts = ["Hrvatska", "R. Hrvatska", "crohrv", "Kos", "anatolia", "New Anatolia", "n/a", "", None, "x" * 20000]
+    tokens = spark.createDataFrame([(x,) for x in texts], "t string")
+    schema = "priority int, how string, literal string, pattern string, country string"
+    rules = [(1, "word", "hrvatska", r"\bhrvatska\b", "Croatia"), (2, "prefix", "kos", "^kos", "Kosovo"), (0, "word", None, "k", "Croatia"), (None, "piece", "kos", "k", "Croatia")]
+
+    def found(rules):
+        rows = match.resolve_by_rules(tokens, "t", countries, spark.createDataFrame(rules, schema)).collect()
+        return {r.t: r.cid for r in rows}
+
+    before = {"Hrvatska": "C1", "R. Hrvatska": "C1", "Kos": "C2"}
+    assert found(rules) == before
+    assert found([*rules, (3, "piece", "anatol", "anatol(ia)?$|anatolia", "Türk")]) == {**before, "anatolia": "C3", "New Anatolia": "C3"}
+    assert found([*rules, (0, "piece", "hrv", "hrv", "Kos")]) == {**before, "Hrvatska": "C2", "R. Hrvatska": "C2", "crohrv": "C2"}
+    assert found([]) == {"Kos": "C2"}
