@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rollbook.operators import validate
 from rollbook.plans import bulk_load, sample_workbooks, upload, workbook_import
 from rollbook.schemas import COUNTRIES, EVENTS, PARTICIPANT_EVENTS, PARTICIPANTS
-from rollbook.sources import ledger, preview, stored, workbooks
+from rollbook.sources import ledger, preview, stored, workbooks, xlsx
 from rollbook.streaming import file_arrival
 
 ONLINE = ["Name", "Middle name", "Last name", "Gender", "Date of Birth (DOB)", "Transportation", "Traveling from"]
@@ -91,6 +92,21 @@ def cut_short(book: bytes, part: str) -> bytes:
     return out.getvalue()
 
 
+def test_every_part_of_a_workbook_is_read_once(monkeypatch):
+    read = Counter()
+    opened = zipfile.ZipFile.open
+
+    def counted(book, name, *args, **kwargs):
+        read[getattr(name, "filename", name)] += 1
+        return opened(book, name, *args, **kwargs)
+
+    data = make_workbook()
+    monkeypatch.setattr(zipfile.ZipFile, "open", counted)
+    kinds = Counter(row["kind"] for row in xlsx.content(data))
+    assert kinds["sheet"] == 4 and kinds["row"] > 0 and kinds["cell"] == 3
+    assert read["xl/workbook.xml"] == 1 and set(read.values()) == {1}
+
+
 def test_refused_workbooks_are_not_imported(spark, countries):
     good = make_workbook()
     with zipfile.ZipFile(io.BytesIO(good)) as book:
