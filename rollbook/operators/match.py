@@ -151,16 +151,13 @@ def resolve_tokens(
 def _rule_keys(folded: Column, longest: Column) -> Column:
     """What a text is found by: its words, its beginnings as long as a literal can be, its pieces of one to three letters."""
 
-    def pieces(letters: Column) -> Column:
-        return F.concat(*[F.transform(letters, lambda _, i: F.array_join(F.slice(letters, i + 1, size), "")) for size in (1, 2, 3)])
-
     def tagged(how: str, keys: Column) -> Column:
         return F.transform(F.array_distinct(keys), lambda key: F.struct(F.lit(how).alias("how"), key.alias("key")))
 
     beginnings = F.transform(F.sequence(F.lit(0), F.least(F.length(folded), longest)), lambda n: F.substring(folded, F.lit(1), n))
     words = F.split(folded, r"[^\p{L}\p{N}_]+")
-    # Items of an array are made once, not for each key.
-    inner = F.flatten(F.transform(F.array(F.split(folded, "")), pieces))
+    # Pieces overlap: each is looked at from where it begins.
+    inner = F.concat(*[F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in (1, 2, 3)])
     return F.concat(tagged("word", words), tagged("prefix", beginnings), tagged("piece", inner))
 
 
@@ -182,8 +179,9 @@ def resolve_by_rules(tokens: DataFrame, token: str, countries: DataFrame, rules:
     # No beginning longer than the longest literal is worth a probe.
     distinct = distinct.withColumn("_longest", rules.agg(F.coalesce(F.max(F.length("literal")), F.lit(0))).scalar())
     keys = F.flatten(F.transform(F.array("_folded"), lambda folded: _rule_keys(folded, F.col("_longest"))))
-    distinct = distinct.withColumn("_keys", F.when(~F.col("_folded").isin(*SKIPPED), keys))
-    fetched = distinct.select(token, "_folded", F.inline("_keys")).join(rules, (F.col("how") == F.col("_how")) & (F.col("key") == F.col("_key")))
+    # The keys are no column of their own: a filter on one would move below the distinct and make them for every mention.
+    wanted = F.when(~F.col("_folded").isin(*SKIPPED), keys)
+    fetched = distinct.select(token, "_folded", F.inline(wanted)).join(rules, (F.col("how") == F.col("_how")) & (F.col("key") == F.col("_key")))
     fits = fetched.filter(F.contains("_folded", "literal") & F.regexp("_folded", F.concat(F.lit("(?U)"), F.col("pattern"))))
     lookup = country_pieces(countries, ["prefix"]).drop("how")
     ruled = fits.select(token, "priority", F.col("_target").alias("key")).join(lookup, "key")

@@ -140,13 +140,13 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def new_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events that are not stored yet."""
-    return incoming.join(stored.select("eid"), "eid", "left_anti")
+    """Events that are not stored yet; repeats of a stored eid are put together before the join."""
+    return incoming.join(stored.select("eid").distinct(), "eid", "left_anti")
 
 
 def known_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events that are stored already."""
-    return incoming.join(stored.select("eid"), "eid", "left_semi")
+    """Events that are stored already; repeats of a stored eid are put together before the join."""
+    return incoming.join(stored.select("eid").distinct(), "eid", "left_semi")
 
 
 def should_load(events: DataFrame, participants: DataFrame, countries: DataFrame, source_events: DataFrame) -> DataFrame:

@@ -244,3 +244,24 @@ def test_extract_snapshot_by_presence(spark):
     df = spark.createDataFrame([({"travelling_from": "Split"},), ({"name": "x"},), ({"iban": None},)], "m map<string,string>")
     found = [r["s"] for r in df.select(tables.extract_snapshot("m").alias("s")).collect()]
     assert found[0]["traveling_from"] == "Split" and found[1] is None and found[2] is not None
+
+
+def test_keys_of_rules_are_made_for_different_texts_only(spark):
+    lands = spark.createDataFrame([("C001", "Albania", 1)], "cid string, country string, ord long")
+    rules = spark.createDataFrame([(1, "piece", "bani", "bani", "Albania"), (2, "word", "alb", "^alb", "Albania")], "priority int, how string, literal string, pattern string, country string")
+    names = F.array(*[F.lit(v) for v in ("xbanix", "alb of", "Abani", "x", None)])
+    texts = spark.range(10).select(F.get(names, (F.col("id") % 5).cast("int")).alias("raw"))
+    found = match.resolve_by_rules(texts, "raw", lands, rules, strict=True)
+    assert {r.raw: r.cid for r in found.collect()} == {"xbanix": "C001", "alb of": "C001", "Abani": "C001"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The words are cut in one place of the plan, not in a filter below the distinct as well.
+    assert plan.count(r"[^\p{L}\p{N}_]+") == 1
+
+
+def test_stored_events_are_put_together_before_the_join(spark):
+    incoming = spark.createDataFrame([("E1",), ("E1",), ("E2",), (None,)], "eid string")
+    stored = spark.createDataFrame([("E1",)] * 5 + [(None,)], "eid string")
+    known, fresh = tables.known_events(incoming, stored), tables.new_events(incoming, stored)
+    assert [r.eid for r in known.collect()] == ["E1", "E1"] and {r.eid for r in fresh.collect()} == {"E2", None}
+    for found in (known, fresh):
+        assert "Aggregate [eid" in found._jdf.queryExecution().optimizedPlan().toString()
