@@ -223,8 +223,8 @@ def _ordinary(drawn: Column) -> Column:
     return F.element_at(F.array(*forms), F.pmod(F.xxhash64(drawn), F.lit(len(forms))).cast("int") + 1)
 
 
-def _examples(sample: DataFrame, each: int = 16) -> DataFrame:
-    """``fold, generator, f, label`` of the rewritten and the ordinary forms, put into stretches of the sampled texts.
+def _examples(source: DataFrame, each: int = 16) -> DataFrame:
+    """``fold, generator, f, label`` of the rewritten and the ordinary forms, put into stretches of the texts.
 
     A rewritten form stands where its match stood; ``each`` ordinary ones stand after blanks anywhere in the text, and
     one in the place of every match.  Only forms that a generator proposes as a whole are examples.
@@ -234,11 +234,11 @@ def _examples(sample: DataFrame, each: int = 16) -> DataFrame:
     after = lambda m: F.substring(text, m["end"] + 1, F.lit(12))
     parts = []
     for kind in KINDS:
-        one = sample.select("order", "fold", "text", F.posexplode(kind).alias("k", "m"))
+        one = source.select("order", "fold", "text", F.posexplode(kind).alias("k", "m"))
         around = one.select("order", "fold", "k", before(F.col("m")).alias("before"), F.col("m.value").alias("value"), after(F.col("m")).alias("after"))
         parts.append(around.select("fold", F.lit(1.0).alias("label"), "before", F.explode(_rewritten(kind, F.col("value"))).alias("value"), "after"))
         parts.append(around.select("fold", F.lit(0.0).alias("label"), "before", _drawn("order", "k", F.lit(kind)).alias("value"), "after"))
-    at = sample.select("order", "fold", "text", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("k"))
+    at = source.select("order", "fold", "text", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("k"))
     at = at.withColumn("at", F.pmod(F.xxhash64("order", "k"), F.length("text") + 1).cast("int"))
     begin = F.regexp_replace(F.substring(text, F.greatest(F.col("at") - 39, F.lit(1)), F.least("at", F.lit(40))), r"[^\s]+$", "")
     rest = F.regexp_extract(F.substring(text, F.col("at") + 1, F.lit(40)), r"(?s)[\s,.;].*", 0)
@@ -261,36 +261,37 @@ def _examples(sample: DataFrame, each: int = 16) -> DataFrame:
 _QUAD, _LUHN = 2, 3
 
 
-def fit(docs: DataFrame, rows: int = 2000, trees: int = 20, depth: int = 4, precision: float = 0.995, seed: int = 3) -> Model:
-    """Boosted trees and thresholds from at most ``rows`` documents with a candidate, the first in order of a hash.
+def fit(docs: DataFrame, trees: int = 20, depth: int = 4, precision: float = 0.995, seed: int = 3) -> Model:
+    """Boosted trees and thresholds from all documents with a candidate.
 
     Labelled 1 are candidates that are checked matches of a known form, and such matches rewritten into other forms;
     labelled 0 are candidates that overlap no match and fail their check, and ordinary numbers put into the texts
-    (``_examples``).  Other candidates are left out: nobody knows what they are.  Four fifths of the documents grow the
-    trees; on the rest each generator gets the lowest threshold (0.5 at least, halfway between the chances that
-    occur) at which ``precision`` of the selected candidates are labelled 1, or none if there is no such.
+    (``_examples``).  Other candidates are left out: nobody knows what they are.  Equal examples are counted and enter
+    once with that weight.  Four fifths of the documents grow the trees; on the rest each generator gets the lowest
+    threshold (0.5 at least, halfway between the chances that occur) at which ``precision`` of the selected candidates
+    are labelled 1, or none if there is no such.
     """
     texts = docs.select("text", F.xxhash64(*docs.columns).alias("order")).where("text is not null")
     wanted = F.col("text").contains("@") | F.col("text").rlike(GENERATORS["number"])
-    last = texts.where(wanted).select("order").orderBy("order").limit(rows).agg(F.max("order")).first()[0]
-    some = texts.where(F.col("order") <= F.lit(last).cast("long")).where(wanted).limit(rows)
-    sample = written(base_spans(some.select("text", "order", F.pmod("order", F.lit(5)).alias("fold"))))
+    source = written(base_spans(texts.where(wanted).select("text", "order", F.pmod("order", F.lit(5)).alias("fold"))))
     known = F.concat(*KINDS)
     parts = [F.transform(name, _named(name)) for name in GENERATORS]
-    one = candidates(sample).select("fold", known.alias("known"), F.explode(F.concat(*parts)).alias("m"))
+    one = candidates(source).select("fold", known.alias("known"), F.explode(F.concat(*parts)).alias("m"))
     exact = F.exists("known", lambda s: (s["start"] == F.col("m.start")) & (s["end"] == F.col("m.end")))
     failed = ((F.col("m.generator") == "group") & (F.col("m.f")[_LUHN] == 0)) | ((F.col("m.generator") == "quad") & (F.col("m.f")[_QUAD] == 0))
     label = F.when(exact, 1.0).when(~_overlaps(F.col("m"), F.col("known")) & failed, 0.0)
     one = one.select("fold", "m.generator", F.col("m.f").alias("f"), label.alias("label")).where("label is not null")
-    one = written(one.unionAll(_examples(sample)))
-    seen = {row["label"] for row in one.where("fold <> 0").select("label").distinct().collect()}
+    # The features are few small numbers: equal examples are one row with their count.
+    held = (F.col("fold") == 0).alias("held")
+    one = written(one.unionAll(_examples(source)).groupBy(held, "generator", "f", "label").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    seen = {row["label"] for row in one.where("not held").select("label").distinct().collect()}
     if len(seen) < 2:
         return Model()
-    grown = one.where("fold <> 0").select(array_to_vector("f").alias("features"), "label").coalesce(1)
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(grown)
+    grown = one.where("not held").groupBy("f", "label").agg(F.sum("n").alias("n")).select(array_to_vector("f").alias("features"), "label", "n")
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol="n").fit(grown)
     model = Model([(weight, _read(tree.toDebugString.strip().split("\n")[1:])) for weight, tree in zip(fitted.treeWeights, fitted.trees, strict=True)])
-    kept_back = one.where("fold = 0").select("generator", F.round(model.chance(F.col("f")), 3).alias("chance"), "label")
-    steps = kept_back.groupBy("generator", "chance").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # at most 1001 steps each
+    kept_back = one.where("held").select("generator", F.round(model.chance(F.col("f")), 3).alias("chance"), "label", "n")
+    steps = kept_back.groupBy("generator", "chance").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # at most 1001 steps each
     thresholds = {}
     for name in GENERATORS:
         good = n = 0.0

@@ -298,6 +298,22 @@ def test_trees_add_what_looks_like_the_known_forms(spark):
     assert pii.personal_data_report(docs.limit(0)).count() == 0
 
 
+def test_trees_are_grown_on_all_documents(spark, monkeypatch):
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def counted(source, *_):
+        seen.append(source.count())
+        raise Enough
+
+    monkeypatch.setattr(pii, "_examples", counted)
+    with pytest.raises(Enough):
+        pii.fit(frame(spark, [*((k, f"call +385 1 234 {k:04d} now") for k in range(2500)), *((k, "no number") for k in range(9))]))
+    assert seen == [2500]
+
+
 def test_toxicity(spark):
     chance = random.Random(9)
 
