@@ -318,9 +318,9 @@ class Change:
         return len(entry["changes"]) + sum(p["cells"] is not None for p in entry["parts"])
 
     def commit(self) -> bool:
-        """Make the change the next version; false where another writer took that number.  No change, no version."""
+        """Make the change the next version; false where another writer was faster.  No change, no version."""
         if self.tables == self.base["tables"] and self.batches == self.base["batches"]:
-            return True
+            return max(versions(self.spark, self.root), default=0) == self.base["version"]
         return _put(self.spark, self.root, {"version": self.base["version"] + 1, "tables": self.tables, "batches": self.batches})
 
 
