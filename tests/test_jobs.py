@@ -372,3 +372,20 @@ def test_file_arrival_is_replayable(spark, tmp_path):
     assert {n: sorted(map(str, stored.read_table(spark, root, n).collect())) for n in names} == before
     assert file_arrival.process(files, root, 1, str(tmp_path / "cp0")).count() > len(before["rejects"])
     assert isinstance(stored.read_table(spark, root, "events").first()["start_date"], datetime)
+
+
+def test_kinds_of_content_that_nobody_reads_are_not_handed_on(spark):
+    files = spark.createDataFrame([("a.xlsx", make_workbook()), ("bad.xlsx", b"no zip")], "path string, content binary")
+    whole = workbooks.read_workbooks(files)
+    some = workbooks.staged(files, kinds=("sheet", "cell"))
+    assert {r["kind"] for r in some.collect()} == {"sheet", "cell", "reject"}
+    for kind in ("sheet", "cell", "reject"):
+        assert some.filter(F.col("kind") == kind).collect() == whole.filter(F.col("kind") == kind).collect()
+
+
+def test_written_workbooks_are_sound_archives():
+    book = sample_workbooks.workbook([sample_workbooks.Sheet("A & B")], ("<a>ž</a>",))
+    with zipfile.ZipFile(io.BytesIO(book)) as parts:
+        assert parts.testzip() is None
+        assert parts.namelist() == ["xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/worksheets/sheet1.xml", "customXml/item1.xml"]
+        assert parts.read("customXml/item1.xml").decode() == "<a>ž</a>"
