@@ -9,6 +9,7 @@ Everything runs as DataFrame and SQL functions; the fitted trees become SQL expr
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -135,17 +136,42 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def chance(self, features: Column) -> Column:
-        margin = F.lit(0.0)
-        for weight, tree in self.trees:
-            margin = margin + F.lit(weight) * _tree(tree, features)
+        """Trees are rows of numbers that a few expressions walk, so the plan does not grow with their nodes."""
+        if not self.trees:
+            return F.lit(0.5)
+        depth = max(_depth(tree) for _, tree in self.trees)
+        nodes: list[tuple[int, float]] = []
+        leaves: list[float] = []
+        for _, tree in self.trees:
+            level = [tree]
+            for _ in range(depth):
+                nodes += [(at[0], at[1]) if isinstance(at, tuple) else (0, 0.0) for at in level]
+                level = [below for at in level for below in (at[2:] if isinstance(at, tuple) else (at, at))]
+            leaves += [float(leaf) for leaf in level]
+        # A node's children follow it at twice its place; a leaf above the last level stands at both sides below it.
+        places, bounds, values = _numbers([place for place, _ in nodes], "int"), _numbers([bound for _, bound in nodes], "double"), _numbers(leaves, "double")
+        weights, inner = _numbers([float(weight) for weight, _ in self.trees], "double"), (1 << depth) - 1
+
+        def leaf(tree: Column) -> Column:
+            def below(at: Column, _: Column) -> Column:
+                node = tree * inner + at
+                return at * 2 + F.when(F.get(features, F.get(places, node)) <= F.get(bounds, node), 1).otherwise(2)
+
+            reached = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), below) if depth else F.lit(0)
+            return F.get(values, tree * (inner + 1) + reached - inner)
+
+        each = F.sequence(F.lit(0), F.lit(len(self.trees) - 1))
+        margin = F.aggregate(each, F.lit(0.0), lambda total, tree: total + F.get(weights, tree) * leaf(tree))
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def _tree(tree: object, features: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    place, threshold, left, right = tree
-    return F.when(features[place] <= F.lit(threshold), _tree(left, features)).otherwise(_tree(right, features))
+def _numbers(values: list, kind: str) -> Column:
+    """Numbers as one literal array: doubles travel as text with all their digits."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _depth(tree: object) -> int:
+    return 1 + max(_depth(tree[2]), _depth(tree[3])) if isinstance(tree, tuple) else 0
 
 
 def _read(lines: list[str]) -> object:

@@ -8,6 +8,7 @@ import email.message
 import hashlib
 import http.client
 import itertools
+import math
 import random
 import re
 import socket
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pyspark.sql.functions
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rollbook.llm import decontaminate, mixing, pii, secrets, toxicity, url_filter
@@ -367,3 +369,27 @@ def test_pipeline(spark):
     assert len(kept["simhash_near_dedup"]) <= len(texts)
     final = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id for r in final.collect()} == kept["mix_to_target_weights"]
+
+
+def test_trees_are_walked_as_written_and_do_not_swell_the_plan(spark):
+    chance = random.Random(5)
+
+    def grown(depth):
+        if depth == 0 or chance.random() < 0.2:
+            return chance.uniform(-1, 1)
+        return chance.randrange(6), chance.uniform(0, 10), grown(depth - 1), grown(depth - 1)
+
+    def walked(tree, features):
+        while isinstance(tree, tuple):
+            tree = tree[2] if features[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    model = pii.Model([(chance.uniform(0.05, 1), grown(4)) for _ in range(20)] + [(0.5, 0.25)])
+    rows = [([chance.uniform(0, 10) for _ in range(6)],) for _ in range(50)]
+    for row in spark.createDataFrame(rows, "f array<double>").select("f", model.chance(F.col("f")).alias("chance")).collect():
+        margin = 0.0
+        for weight, tree in model.trees:
+            margin += weight * walked(tree, row.f)
+        assert row.chance == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-15)
+    assert str(model.chance(F.col("f"))).count("when") < 10 and str(model.chance(F.col("f"))).count("CASE") < 10
+    assert pii.Model([(1.0, 0.25)]).chance(F.col("f")) is not None and spark.range(1).select(pii.Model().chance(F.array(F.lit(0.0)))).first()[0] == 0.5
