@@ -36,6 +36,9 @@ SHARD = 2000
 #: Bytes of stretches that are sorted together, when keys are small.
 _TOGETHER = 1 << 21
 
+#: Bytes of text whose places are hashed at once; about 70 bytes of arrays stand for each of them.
+_HASHED = 1 << 18
+
 #: Bits of the filter of texts with repeats; its size does not depend on the corpus.
 _FILTER_BITS = 22
 
@@ -133,7 +136,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, shard: int = SHARD) -> t
         for whole in batches:
             unique, times = _unique_rows(whole)
             done = 0
-            for rows, data, offsets in text_blocks(unique):
+            for rows, data, offsets in text_blocks(unique, limit=_HASHED):
                 core, row, begin, count, place = cells(data, offsets, length)
                 here = times[done : done + rows.num_rows]
                 done += rows.num_rows

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollbook.llm import embedding_dedup, line_dedup, simhash, suffix_dedup
 from rollbook.llm.groups import components
+from rollbook.llm.shared import text_blocks
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau".split()
 
@@ -331,3 +334,14 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (130, 100), (130, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 131), 100)}
+
+
+def test_hashing_the_places_of_a_text_takes_bounded_memory():
+    batch = pa.record_batch([pa.array([prose(k, 300) for k in range(900)])], names=["text"])
+    found, peaks = [], []
+    for limit in (1 << 20, suffix_dedup._HASHED):
+        tracemalloc.start()
+        found.append(np.concatenate([suffix_dedup.cells(data, offsets, 400)[0] for _, data, offsets in text_blocks(batch, limit=limit)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert np.array_equal(*found) and peaks[1] < 30_000_000 < peaks[0]
