@@ -104,7 +104,8 @@ def flat_files(t: Tables) -> str:
     """The three flat sheets as CSV files in order, without row numbers."""
     folder = database(t)
     for name, df in zip(("Participant", "Country", "Events"), sheets(t), strict=True):
-        ordered = df.repartitionByRange(4, "row_no").sortWithinPartitions("row_no").drop("row_no")
+        # The number of files grows with the rows, so that no task sorts more than its share.
+        ordered = df.repartitionByRange("row_no").sortWithinPartitions("row_no").drop("row_no")
         ordered.write.option("header", "true").option("escape", '"').csv(f"{folder}/{name}")
     return folder
 
