@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-from rollbook.functions.text import canon, col, let, norm_ws, strip
+from rollbook.functions.text import WS_CHARS, canon, col, let, norm_ws, strip
 
 VARIANT = "struct<first:string,middle:string,last:string>"
 
@@ -74,11 +77,21 @@ def name_variants(c: Column | str) -> Column:
     return let(F.filter(F.split(ordered, " "), lambda w: w != ""), readings)
 
 
-def normalize_name(c: Column | str, comma: bool = True) -> Column:
-    """``First Middle LAST``; text in capitals and single words stay as they are.
+def _capital_last(s: Column) -> Column:
+    """The last word in capitals, where there is more than one."""
+    last = _last_word(s)
+    shown = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(last)), F.upper(last))
+    return F.when(s.contains(" "), shown).otherwise(s)
 
-    ``comma=False`` is the rule of the bulk loader, which does not reorder ``Last, First``.
-    """
+
+def _unless_plain(c: Column | str, comma: bool, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the stripped name; words with single plain spaces only need their last one in capitals, which is cheap."""
+    odd = f"[{re.escape(WS_CHARS.replace(' ', ''))}{',' if comma else ''}]|  "
+    return let(strip(F.coalesce(col(c), F.lit(""))), lambda s: F.when(s.rlike(odd), body(s)).otherwise(_capital_last(s)))
+
+
+def _normalized(raw: Column, comma: bool) -> Column:
+    """The normalised form of a stripped name."""
 
     def normalized(s: Column) -> Column:
         capitals = (s == F.upper(s)) & (s != F.lower(s))
@@ -86,18 +99,21 @@ def normalize_name(c: Column | str, comma: bool = True) -> Column:
         first = norm_ws(F.substring(s, F.lit(1), F.length(s) - F.length(last)))
         return F.when(capitals | (first == ""), s).otherwise(F.concat_ws(" ", first, F.upper(last)))
 
-    raw = strip(F.coalesce(col(c), F.lit("")))
     return let(let(raw, _first_name_first) if comma else raw, normalized)
 
 
+def normalize_name(c: Column | str, comma: bool = True) -> Column:
+    """``First Middle LAST``; text in capitals and single words stay as they are.
+
+    ``comma=False`` is the rule of the bulk loader, which does not reorder ``Last, First``.
+    """
+    return _unless_plain(c, comma, lambda s: _normalized(s, comma))
+
+
 def display_name(c: Column | str, comma: bool = True) -> Column:
     """Normalised name with its last word in capitals."""
 
-    def shown(name: Column) -> Column:
-        last = _last_word(name)
-        return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(last)), F.upper(last))
-
-    return let(normalize_name(c, comma), lambda name: F.when(name.contains(" "), shown(name)).otherwise(name))
+    return _unless_plain(c, comma, lambda s: let(_normalized(s, comma), _capital_last))
 
 
 def base_name(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from rollbook.functions.phones import normalize_phone
 from rollbook.functions.text import blank_to_null, first_non_blank, split_location, split_multi, text
 from rollbook.operators import match, merge, mutate, reports, sequence, tables, validate
 from rollbook.schemas import IBAN_TYPES, PROFILE_FIELDS, SNAPSHOT_FIELDS, TRANSPORTS
-from rollbook.session import checkpointed
+from rollbook.session import checkpointed, staged
 
 _CODE = r"^[A-Za-z]\d{3}$"
 
@@ -125,8 +125,11 @@ def with_country_codes(rows: DataFrame, countries: DataFrame) -> tuple[DataFrame
 
     A missing birth country and missing citizenships are the represented country.
     """
+    named = ["rep_text", "birth_text", "citizen_texts"]
+    # Rows that name the same countries are coded once; the first of them says when a name was seen.
+    groups = staged(rows.groupBy(*named).agg(F.min(F.struct("row_no"))["row_no"].alias("row_no")))
     texts = F.concat(F.array("rep_text", "birth_text"), "citizen_texts")
-    mentions = rows.select("row_no", F.posexplode(texts).alias("slot", "label")).filter("label is not null")
+    mentions = groups.select("row_no", *named, F.posexplode(texts).alias("slot", "label")).filter("label is not null")
     mentions = mentions.withColumn("mention_no", F.struct("row_no", "slot"))
     grown, coded = mutate.ensure_countries(mentions, "label", "mention_no", countries)
 
@@ -135,9 +138,11 @@ def with_country_codes(rows: DataFrame, countries: DataFrame) -> tuple[DataFrame
 
     citizen = F.struct("slot", "cid")
     listed = F.array_sort(F.collect_list(F.when(F.col("slot") > 1, citizen)))
-    per_row = coded.groupBy("row_no").agg(at(0).alias("rep"), at(1).alias("birth"), listed.alias("_listed"))
-    codes = per_row.select("row_no", "rep", "birth", F.array_distinct("_listed.cid").alias("_citizens"))
-    joined = rows.join(codes, "row_no", "left")
+    per_group = coded.groupBy(*named).agg(at(0).alias("rep"), at(1).alias("birth"), listed.alias("_listed"))
+    codes = per_group.select(*[F.col(c).alias(f"_{c}") for c in named], "rep", "birth", F.array_distinct("_listed.cid").alias("_citizens"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in named])
+    # A row without a number has no codes.
+    joined = rows.join(codes, F.col("row_no").isNotNull() & same, "left").drop(*[f"_{c}" for c in named])
     citizens = F.when(F.size("_citizens") > 0, F.col("_citizens")).otherwise(F.array("rep"))
     resolved = joined.withColumns(
         {
@@ -150,7 +155,7 @@ def with_country_codes(rows: DataFrame, countries: DataFrame) -> tuple[DataFrame
 
 
 def merged_participants(rows: DataFrame, events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """One participant per name and country, and the ``(row_no, pid)`` of every row.
+    """One participant per name and country, and the rows that have a number, with their ``pid``.
 
     The newest event decides the profile, citizenships are united and people are numbered
     in order of first appearance.
@@ -167,11 +172,11 @@ def merged_participants(rows: DataFrame, events: DataFrame, now: Column) -> tupl
     log = mutate.import_audit(
         "grade", F.col("grade"), "import", now, "Participants", F.col("source_row") + 1, F.col("source_table")
     )
-    ids = dated.select("row_no", *keys).join(numbered.select(*keys, "pid"), keys).select("row_no", "pid")
+    known = rows.filter("row_no is not null").withColumn("name_key", F.lower("name")).join(numbered.select(*keys, "pid"), keys)
     shaped = people.withColumns(
         {"_audit": log, "created_at": now.cast("timestamp"), "updated_at": now.cast("timestamp"), "ord": F.col("first_seen")}
     )
-    return shaped, ids
+    return shaped, known
 
 
 def load(participants: DataFrame, countries: DataFrame, events: DataFrame, now: Column | None = None) -> Load:
@@ -181,14 +186,13 @@ def load(participants: DataFrame, countries: DataFrame, events: DataFrame, now:
     event_rows = match.event_country(source_events(events, now), listed)
     raw, grown = with_country_codes(source_rows(participants), listed)
     # Every result below reads these rows: they are resolved once.
-    raw = checkpointed(raw)
+    raw = staged(raw)
     rows, row_rejects = validate.validate(raw, validate.load_row_rules(F.col("row_no") + 1))
-    people, ids = merged_participants(rows, event_rows, now)
+    people, known = merged_participants(rows, event_rows, now)
     good, bad = validate.validate(people, validate.participant_rules(allow_missing_dob=True))
     good = good.withColumns({"name": names.display_name("name"), "phone": normalize_phone("phone")})
 
-    attended = rows.filter(F.col("event_id").isNotNull()).join(ids, "row_no")
-    attended = attended.withColumnRenamed("pid", "participant_id").select(
+    attended = known.filter(F.col("event_id").isNotNull()).withColumnRenamed("pid", "participant_id").select(
         "participant_id", "event_id", "row_no", *SNAPSHOT_FIELDS
     )
     merged = merge.last_non_blank(attended, ["participant_id", "event_id"], "row_no", SNAPSHOT_FIELDS)
