@@ -66,8 +66,12 @@ def last_row(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -
     """The last row of every key."""
     order = [order] if isinstance(order, str) else list(order)
     others = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*others), F.struct(*order)).alias("_last")
-    return rows.groupBy(*keys).agg(best).select(*keys, "_last.*")
+    if any("map<" in kind or "variant" in kind for _, kind in rows.dtypes):  # these cannot be compared
+        best = F.max_by(F.struct(*others), F.struct(*order)).alias("_last")
+    else:
+        # The order comes first in the row itself, so it does not travel twice.
+        best = F.max(F.struct(*order, *[c for c in others if c not in order])).alias("_last")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("_last").getField(c).alias(c) for c in others])
 
 
 def positions_lookup(rows: DataFrame, scope: Sequence[str] = ("path",), order: str = "row_no") -> DataFrame:

@@ -11,7 +11,7 @@ from rollbook.plans.bindings import Tables
 from rollbook.plans.catalog import ORACLES, query
 from rollbook.plans.catalog_jobs import sheets
 from rollbook.plans.catalog_merge import delta
-from rollbook.session import shared_folder
+from rollbook.session import shared_folder, staged
 from rollbook.sources import stored
 
 
@@ -91,7 +91,8 @@ _STORED_SNAPSHOTS = """select participant_id, event_id, case when event_id like
 def stored_snapshots_of_one_event(t: Tables) -> DataFrame:
     """Snapshots are stored in two halves, one appended, and some are changed."""
     root = database(t)
-    rows = t.snapshots
+    # Made once for the three changes: the join of all lines is what this shuffles most.
+    rows = staged(t.snapshots)
     stored.write_table(rows.filter("participant_id like '%2'"), root, "participant_events")
     stored.append(t.spark, root, "participant_events", rows)
     moved = rows.filter("event_id like '%3'").select("participant_id", "event_id", F.lit("Split").alias("traveling_from"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from rollbook.operators.mutate import bulk_upsert, one_per_key, patch as patched, upsert as upserted
 from rollbook.schemas import TABLES
-from rollbook.session import checkpointed
+from rollbook.session import checkpointed, staged
 
 Result = TypeVar("Result")
 
@@ -246,7 +246,7 @@ class Change:
         keys, entry = list(STORED[name][1]), self._entry(name)
         rows = _celled(_shaped(rows, name), name, entry["cells"])
         if keys:
-            rows = checkpointed(rows)
+            rows = staged(rows)
             touched = self._touched(rows)
             known = _state(self.spark, self.root, name, entry, F.col(_CELLS[0]).isin(*touched)).select(*keys)
             rows = _celled(one_per_key(rows.drop(*_CELLS).join(known, keys, "left_anti"), keys), name, entry["cells"])

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from rollbook.functions import names
-from rollbook.operators import mutate
+from rollbook.operators import merge, mutate
 from rollbook.plans import bulk_load, catalog_stored
 from rollbook.plans.bindings import SCHEMAS, Tables
 from rollbook.schemas import COUNTRIES
@@ -53,6 +55,17 @@ def test_rows_that_name_the_same_countries_are_coded_once(spark, monkeypatch):
     assert found[None] == found[51] == (None, None, None)
 
 
+def test_the_last_row_carries_its_order_once(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x", None), ("a", 2, 1, None, [1]), ("a", 2, 0, "z", None), ("b", None, None, "n", None)],
+                                 "k string, o int, p int, v string, l array<int>")
+    last = merge.last_row(rows, ["k"], ["o", "p"])
+    assert last.columns == ["k", "o", "p", "v", "l"]
+    assert sorted(tuple(r) for r in last.collect()) == [("a", 2, 1, None, [1]), ("b", None, None, "n", None)]
+    assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString()
+    mapped = rows.withColumn("m", F.create_map("k", "v"))
+    assert merge.last_row(mapped, ["k"], ["o", "p"]).filter("k = 'a'").first()["m"] == {"a": None}
+
+
 def test_plain_names_and_odd_ones_agree(evaluate):
     shown = {
         "jane mary doe": "jane mary DOE", "JANE DOE": "JANE DOE", "Jane": "Jane", " Jane  Doe ": "Jane DOE", "Doe, Jane": "Jane DOE",
