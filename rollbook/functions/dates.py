@@ -17,6 +17,8 @@ EMPTY_DOB = "1900-01-01"
 _YMD = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _DMY = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
 _MDY = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+#: A date alone with nothing around it, as most are written; the year 0 is none.
+_PLAIN = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\z"
 _BASIC = r"^(\d{4})(\d{2})(\d{2})$"
 _CLOCK = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?"
 _OFFSET = r"Z|[+-]\d{2}:\d{2}"
@@ -99,20 +101,22 @@ def iso_date(c: Column | str, kind: Column | str | None = None, zone: str = WORK
 
 def normalize_dob(c: Column | str, kind: Column | str | None = None) -> Column:
     """Date of birth; the placeholder of an empty spreadsheet date is null."""
-    local = _in_zone(c, "UTC")
+    day = F.when(col(c).rlike(_PLAIN), col(c).try_cast("date")).otherwise(_in_zone(c, "UTC").cast("date"))
     if kind is not None:
-        local = F.when(col(kind) == "n", excel_datetime(col(c).try_cast("double"))).otherwise(local)
-    return F.nullif(local.cast("date"), F.lit(EMPTY_DOB).cast("date"))
+        day = F.when(col(kind) == "n", excel_datetime(col(c).try_cast("double")).cast("date")).otherwise(day)
+    return F.nullif(day, F.lit(EMPTY_DOB).cast("date"))
 
 
 def bad_dob(c: Column | str) -> Column:
     """True for text that is not blank and holds no date."""
-    return F.coalesce(strip(col(c)), F.lit("")).__ne__("") & wall_clock(c).isNull()
+    unread = F.coalesce(strip(col(c)), F.lit("")).__ne__("") & wall_clock(c).isNull()
+    return F.when(col(c).rlike(_PLAIN), col(c).try_cast("date").isNull()).otherwise(unread)
 
 
 def snapshot_ts(c: Column | str) -> Column:
     """Instant of a stored snapshot date; a value without an offset is UTC."""
-    return coerce_ts(c, zone="UTC")
+    read = F.when(col(c).rlike(_PLAIN), col(c).try_cast("timestamp_ntz").cast("timestamp")).otherwise(coerce_ts(c, zone="UTC"))
+    return F.when(col(c).isNotNull(), read)
 
 
 def year_from_name(c: Column | str) -> Column:

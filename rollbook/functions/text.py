@@ -41,8 +41,14 @@ def norm_ws(c: Column | str) -> Column:
 
 def blank_to_null(c: Column | str) -> Column:
     """Stripped text; blank, null and the text of a missing number become null."""
-    stripped = strip(col(c).cast("string"))
-    return F.when(stripped != "", stripped)
+    value = col(c).cast("string")
+    stripped = strip(value)
+    kept = F.when(stripped != "", stripped)
+    if not isinstance(c, str):
+        return kept
+    # A column, cheap to look at again: text that begins and ends with a visible ASCII character stays as it is.
+    neat = (value >= "!") & (value < "\x7f") & F.substring(value, -1, 1).between("!", "~")
+    return F.when(neat, value).otherwise(kept)
 
 
 @lru_cache(maxsize=1)
@@ -101,7 +107,7 @@ def citizenships(c: Column | str, is_array: bool = False) -> Column:
     """Trimmed distinct items of a list or delimited text; an empty result is null."""
     source = F.filter(col(c), lambda x: x.isNotNull()) if is_array else F.split(col(c), "[;,]")
     items = distinct_items(_clean_items(source))
-    return F.when(F.size(items) > 0, items)
+    return F.get(F.filter(F.array(items), lambda kept: F.size(kept) > 0), F.lit(0))
 
 
 def same_items(a: Column | str, b: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,7 +18,10 @@ _EMAIL = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
 
 def errors_of(*checks: tuple[Column, str]) -> Column:
     """Messages of the checks that are true; a null check counts as passed."""
-    return F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in checks]))
+    messages = F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in checks]))
+    # The array is made for rows with an error only; generated code looks for one up to the first.
+    failed = reduce(Column.__or__, [F.coalesce(bad, F.lit(False)) for bad, _ in checks])
+    return F.when(failed, messages).otherwise(F.array_compact(F.array(F.lit(None).cast("string"))))
 
 
 def validate(df: DataFrame, rules: Column) -> tuple[DataFrame, DataFrame]:

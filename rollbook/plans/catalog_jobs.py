@@ -459,7 +459,7 @@ def bundles(t: Tables) -> DataFrame:
     person = F.col("l_suppkey")
     number = F.floor(F.col("l_linenumber") * 100000 + F.col("l_partkey"))
     attendees = lines.select(
-        F.format_string("up/%d", "o_orderkey").alias("path"),
+        "o_orderkey",
         (F.row_number().over(_within_order())).cast("bigint").alias("row_no"),
         F.format_string("Jane Doe%d", person).alias("name"),
         F.lit("C001").alias("representing_country"),
@@ -476,7 +476,7 @@ def bundles(t: Tables) -> DataFrame:
         F.lit("Passport").alias("travel_doc_type"),
     )
     events = t.raw("orders").select(
-        F.format_string("up/%d", "o_orderkey").alias("path"),
+        "o_orderkey",
         F.when(F.col("o_orderkey") % 41 != 3, F.format_string("N%06d", "o_orderkey")).alias("eid"),
         F.col("o_orderpriority").alias("title"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_date"),
@@ -485,7 +485,9 @@ def bundles(t: Tables) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "Party").otherwise("Workshop").alias("type"),
         F.col("o_totalprice").alias("cost"),
     )
-    return preview.preview_bundles(events, attendees)
+    # Gathered by the key that the lines are dealt by already; the path is made once for each bundle.
+    whole = preview.preview_bundles(events, attendees, keys=("o_orderkey",))
+    return whole.withColumn("o_orderkey", F.format_string("up/%d", "o_orderkey")).withColumnRenamed("o_orderkey", "path")
 
 
 def _within_order():

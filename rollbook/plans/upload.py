@@ -12,7 +12,7 @@ from rollbook.functions.phones import normalize_phone
 from rollbook.functions.text import blank_to_null, citizenships, text
 from rollbook.operators import match, merge, mutate, sequence, validate
 from rollbook.schemas import SNAPSHOT_FIELDS
-from rollbook.session import checkpointed
+from rollbook.session import checkpointed, staged
 
 _PROFILE = (
     "name representing_country gender grade dob pob birth_country citizenships email phone diet_restrictions "
@@ -60,6 +60,15 @@ def _people(bundles: DataFrame) -> DataFrame:
     )
 
 
+def _checked_people(bundles: DataFrame) -> DataFrame:
+    """Typed attendee rows of all bundles, each with its errors."""
+    required = validate.errors_of(
+        (F.col("pob").isNull(), "pob missing"), (F.col("birth_country").isNull(), "birth_country missing")
+    )
+    rows = _people(bundles).withColumn("pid", F.coalesce("given_pid", F.lit("TEMP")))
+    return rows.withColumn("errors", F.concat(validate.participant_rules(dob_text="dob_text"), required)).drop("pid", "dob_text")
+
+
 def _own_snapshot() -> Column:
     """Snapshot fields of an attendee row, null when it has none."""
 
@@ -97,11 +106,10 @@ def _with_path(bundles: DataFrame) -> DataFrame:
     return bundles.withColumn("path", path)
 
 
-def repeated_events(bundles: DataFrame) -> DataFrame:
-    """Bundles whose event is also in a bundle with a smaller path, with their error."""
-    events = bundles.select("path", text("event.eid").alias("eid")).distinct()
-    firsts = events.groupBy("eid").agg(F.min("path").alias("_first"))
-    later = events.join(firsts, "eid").filter("path <> _first")
+def repeated_events(events: DataFrame) -> DataFrame:
+    """Bundles, by path and eid, whose event is also in a bundle with a smaller path, with their error."""
+    spans = events.groupBy("eid").agg(F.min("path").alias("_first"), F.max("path").alias("_last"))
+    later = events.join(spans.filter("_first <> _last"), "eid").filter("path <> _first").select("path", "eid").distinct()
     return later.select("path", "eid", F.array(F.lit("Event is also in an earlier bundle")).alias("errors"))
 
 
@@ -168,11 +176,23 @@ def _event_rows(bundles: DataFrame) -> DataFrame:
 
 def _with_rosters(events: DataFrame, identified: DataFrame) -> DataFrame:
     """Events with their rosters in the order of the bundle."""
-    members = identified.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row_no", "pid"))).alias("_members"))
+    members = identified.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("row_no", "pid"))).alias("_members"))
     joined = events.join(members, "path", "left")
     return joined.withColumn("participants", F.coalesce("_members.pid", "participants")).drop("_members")
 
 
+def _latest_snapshots(identified: DataFrame, supplied: DataFrame) -> DataFrame:
+    """``path, pid, snapshot`` of the people of each bundle: the last one it supplies, else that of their last row that has one."""
+    own = identified.select("path", "pid", F.struct(F.lit(0).alias("given"), "row_no", F.col("own").alias("snapshot")).alias("_s"))
+    given = supplied.select("path", "pid", F.struct(F.lit(1).alias("given"), "row_no", F.struct(*SNAPSHOT_FIELDS).alias("snapshot")).alias("_s"))
+    # Nearly every row is a person of its own, so the rows are dealt by key before they are reduced.
+    rows = own.unionByName(given).repartition("path", "pid")
+    best = rows.groupBy("path", "pid").agg(
+        F.min("_s.given").alias("_least"), F.max(F.when(F.col("_s.snapshot").isNotNull(), F.col("_s"))).alias("_best")
+    )
+    return best.filter("_least = 0 and _best is not null").select("path", "pid", F.col("_best.snapshot").alias("snapshot"))
+
+
 def _problems(checked: DataFrame) -> DataFrame:
     """Paths with errors, each with the different errors of its rows."""
     bad = checked.filter(F.size("errors") > 0).select("path", F.explode("errors").alias("error"))
@@ -196,39 +216,27 @@ def upload(
     null, new people are added, snapshots are upserted and the event is appended.
     """
     now = F.current_timestamp() if now is None else now
-    good, refused = accepted_bundles(bundles, events)
-    # Several tables grow from the same rows: each stage is computed once and read back.
-    everyone = checkpointed(_people(good))
-    required = validate.errors_of(
-        (F.col("pob").isNull(), "pob missing"), (F.col("birth_country").isNull(), "birth_country missing")
-    )
-    row_errors = everyone.withColumn("pid", F.coalesce("given_pid", F.lit("TEMP"))).withColumn(
-        "errors", F.concat(validate.participant_rules(dob_text="dob_text"), required)
-    )
-    event_errors = _event_rows(good).withColumn("errors", validate.event_rules())
-    row_problems = checkpointed(_problems(row_errors).unionByName(_problems(event_errors)))
-    usable = good.join(row_problems, "path", "left_anti")
-    repeated = repeated_events(usable)
-    good = usable.join(repeated.select("path"), "path", "left_anti")
-    people = everyone.join(good.select("path").distinct(), "path", "left_semi").withColumn(
-        "phone", normalize_phone("phone")
-    )
-    pids = identify(people, participants)
-    identified = checkpointed(people.join(pids, ["name", "representing_country", "dob"]))
+    accepted, refused = accepted_bundles(bundles, events)
+    # Attendees and events are read from the bundles, typed and checked once; every later step takes the columns it needs.
+    everyone = staged(_checked_people(accepted))
+    heads = staged(_event_rows(accepted).withColumn("errors", validate.event_rules()))
+    row_problems = checkpointed(_problems(everyone).unionByName(_problems(heads)))
+    repeated = checkpointed(repeated_events(heads.join(row_problems, "path", "left_anti")))
+    excluded = row_problems.select("path").unionByName(repeated.select("path"))
+    good = heads.drop("errors").join(excluded, "path", "left_anti")
+    people = everyone.drop("errors").join(excluded, "path", "left_anti")
+    who = ["name", "representing_country", "dob"]
+    pids = checkpointed(identify(people, participants))
+    identified = staged(people.join(pids, who).select("path", "row_no", "pid", "matched_pid", "own"))
 
-    supplied = _supplied(good)
-    chosen = match.choose_snapshot(
-        identified.select("path", "row_no", "pid", "own"), supplied, ["path", "pid"], "own", "row_no"
-    )
-    eids = good.select("path", text("event.eid").alias("event_id"))
-    latest = merge.last_row(
-        chosen.filter(F.col("snapshot").isNotNull()).select("path", "pid", "row_no", "snapshot"), ["path", "pid"], "row_no"
-    )
+    supplied = _supplied(accepted).join(excluded, "path", "left_anti")
+    latest = _latest_snapshots(identified, supplied)
+    eids = good.select("path", F.col("eid").alias("event_id"))
     raw = latest.join(eids, "path").select("path", F.col("pid").alias("participant_id"), "event_id", "snapshot.*")
-    snapshots = checkpointed(
+    snapshots = staged(
         raw.withColumns({n: dates.snapshot_ts(n) for n in SNAPSHOT_FIELDS if n.endswith("_date")})
     )
-    event_rows = _with_rosters(_event_rows(good), identified)
+    event_rows = _with_rosters(good, identified)
     taken = identified.filter("matched_pid is null").join(participants.select("pid"), "pid", "left_semi")
     problems = [
         _problems(snapshots.withColumn("errors", validate.snapshot_rules())),
@@ -243,13 +251,14 @@ def upload(
     )
 
     bad_paths = broken.select("path")
-    change = identified.join(bad_paths, "path", "left_anti")
+    # The rest of a person's columns are read where the changed people are wanted.
+    change = people.join(bad_paths, "path", "left_anti").withColumn("phone", normalize_phone("phone")).join(pids, who)
     delta = change.select("pid", F.struct("path", "row_no").alias("_order"), *_PROFILE)
     new_participants = people_after(participants, delta)
     kept_snapshots = snapshots.join(bad_paths, "path", "left_anti").drop("path")
     new_links = mutate.upsert(participant_events, kept_snapshots, ["participant_id", "event_id"])
-    accepted = event_rows.join(bad_paths, "path", "left_anti").drop("path").withColumns(
+    added = event_rows.join(bad_paths, "path", "left_anti").drop("path").withColumns(
         {"created_at": now.cast("timestamp"), "updated_at": now.cast("timestamp")}
     )
-    new_events = events.unionByName(accepted, allowMissingColumns=True)
-    return Upload(new_participants, new_links, new_events, kept_snapshots, accepted, delta, rejects)
+    new_events = events.unionByName(added, allowMissingColumns=True)
+    return Upload(new_participants, new_links, new_events, kept_snapshots, added, delta, rejects)

@@ -52,7 +52,7 @@ def preview_bundles(
     def arrays(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
         item = F.struct("row_no", F.struct(*_fitted(df, schema)).alias("item"))
         grouped = df.select(*keys, item.alias("_i")).groupBy(*keys)
-        return grouped.agg(F.array_sort(F.collect_list("_i")).alias("_l")).select(*keys, F.col("_l.item").alias(name))
+        return grouped.agg(F.sort_array(F.collect_list("_i")).alias("_l")).select(*keys, F.col("_l.item").alias(name))
 
     whole = events.select(*keys, F.struct(*_fitted(events, BUNDLE["event"].dataType)).alias("event"))
     whole = whole.join(arrays(attendees, PERSON, "participants"), list(keys), "left")

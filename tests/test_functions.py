@@ -223,3 +223,30 @@ def test_an_added_rule_changes_the_result(spark):
     assert found([*rules, (3, "piece", "anatol", "anatol(ia)?$|anatolia", "Türk")]) == {**before, "anatolia": "C3", "New Anatolia": "C3"}
     assert found([*rules, (0, "piece", "hrv", "hrv", "Kos")]) == {**before, "Hrvatska": "C2", "R. Hrvatska": "C2", "crohrv": "C2"}
     assert found([]) == {"Kos": "C2"}
+
+
+@pytest.mark.parametrize(
+    ("value", "phone"),
+    [("0038512345678", "+38512345678"), ("+38512345678", "+38512345678"), ("12345678", "+12345678"), ("001234567", None),
+     ("00123456789012345", "+123456789012345"), ("001234567890123456", None), ("+0012345678", "+0012345678"), ("12345678\n", "+12345678"),
+     ("1234567", None), ("00+38512345678", "+38512345678"), (" 0038512345678", "+38512345678"), ("\u0661\u0662345678", "+\u0661\u0662345678")],
+)
+def test_phones_of_digits_alone_and_others(evaluate, value, phone):
+    assert evaluate(normalize_phone("x"), value) == phone
+
+
+@pytest.mark.parametrize(
+    ("value", "day", "bad"),
+    [("1990-01-02", date(1990, 1, 2), False), ("1990-1-2", date(1990, 1, 2), False), (" 1990-01-02\n", date(1990, 1, 2), False), ("1990-02-30", None, True),
+     ("0000-01-01", None, True), ("1900-01-01", None, False), ("1990-01-02T23:30:00-02:00", date(1990, 1, 3), False), ("", None, False), (None, None, False)],
+)
+def test_plain_dates_and_others(evaluate, value, day, bad):
+    assert evaluate(dates.normalize_dob("x"), value) == day
+    assert evaluate(dates.bad_dob("x"), value) is bad
+    if day and "T" not in value:
+        assert evaluate(dates.snapshot_ts("x"), value) == datetime(day.year, day.month, day.day)
+
+
+def test_blank_columns(evaluate):
+    shown = {" ": None, "": None, None: None, "a": "a", "a b": "a b", " a": "a", "a\u2003": "a", "é": "é", "a\x7f": "a\x7f", "\x1fa": "a"}
+    assert {k: evaluate(text.blank_to_null("x"), k) for k in shown} == shown

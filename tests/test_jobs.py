@@ -248,6 +248,33 @@ def test_upload_of_a_known_person(spark, tmp_path):
     assert result.participant_events.first()["traveling_from"] == "Split"
 
 
+def test_upload_types_events_and_attendees_once(spark, tmp_path, monkeypatch):
+    calls = []
+    for name in ("_event_rows", "_people"):
+        def counted(bundles, name=name, plain=getattr(upload, name)):
+            calls.append(name)
+            return plain(bundles)
+
+        monkeypatch.setattr(upload, name, counted)
+    result = run_upload(spark, tmp_path, [bundle("a"), bundle("b", "E2", [JANE, {**JANE, "name": "Bob Roe"}])])
+    assert sorted(calls) == ["_event_rows", "_people"]
+    assert {r["eid"]: r["participants"] for r in result.events.collect()} == {"E1": ["P0001"], "E2": ["P0001", "P0002"]}
+
+
+def test_latest_snapshot_of_a_person_in_a_bundle(spark):
+    def fields(value):
+        return dict.fromkeys(upload.SNAPSHOT_FIELDS, value) if value else None
+
+    texts = ", ".join(f"{n} string" for n in upload.SNAPSHOT_FIELDS)
+    rows = [("a", 0, "P1", fields("one")), ("a", 1, "P1", fields("two")), ("a", 2, "P1", None), ("a", 3, "P2", fields("own")), ("a", 4, "P3", None), ("b", 0, "P1", fields("b"))]
+    given = [{"path": "a", "row_no": k, "pid": pid, **fields(value)} for k, pid, value in ((0, "P2", "first"), (1, "P2", "last"), (2, "P9", "nobody"))]
+    found = upload._latest_snapshots(
+        spark.createDataFrame(rows, f"path string, row_no bigint, pid string, own struct<{texts.replace(' string', ':string')}>"),
+        spark.createDataFrame(given, f"path string, row_no bigint, pid string, {texts}"),
+    )
+    assert {(r["path"], r["pid"]): r["snapshot"]["iban"] for r in found.collect()} == {("a", "P1"): "two", ("a", "P2"): "last", ("b", "P1"): "b"}
+
+
 def test_upload_refuses_whole_bundles(spark, tmp_path):
     bad = {**JANE, "name": "Bad One", "phone": "123"}
     result = run_upload(
