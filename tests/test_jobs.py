@@ -410,6 +410,83 @@ def test_kinds_of_content_that_nobody_reads_are_not_handed_on(spark):
         assert some.filter(F.col("kind") == kind).collect() == whole.filter(F.col("kind") == kind).collect()
 
 
+def with_rows(rows: str, frame: str = "<sheetData>{}</sheetData>") -> bytes:
+    """The workbook of the tests with the given XML as the rows of its last sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(make_workbook())) as old, zipfile.ZipFile(out, "w") as new:
+        last = sorted(n for n in old.namelist() if n.startswith("xl/worksheets/sheet"))[-1]
+        for name in old.namelist():
+            data = old.read(name).decode()
+            if name == last:
+                head, _, rest = data.partition("<sheetData>")
+                data = head + frame.format(rows) + rest.partition("</sheetData>")[2]
+            new.writestr(name, data)
+    return out.getvalue()
+
+
+def told(data: bytes) -> list:
+    rows = []
+    try:
+        for row in xlsx.content(data):
+            rows.append(row)
+    except Exception as problem:  # noqa: BLE001
+        rows.append(f"{type(problem).__name__}: {problem}")
+    return rows
+
+
+_HEADS = '<row r="1"><c r="A1" t="inlineStr"><is><t>Name</t></is></c><c r="C1" t="str"><v>Last name</v></c></row>'
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        '<row r="2" spans="1:3"><c r="A2" t="inlineStr"><is><t xml:space="preserve"> A &amp;lt; &lt;B&gt; </t></is></c><c r="C2" s="1"><v>1.5</v></c></row>',
+        '<row r="2"><c r="A2" s="3"/><c r="C2"><f>1+1</f><v>2</v></c></row><row r="3" s="1" customFormat="1"/><row r="4"><c r="B4" t="b"><v>1</v></c></row>',
+        '<row r="2"><c r="A2" t="inlineStr"><v>x</v></c><c r="B2" t="str"><is><t>x</t></is></c><c r="C2" t="e"><v></v></c></row>',
+        '<row r="2"><c r="A2" t="s"><v>7</v></c></row>',
+        '<row r="2"><c r="A2"><v>1e3</v></c><c r="C2"><v>one</v></c></row>',
+        '<row r="2" x14ac:dyDescent="0.25"><c r="A2"><v>1</v></c></row>',
+        '<row r="2"><c r="A2"><v>1</v></c>', '<row r="2"><row r="3"></row></row>', '</row><row r="2">', '<c r="A2"><v>1</v></c>',
+        '<row r="2"></row></row><row r="3">', '<row r="2"><c r="A2" t="str"><v>a]]></v></c></row>', '<row r="2"><c r="A2" t="str"><v>&b;</v></c></row>',
+        '<row r="2"><c r="A2" t="str"><v>a\x01</v></c></row>', '<row r="2"><c r="A2" t="str"><v>\uffff</v></c></row>', '<row r="2"><c r="A2" t="str"><v>a\r\nž</v></c></row>',
+        '<row r="2"><!-- <c r="A2"><v>1</v></c> --></row>', '<row r="2"><c r="A2"><is><r><t>rich</t></r></is></c></row>', 'text<row></row>', "",
+    ],
+)
+def test_plain_rows_are_told_as_the_tree_tells_them(monkeypatch, rows):
+    data = with_rows(_HEADS + rows)
+    found = told(data)
+    monkeypatch.setattr(xlsx, "_plain", lambda data: None)
+    assert found == told(data) and len(found) > 10
+
+
+def test_frames_that_are_not_plain_are_read_as_trees(monkeypatch):
+    row = _HEADS + '<row r="2"><c r="A2"><v>1</v></c></row>'
+    frames = [
+        "<?x <sheetData>{0}</sheetData> ?><sheetData>{0}{0}</sheetData>", "<!-- <sheetData></sheetData> --><sheetData>{0}</sheetData>",
+        '<sheetData xmlns="urn:x">{0}</sheetData>', '<x xmlns="urn:x"><sheetData>{0}</sheetData></x>', "<sheetData>{0}</sheetData><row/>",
+        "<x><sheetData>{0}</sheetData></x>", "<sheetData>{0}</sheetData><![CDATA[<row>]]>",
+    ]
+    books = [with_rows(row, frame) for frame in frames]
+    found = [told(book) for book in books]
+    monkeypatch.setattr(xlsx, "_plain", lambda data: None)
+    assert found == [told(book) for book in books]
+
+
+def test_plain_rows_are_not_made_into_trees(monkeypatch):
+    trees, made = [], xlsx._tree
+    monkeypatch.setattr(xlsx, "_tree", lambda data: trees.append(made(data)) or trees[-1])
+    kinds = Counter(row["kind"] for row in xlsx.content(make_workbook()))
+    assert kinds["row"] > 0 and kinds["cell"] == 3
+    assert not [node for tree in trees for node in tree.iter() if node.tag.endswith(("}row", "}c"))]
+
+
+def test_maps_of_a_batch_keep_what_is_missing_and_what_is_empty():
+    rows = [{"path": "a", "kind": "row", "cells": {"x": "1", "y": None}, "types": {}, "headers": ["x"]}, {"path": "b", "kind": "sheet"}, {"path": None, "kind": "cell", "cells": {"z": "ž"}}]
+    found = workbooks._batch(rows).to_pylist()
+    assert [r["cells"] for r in found] == [[("x", "1"), ("y", None)], None, [("z", "ž")]]
+    assert [r["types"] for r in found] == [[], None, None] and [r["headers"] for r in found] == [["x"], None, None]
+
+
 def test_written_workbooks_are_sound_archives():
     book = sample_workbooks.workbook([sample_workbooks.Sheet("A & B")], ("<a>ž</a>",))
     with zipfile.ZipFile(io.BytesIO(book)) as parts:
