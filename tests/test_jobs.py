@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.operators import validate
-from rollbook.plans import bulk_load, sample_workbooks, upload, workbook_import
+from rollbook.plans import bulk_load, catalog_jobs, sample_workbooks, upload, workbook_import
 from rollbook.schemas import COUNTRIES, EVENTS, PARTICIPANT_EVENTS, PARTICIPANTS
 from rollbook.sources import ledger, preview, stored, workbooks, xlsx
 from rollbook.streaming import file_arrival
@@ -410,6 +410,15 @@ def test_kinds_of_content_that_nobody_reads_are_not_handed_on(spark):
         assert some.filter(F.col("kind") == kind).collect() == whole.filter(F.col("kind") == kind).collect()
 
 
+def test_headers_come_from_one_pass_over_the_files(spark, countries, monkeypatch):
+    files = spark.createDataFrame([("a.xlsx", make_workbook()), ("bad.xlsx", b"no zip")], "path string, content binary")
+    monkeypatch.setattr(catalog_jobs, "event_files", lambda t: files)
+    monkeypatch.setattr(catalog_jobs, "land_labels", lambda t: countries)
+    found = catalog_jobs.workbook_headers(None)
+    assert [(r["path"], r["eid"], r["place"]) for r in found.collect()] == [("a.xlsx", "E1", "Zagreb")]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def with_rows(rows: str, frame: str = "<sheetData>{}</sheetData>") -> bytes:
     """The workbook of the tests with the given XML as the rows of its last sheet."""
     out = io.BytesIO()
