@@ -419,6 +419,56 @@ def test_headers_come_from_one_pass_over_the_files(spark, countries, monkeypatch
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def countries_workbook():
+    """Three attendees, two of whom name the same countries, and one without an online entry."""
+    main, overview, listed, online = (sample_workbooks.Sheet(t) for t in ("Participants", "COST Overview", "List", "MAIN ONLINE"))
+    header = ["Name and Last Name", "Travel", "Traveling from", "Grade (0 - BL, 1 - Pass, 2 - Excel)"]
+    top = main.table("tableKos", 4, [header, ["Doe, John", "Bus", None, 2], ["Roe, Ann", None, None, 1], ["Poe, Eve", None, None, "x"]])
+    main.table("tableAlb", top, [header, ["Coe, Sue", "Bus", None, 0]])
+    listed.table("ParticipantsLista", 1, [["Name (Latin)", "Position", "Phone", "Email"], ["DOE, John", "Chief", None, None]])
+    rows = [
+        ["John", None, "Doe", "Mr", None, "North Macedonia", "Kosovo; north maced", "Dieta"],
+        ["Ann", None, "Roe", "Ms", None, "North Macedonia", "Kosovo; north maced", None],
+        ["Sue", None, "Coe", "Ms", None, "Nowhere", None, "other"],
+    ]
+    online.table("ParticipantsList", 1, [[*ONLINE[:5], " COUNTRY of Birth", "Citizenship(s)", "Organization"], *rows])
+    return sample_workbooks.workbook([main, overview, listed, online])
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([("C117", "Kosovo, Europe & Eurasia", None, 1), ("C181", "North Macedonia", None, 2)], COUNTRIES)
+
+
+def test_countries_of_attendees_are_resolved_once_for_the_same_texts(spark, labels):
+    files = spark.createDataFrame([("a.xlsx", countries_workbook()), ("b.xlsx", countries_workbook())], "path string, content binary")
+    phrases = spark.createDataFrame([("dieta", "en", "diet", "es")], "phrase string, lang string, translated string, source_lang string")
+    found = workbook_import.attendees(workbooks.staged(files), labels, people(spark), phrases)
+    told = [(r["path"], r["name"], r["representing_country"], r["birth_country"], r["citizenships"], r["organization"]) for r in found.collect()]
+    alb = "Albania, Europe & Eurasia"
+    assert sorted(told) == [
+        row
+        for path in ("a.xlsx", "b.xlsx")
+        for row in [
+            (path, "Ann ROE", "C117", "C181", ["C117", "C181"], ""), (path, "Eve POE", "C117", "C117", [], ""),
+            (path, "John DOE", "C117", "C181", ["C117", "C181"], "diet"), (path, "Sue COE", alb, alb, [], "other"),
+        ]
+    ]
+    # What attendees say is neither taken apart again for every attendee nor shuffled by its texts.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan
+
+
+def test_exact_headers_ignore_case_and_blanks_and_the_first_counts(spark):
+    rows = spark.createDataFrame(
+        [({"B": "0", " Name": "1", "NAME ": "2"}, ["B", None, " Name", "NAME "]), ({"Name": "3"}, None), ({"Surname": "4"}, ["Surname"])],
+        "cells map<string,string>, headers array<string>",
+    )
+    found = workbooks.resolve_headers(rows, {"n": "name", "b": "b"}, exact=True)
+    assert found.columns == ["cells", "headers", "n", "b"]
+    assert [(r["n"], r["b"]) for r in found.collect()] == [("1", "0"), (None, None), (None, None)]
+
+
 def with_rows(rows: str, frame: str = "<sheetData>{}</sheetData>") -> bytes:
     """The workbook of the tests with the given XML as the rows of its last sheet."""
     out = io.BytesIO()
