@@ -459,6 +459,16 @@ def test_countries_of_attendees_are_resolved_once_for_the_same_texts(spark, labe
     assert "Generate" not in plan and "MapInArrow" not in plan
 
 
+def test_labels_of_a_dry_run_are_resolved_before_the_people_are_joined(spark, labels):
+    files = spark.createDataFrame([("a.xlsx", countries_workbook())], "path string, content binary")
+    known = people(spark, {"pid": "P0001", "name": "John DOE", "representing_country": "C117", "ord": 1})
+    found = workbook_import.dry_run(workbooks.staged(files), labels, known)
+    told = {r["name"]: (r["representing_country"], r["position"], r["pid"], r["status"]) for r in found.collect()}
+    assert told["John DOE"] == ("C117", "Chief", "P0001", "EXIST") and told["Ann ROE"] == ("C117", "", None, "NEW")
+    assert told["Sue COE"] == ("Albania, Europe & Eurasia", "", None, "NEW")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_exact_headers_ignore_case_and_blanks_and_the_first_counts(spark):
     rows = spark.createDataFrame(
         [({"B": "0", " Name": "1", "NAME ": "2"}, ["B", None, " Name", "NAME "]), ({"Name": "3"}, None), ({"Surname": "4"}, ["Surname"])],
